@@ -163,5 +163,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, max_error: float = 0.1) -> Dat
     return out
 
 
+def drop_leaks(docs: DataFrame, items: DataFrame, max_error: float = 0.1) -> DataFrame:
+    """The documents, with their columns as they are, that hold no benchmark item."""
+    for block in blocks(items):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shared.value, max_error)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher(plain(t or "")) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def op3(docs: DataFrame, items: DataFrame) -> DataFrame:
     return find_leaks(docs, items)

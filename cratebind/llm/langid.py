@@ -138,6 +138,19 @@ def identify(docs: DataFrame, training: Column | None = None, **options) -> Data
     return documents(docs).mapInArrow(predict, f"doc_id {key}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, least_score: float = 0.3, **options) -> DataFrame:
+    """The documents, with their columns as they are, that a language was found for with at least least_score."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    shared = docs.sparkSession.sparkContext.broadcast(learn(rows.select("lang", "text"), **options))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score = predict_texts([t or "" for t in batch.column("text").to_pylist()], shared.value)
+            yield batch.filter(pa.array([x != "und" and y >= least_score for x, y in zip(lang, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def op9(docs: DataFrame) -> DataFrame:
     out = identify(docs, remainder(F.col("doc_id"), 4) != 2)
     return out.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, lm, mixing, near_dedup, secret_scan, topk, toxicity
+from . import bpe, chat, decontam, langid, lm, mixing, near_dedup, secret_scan, topk, toxicity
 from .common import table
 
 
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_near_dedup": lambda s, d: near_dedup.op7(table(s, d, "documents")),
         "op8_topk": lambda s, d: topk.op8(table(s, d, "embeddings")),
         "op9_language": lambda s, d: langid.op9(table(s, d, "documents")),
+        "op10_chat": lambda s, d: chat.op10(table(s, d, "conversations")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.OP5_SQL, "op8_topk": topk.OP8_SQL}
+    return {"op5_mixing": mixing.OP5_SQL, "op8_topk": topk.OP8_SQL, "op10_chat": chat.OP10_SQL}

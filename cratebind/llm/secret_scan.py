@@ -10,7 +10,6 @@ equal spans of different kinds stay apart; without labelled credentials nothing
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -186,6 +185,36 @@ def scan_secrets(docs: DataFrame, least_gain: float = 12.0) -> DataFrame:
     return found.mapInArrow(judge, f"doc_id {key}, base {kind}, added {kind}")
 
 
+def redact_secrets(docs: DataFrame, least_gain: float = 12.0) -> DataFrame:
+    """The documents with every secret replaced in text, and n_chars, where there is such a column, of what is left."""
+    model = learn_formats(keep(scan(docs), "secrets-found"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        formats, rest = shared.value["formats"].values(), shared.value["rest"]
+
+        def secret(value: str) -> bool:
+            shape = value.translate(CLASSES)
+            return max(f.log_likelihood(shape) for f in formats) - rest.log_likelihood(shape) >= least_gain
+
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                base = base_spans(text) if text else []
+                spans = [(s, e) for s, _, e, _ in base]
+                if text and formats:
+                    spans += [(a, b) for a, b in candidates(text, base) if secret(text[a:b])]
+                out.append(redact(text, spans) if spans else text)
+            at = batch.schema.get_field_index("text")
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+            if (at := batch.schema.get_field_index("n_chars")) >= 0:
+                sizes = pa.array([None if t is None else len(t) for t in out], batch.schema.field(at).type)
+                batch = batch.set_column(at, batch.schema.field(at), sizes)
+            yield batch
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def joined(spans):
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
