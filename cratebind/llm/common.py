@@ -23,11 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
