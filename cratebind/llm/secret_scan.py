@@ -222,7 +222,11 @@ def joined(spans):
 
 def op6(docs: DataFrame) -> DataFrame:
     out = scan_secrets(docs)
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    n = [count(k) for k in range(3)]
     every = F.array_sort(F.concat("base", "added"))
     return out.select("doc_id", *n, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(every).alias("spans"))
 
