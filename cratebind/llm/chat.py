@@ -131,7 +131,7 @@ def traffic(conversations: DataFrame) -> DataFrame:
 
 
 def op10(conversations: DataFrame) -> DataFrame:
-    return format_chats(traffic(conversations), TOOLS)
+    return format_chats(traffic(conversations), TOOLS).fillna(False, ["linked", "valid"])
 
 
 OP10_SQL = """
@@ -150,12 +150,12 @@ known as (select conv_id, call_id, min({'turn': turn, 'position': position}) as
 r as (
   select r.*, k, level, k is not null and {'turn': r.turn, 'content': r.text} is not distinct from f as linked
   from results r left join known using (conv_id, call_id) left join first using (conv_id, call_id))
-select conv_id, turn, 'message' as kind, -1 as position, -1 as level, null::varchar as call_id, null::boolean as linked, null::boolean as valid,
+select conv_id, turn, 'message' as kind, -1 as position, -1 as level, null::varchar as call_id, false as linked, false as valid,
        '{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"role":' || coalesce(to_json(role)::varchar, 'null') || '}' as json
 from c where not coalesce(role = 'user' and turn >= 2, false)
 union all
 select conv_id, calls.turn, 'call', position, level, call_id, f is not null, valid, json from calls left join first using (conv_id, call_id)
 union all
 select conv_id, case when linked then k.turn else turn end, 'result', case when linked then k.position else 0 end, case when linked then level else 0 end,
-       call_id, linked, null, '{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"tool_call_id":"' || call_id || '"}' from r
+       call_id, linked, false, '{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"tool_call_id":"' || call_id || '"}' from r
 """

@@ -147,11 +147,11 @@ def test_mixed_bits_are_a_distribution():
     """Over all classes and hash bits, the path probabilities of a place add up to 1."""
     rng = np.random.default_rng(3)
     mixer = lm.Mixer(rng.integers(0, 50, (lm.CONTEXTS, 1 << lm.TABLE, 2)), 9)
-    mixer.map = rng.normal(0, 0.3, (lm.NODES, 33))
+    mixer.map = rng.normal(0, 0.3, (lm.NODES, 34)).astype(np.float32)
     before = (np.array([5, 9], np.uint16), np.array([77, 1030], np.uint16))
     start = mixer.log10(*before)
     total = sum(10 ** (mixer.log10(np.r_[before[0], k].astype(np.uint16), np.r_[before[1], s].astype(np.uint16)) - start) for k in range(32) for s in (range(16) if k else [0]))
-    assert abs(total - 1) < 1e-9
+    assert abs(total - 1) < 1e-5
 
 
 def test_leaks_against_brute_force(spark, none):
@@ -213,7 +213,7 @@ def test_secrets(spark, none):
     assert found[0]["n_assign"] == 1 and found[0]["n_hex"] == 1 and found[0]["spans"].startswith("assign:4:")
     assert found[200]["base_sha256"] == found[201]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert (found[203]["n_assign"], found[203]["n_access"], found[203]["n_hex"]) == (1, 1, 1)
-    base = "assign:25:39,access:41:61,hex:62:86"
+    base = "assign:24:38,access:40:60,hex:61:85"
     assert found[203]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and found[203]["spans"] == base
     assert found[204]["spans"] == "format:6:26"  # shorter than any pattern takes, but of the learned format
     assert all(found[100 + i]["spans"] == "" for i in range(12)) and secret_scan.op6(none).collect() == []
