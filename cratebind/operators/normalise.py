@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -20,10 +20,13 @@ def with_alias(df: DataFrame, column: str, aliases: DataFrame | None) -> DataFra
     return df.join(known, F.col(column) == F.col("__v"), "left").withColumn(column, F.coalesce("__c", column)).drop("__v", "__c")
 
 
+def entry_id() -> Column:
+    return K.exact_key(F.col("raw_path"), F.col("artist"), F.col("title"), F.col("duration"))
+
+
 def normalise_entries(entries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """One row for each distinct entry, named by eid; like entries of a playlist are matched once."""
-    eid = K.exact_key(F.col("raw_path"), F.col("artist"), F.col("title"), F.col("duration"))
-    once = entries.select(eid.alias("eid"), *ENTRY).dropDuplicates(["eid"])
+    once = entries.select(entry_id().alias("eid"), *ENTRY).dropDuplicates(["eid"])
     title, artist, name = F.col("title"), F.col("artist"), T.basename(T.text("raw_path"))
     has_tags = (T.text("title") != "") | (T.text("artist") != "")
     forms = once.select("*", has_tags.alias("has_tags"), T.pure_title(title).alias("pure"), T.artist_with_fallback(artist, title).alias("artist_norm"), T.norm(artist).alias("own_artist"), name.alias("name"))

@@ -93,12 +93,7 @@ def match(
     best = stored(identity.identity_best(lib), "identities")
     there = lib.select(T.norm_path(F.col("t_path")).alias("__path"), F.col("t_bitrate")).groupBy("__path").agg(F.max("t_bitrate").alias("bitrate"))
     done = forms.where("not service").join(there, T.norm_path(F.col("raw_path")) == F.col("__path")).select("eid", F.col("raw_path").alias("path"), "bitrate")
-    named = forms.select("eid", *normalise.ENTRY)
-    rows = entries.select("playlist", "pos", *normalise.ENTRY)
-    same = F.lit(True)
-    for c in normalise.ENTRY:
-        same &= rows[c].eqNullSafe(named[c])
-    at = stored(rows.join(named, same).select("playlist", "pos", rows["raw_path"], "eid"), "positions")
+    at = stored(entries.select("playlist", "pos", "raw_path", normalise.entry_id().alias("eid")), "positions")
     if overrides is not None:
         own = overrides.select("playlist", T.norm_path(F.col("path")).alias("__o"), F.col("bitrate").alias("__b")).groupBy("playlist", "__o").agg(F.max("__b").alias("__b"))
         per = at.join(own.withColumnRenamed("playlist", "__p"), (F.col("playlist") == F.col("__p")) & (T.norm_path(F.col("raw_path")) == F.col("__o")), "left").groupBy("eid").agg(F.max("__b").alias("__b"))

@@ -131,9 +131,8 @@ def duration_buckets(spark: SparkSession, folder: str) -> DataFrame:
 
 def learned_upsert(spark: SparkSession, folder: str) -> DataFrame:
     rows = A.entries(spark, folder)
-    eid = K.exact_key(F.col("raw_path"), F.col("artist"), F.col("title"), F.col("duration"))
     forms = normalise.normalise_entries(rows).select("eid", "raw_path", "artist_norm", "canon", "duration")
-    done = rows.select("playlist", "pos", eid.alias("eid"), F.col("raw_path").alias("path"), (F.col("playlist") % 320).cast("int").alias("bitrate")).join(forms, "eid")
+    done = rows.select("playlist", "pos", normalise.entry_id().alias("eid"), F.col("raw_path").alias("path"), (F.col("playlist") % 320).cast("int").alias("bitrate")).join(forms, "eid")
     none = spark.createDataFrame([], "key string, path string, bitrate int")
     return caches.upsert(none, caches.learned_rows(done), ["playlist", "pos"])
 

@@ -25,13 +25,9 @@ def repair(spark: SparkSession, playlist_paths: str | list[str], snapshot: str,
     entries = stored(playlists.read_playlists(spark, playlist_paths), "playlist-entries")
     results = stored(match(entries, tracks, postings, manual, learned, **options), "matches")
     playlists.write_playlists(playlists.output_rows(entries, results, tracks), out)
-    forms = normalise.normalise_entries(entries)
-    said = results.where("found").select("playlist", "pos", "path", "bitrate").join(entries.select("playlist", "pos", *normalise.ENTRY), ["playlist", "pos"])
-    same = None
-    for c in normalise.ENTRY:
-        part = said[c].eqNullSafe(forms[c])
-        same = part if same is None else same & part
-    resolved = said.join(forms, same).select("playlist", "pos", "path", "bitrate", "eid", forms["raw_path"], "artist_norm", "canon", forms["duration"])
+    forms = normalise.normalise_entries(entries).select("eid", "raw_path", "artist_norm", "canon", "duration")
+    said = entries.select("playlist", "pos", normalise.entry_id().alias("eid")).join(results.where("found").select("playlist", "pos", "path", "bitrate"), ["playlist", "pos"])
+    resolved = said.join(forms, "eid")
     new = caches.learned_rows(resolved)
     old = learned if learned is not None else spark.createDataFrame([], "key string, path string, bitrate int")
     return results, caches.upsert(old, new, ["playlist", "pos"])
