@@ -225,6 +225,81 @@ select playlist, pos, '#EXTVDJ:' || case when coalesce(t0.artist, '') <> '' then
 from e0 join t0 on t0.path = raw_path""",
 }
 
+ALIAS_FIT = f"(canon <> '' and artist_norm <> '' and canon = t_canon and ((coalesce(t_artist, '') <> '' and {COMPATIBLE}) or contains(t_name_norm, artist_norm)) and coalesce(abs(duration - t_duration) <= 3, true))"
+BEST = "qualify row_number() over (partition by eid order by (not t_auto) desc, (not t_remix) desc, t_bitrate desc, track_id) = 1"
+NAME_BLOCKS = """
+nsets as (select distinct name_tokens from e),
+nblocks as (select distinct name_tokens, track_id from (select *, unnest(name_tokens) as token from nsets) join post using (token) where token_type in ('name', 'title'))
+"""
+IDENTITY = f"""
+ik as ({keys('t_fallback', 't_pure_canon', 't_pure_remix', 't_duration', 0, 't', 'track_id, t_bitrate, t_auto')}),
+ib as (select k_artist, k_canon, k_bucket, k_remix, arg_max(track_id, (t_bitrate, -track_id)) as best_all, arg_max(track_id, (t_bitrate, -track_id)) filter (where not t_auto) as best_real from ik group by all),
+ia as ({keys('artist_norm', 'canon', 'pure_remix', 'duration', 3, 'e', 'eid, has_tags')}),
+ix as (select eid, k_no, unnest([best_real, best_all]) as track_id, unnest([0, 1]) as tier from ia join ib using (k_artist, k_canon, k_bucket, k_remix) where has_tags),
+im as (select eid, track_id, t_path from ix join e using (eid) join t using (track_id) where {SIMILAR} qualify row_number() over (partition by eid order by tier, k_no) = 1)
+"""
+OWN_COMPATIBLE = f"(own_artist = '' or t_artist_norm = '' or case when len({parts('own_artist')}) = 0 or len(t_parts) = 0 then own_artist = t_artist_norm else list_has_any({parts('own_artist')}, t_parts) end)"
+MEMORY = f"""
+f0 as (select *, {OWN_COMPATIBLE} as ok from found),
+pairs as (select distinct title_norm as a, t_title_norm as b from f0 where has_tags and title_norm <> '' and t_title_norm <> ''
+  union select distinct own_artist, t_artist_norm from f0 where has_tags and own_artist <> '' and t_artist_norm <> '' and not ok
+  union select distinct name_norm, t_name_norm from f0 where not has_tags),
+{RATIO},
+scored as (
+  select f0.*, coalesce(rn.ratio, 0) * 100 as plain_name,
+         case when has_tags then coalesce(rt.ratio, 0) * 100 * 0.6::double + case when ok then 100.0::double else coalesce(ra.ratio, 0) * 100 end * 0.4::double
+              when list_has_any(name_tokens, {words('t_name_norm')}) then coalesce(rn.ratio, 0) * 100 else 0 end as score
+  from f0 left join ratios rt on has_tags and rt.a = title_norm and rt.b = t_title_norm left join ratios ra on has_tags and not ok and ra.a = own_artist and ra.b = t_artist_norm
+  left join ratios rn on not has_tags and rn.a = name_norm and rn.b = t_name_norm)
+"""
+
+
+def manual_keys(label: str) -> str:
+    slashed = rf"trim(replace({label}, '\\', '/'))"
+    last = f"case when {base(slashed)} <> '' then {base(slashed)} else {slashed} end"
+    return f"['exact|' || trim({label}), 'base|' || {last}, 'norm|' || trim(lower(strip_accents({last})))]"
+
+
+def learned(path_norm: str) -> str:
+    return f"""[case when {path_norm} <> '' then 'base|' || {path_norm} end, case when canon <> '' and artist_norm <> '' then 'at|' || artist_norm || '|' || canon || '|' || {bucket('duration')} end,
+      case when canon <> '' then 't|' || canon || '|' || {bucket('duration')} end]"""
+
+
+SQL |= {
+    "similar_upgrade": f"with {T}, {E} select eid, track_id, t_bitrate from e join t on canon = t_canon where {SIMILAR} {BEST}",
+    "alias_upgrade": f"with {T}, {E}, {P}, {BLOCKS} select eid, track_id, t_bitrate from e join blocks using (title_tokens, artist_tokens) join t using (track_id) where has_tags and {ALIAS_FIT} {BEST}",
+    "derived_equality": f"""
+with {T}, {E}, {P}, {NAME_BLOCKS}, c0 as (select *, {name('name')} as nb from e join nblocks using (name_tokens) join t using (track_id)),
+c as (select *, coalesce({norm(before('nb'))}, '') as named, {norm(after('nb'))} as titled from c0),
+g as (select * from c where t_title_norm = titled and (named = '' or t_artist_norm = named) qualify not t_auto or not bool_or(not t_auto) over (partition by eid))
+select eid, track_id, t_bitrate from g qualify row_number() over (partition by eid order by (regexp_matches(name, '{REMIX}') or not t_remix) desc, t_bitrate desc, track_id) = 1""",
+    "soft_top5": f"""
+with recursive {T}, {E}, a as (select * from e where service and pure_norm <> ''), pairs as (select distinct pure_norm as a, t_title_norm as b from a, (select distinct t_title_norm from t where t_title_norm <> '')), {RATIO},
+r as (select eid, track_id, ratio * 100 as score, row_number() over (partition by eid order by ratio * 100 desc, t_bitrate desc, track_id)::int as rank
+      from a join ratios on ratios.a = pure_norm and ratio * 100 >= 60 join t on t_title_norm = b where coalesce(abs(duration - t_duration) <= 15, true))
+select eid, rank, track_id, score from r where rank <= 5""",
+    "manual_priority_join": f"""
+with recursive {T}, {E},
+ch0 as (select raw_path as label, min(title) as title from e0 where pos % 7 = 0 and title is not null group by raw_path),
+manual as (select key, min(path) as chosen from (select unnest({manual_keys('label')}) as key, path from ch0 join (select title, min(path) as path from t0 group by title) using (title)) group by key),
+l0 as (select *, list_filter([raw_path, name, trim(coalesce(artist, '') || ' - ' || coalesce(title, ''), ' -')], lambda x: x <> '') as ls from e),
+l1 as (select *, unnest(ls) as label, generate_subscripts(ls, 1) - 1 as label_no from l0),
+l2 as (select *, unnest({manual_keys('label')}) as key, unnest([0, 1, 2]) as key_no from l1),
+l3 as (select * from l2 join manual using (key) qualify row_number() over (partition by eid, label_no order by key_no) = 1),
+found as (select * from l3 join t on lower(chosen) = lower(t_path)), {MEMORY}
+select eid, track_id, label_no::int as label_no, round(score, 6) as score from scored where case when has_tags then score >= 50 else plain_name >= 50 end
+qualify row_number() over (partition by eid order by label_no) = 1""",
+    "learned_priority_join": f"""
+with recursive {T}, {E}, {IDENTITY},
+k0 as (select t_path as path, unnest(list_filter(list_concat([eid], {learned('name_norm')}), lambda x: x is not null and not starts_with(x, 'at|'))) as key from im join e using (eid)),
+known as (select key, min(path) as chosen from k0 group by key),
+a0 as (select *, list_filter(list_concat({learned('name_norm')}, [eid]), lambda x: x is not null) as ks from e),
+a1 as (select *, unnest(ks) as key, generate_subscripts(ks, 1) as prio from a0),
+a2 as (select * from a1 join known using (key) qualify row_number() over (partition by eid order by prio) = 1),
+found as (select *, case when key = eid then 'exact' else 'learned' end as how from a2 join t on lower(chosen) = lower(t_path)), {MEMORY}
+select eid, track_id, how as "by", round(score, 6) as score from scored where score >= case when how = 'exact' then 80 else 60 end""",
+}
+
 VARIANT = "case p_size % 3 when 0 then p_type || ' & ' || p_brand when 1 then p_brand || ' y ' || p_type else 'The ' || p_type || ' ' || p_brand end"
 STOPS = ", ".join(f"'{w}'" for w in STOP_TOKENS)
 
