@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, remainder
+from .common import documents, keep, remainder
 
 TOKEN = re.compile(r"[^\W\d_]+")
 FLUSH = 300_000
@@ -69,18 +69,25 @@ def segments(hits: list[tuple[int, float]], n: int, rest: float) -> list[tuple[i
     return [(s, e, b - a) for a, b, s, e in found]
 
 
+def labelled(docs: DataFrame, labels: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """docs with their labels(doc_id, toxic); broadcast up to a checked number of rows, so that texts stay where they are."""
+    return docs.join(F.broadcast(labels) if labels.count() <= most else labels, "doc_id")
+
+
 def learn_words(train: DataFrame, prior: float = 50.0, least_z: float = 3.0, least_rate: float = 0.004, least_odds: float = 1.5) -> dict | None:
     """Scores of the words that mark toxic texts, from train(text, toxic).
 
     The prior of a word is its share of all text, times `prior` pseudo-texts. A kept word is in at least least_rate of the
     toxic texts, so the driver gets at most (mean distinct words of a toxic text) / least_rate of them.
     """
-    once = train.groupBy(F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    # the first document of each text; the texts themselves are not shuffled
+    once = train.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    once = keep(once.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxicity-once")
     sizes = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
     bad, good = sizes[1], sizes[0]
-    words = once.select("text", "toxic").mapInArrow(count_words, "word string, toxic int, n long")
+    words = labelled(train.drop("toxic"), once).select("text", "toxic").mapInArrow(count_words, "word string, toxic int, n long")
     y, x = F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0))
     counts = words.groupBy("word").agg(y.alias("y"), x.alias("x")).where(F.col("y") >= F.lit(max(2.0, least_rate * bad)))
     a = F.lit(prior) * (F.col("y") + F.col("x")) / (bad + good)
@@ -157,8 +164,8 @@ def logistic(bins: list[tuple[float, int, int]], steps: int = 60) -> tuple[float
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, training: Column | None = None, **options) -> DataFrame:
     """doc_id, score, predicted, n_segments, best_start, best_end for every document; labels(doc_id, toxic) are learned where `training` holds."""
-    known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    train = documents(docs if training is None else docs.where(training)).join(known, "doc_id")
+    known = keep(labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "toxicity-labels")
+    train = labelled(documents(docs if training is None else docs.where(training)), known)
     model = learn_words(train, **options)
     if model is None:
         return documents(docs).select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).alias("n_segments"), F.lit(-1).alias("best_start"), F.lit(-1).alias("best_end"))
