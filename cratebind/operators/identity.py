@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import keys as K
 from ..functions import text as T
+from .blocking import set_id
 from .scoring import best_bitrate, prefer
 
 KEY = ["k_artist", "k_canon", "k_bucket", "k_remix"]
@@ -65,11 +66,19 @@ def alias_best(pairs: DataFrame, tolerance: float = 3.0) -> DataFrame:
 
 def derived_equal(pairs: DataFrame) -> DataFrame:
     """The best of an entry's candidates whose tags are what its file name says: eid, track_id."""
-    artist, title = T.split_name(F.col("name"))
-    named = T.norm(artist)
-    good = (F.col("t_title_norm") == T.norm(title)) & ((named == "") | (F.col("t_artist_norm") == named))
+    good = (F.col("t_title_norm") == F.col("said_title")) & ((F.col("said_artist") == "") | (F.col("t_artist_norm") == F.col("said_artist")))
     kept = prefer(pairs.where(good), "eid", ~F.col("t_auto"))
-    return best_bitrate(kept, "eid", T.is_remix(F.col("name")) | ~F.col("t_remix"))
+    return best_bitrate(kept, "eid", F.col("name_remix") | ~F.col("t_remix"))
+
+
+def derived_pairs(entries: DataFrame, tracks: DataFrame, postings: DataFrame) -> DataFrame:
+    """The name candidates that derived_equal can choose from: joined on the title first, then held to the blocks."""
+    asked = entries.withColumn("sid", set_id("name_tokens"))
+    equal = asked.join(tracks.withColumn("said_title", F.col("t_title_norm")), "said_title")
+    sets = asked.select("sid", "name_tokens").dropDuplicates(["sid"]).where(F.size("name_tokens") > 0)
+    wanted = equal.select("sid", "track_id").distinct().join(sets.select("sid", F.explode(F.array_distinct("name_tokens")).alias("token")), "sid")
+    there = postings.where(F.col("token_type").isin("name", "title")).select("token", "track_id").distinct()
+    return equal.join(wanted.join(there, ["token", "track_id"]).select("sid", "track_id").distinct(), ["sid", "track_id"]).drop("sid")
 
 
 def similar_join(entries: DataFrame, tracks: DataFrame, tolerance: int = 3) -> DataFrame:

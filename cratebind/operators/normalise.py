@@ -41,6 +41,9 @@ def normalise_entries(entries: DataFrame, aliases: DataFrame | None = None) -> D
         "remix": T.is_remix(title),
         "pure_remix": T.is_remix(F.col("pure")),
         "service": T.is_service_id(T.text("raw_path")),
+        "name_remix": T.is_remix(F.col("name")),
+        "said_artist": T.norm(T.split_name(F.col("name"))[0]),
+        "said_title": T.norm(T.split_name(F.col("name"))[1]),
     })
 
 
@@ -54,12 +57,12 @@ def normalise_tracks(tracks: DataFrame, aliases: DataFrame | None = None) -> Dat
         T.artist_with_fallback(artist, title).alias("t_fallback"), T.basename(T.text("path")).alias("t_name"),
     )
     base = with_alias(with_alias(base, "t_artist_norm", aliases), "t_fallback", aliases)
-    return base.withColumns({
-        "t_name_norm": T.norm(F.col("t_name")),
+    return base.withColumn("t_name_norm", T.norm(F.col("t_name"))).withColumns({
         "t_canon": T.canon_title(F.col("t_title")),
         "t_pure_canon": T.canon_title(F.col("t_pure")),
         "t_title_tokens": T.words_of(F.col("t_title_norm")),
         "t_artist_tokens": T.words_of(F.col("t_artist_norm")),
+        "t_name_tokens": T.words_of(F.col("t_name_norm")),
         "t_parts": T.artist_parts(F.col("t_artist_norm")),
         "t_remix": T.is_remix(F.col("t_title")),
         "t_pure_remix": T.is_remix(F.col("t_pure")),

@@ -213,7 +213,7 @@ select conv_id as playlist, pos, arg_max(meta, turn) filter (where meta is not n
 with t0 as ({TRACKS}) select track_id, '#EXTVDJ:<filesize>' || track_id || '</filesize>' || case when coalesce(artist, '') <> '' then '<artist>' || artist || '</artist>' else '' end
   || '<title>' || title || '</title><songlength>' || printf('%.3f', duration) || '</songlength>' as line from t0""",
     "media_lines": r"""
-select page_id, regexp_matches(lower(trim(url)), '\.(mp3|mp4|m4a|flac|wav|wma|aac|webm|ogg|mkv|avi)$') and not regexp_matches(url, '[<>]') as media, regexp_extract(html, '(?i)<title>(.*?)</title>', 1) as title from pages""",
+select page_id, regexp_matches(lower(trim(url)), '\.(mp3|mp4|m4a|flac|wav|wma|aac|webm|ogg|mkv|avi)$') and not regexp_matches(url, '[<>]') as media, trim(regexp_extract(html, '(?i)<title>(.*?)</title>', 1)) as title from pages""",
     "output_paths": r"""
 with p as (select 'C:/lists/' || p_brand || '/' || p_name || case p_size % 3 when 0 then '_actualizada' when 1 then '_actualizada_actualizada' else '' end || '.m3u' as path from part)
 select path, regexp_replace(path, '[^/\\]*$', '') || regexp_replace(regexp_replace(regexp_extract(path, '([^/\\]*)$', 1), '\.[^.]*$', ''), '(_actualizada)+$', '') || '_actualizada.m3u' as output from p""",
@@ -227,10 +227,6 @@ from e0 join t0 on t0.path = raw_path""",
 
 ALIAS_FIT = f"(canon <> '' and artist_norm <> '' and canon = t_canon and ((coalesce(t_artist, '') <> '' and {COMPATIBLE}) or contains(t_name_norm, artist_norm)) and coalesce(abs(duration - t_duration) <= 3, true))"
 BEST = "qualify row_number() over (partition by eid order by (not t_auto) desc, (not t_remix) desc, t_bitrate desc, track_id) = 1"
-NAME_BLOCKS = """
-nsets as (select distinct name_tokens from e),
-nblocks as (select distinct name_tokens, track_id from (select *, unnest(name_tokens) as token from nsets) join post using (token) where token_type in ('name', 'title'))
-"""
 IDENTITY = f"""
 ik as ({keys('t_fallback', 't_pure_canon', 't_pure_remix', 't_duration', 0, 't', 'track_id, t_bitrate, t_auto')}),
 ib as (select k_artist, k_canon, k_bucket, k_remix, arg_max(track_id, (t_bitrate, -track_id)) as best_all, arg_max(track_id, (t_bitrate, -track_id)) filter (where not t_auto) as best_real from ik group by all),
@@ -269,9 +265,10 @@ SQL |= {
     "similar_upgrade": f"with {T}, {E} select eid, track_id, t_bitrate from e join t on canon = t_canon where {SIMILAR} {BEST}",
     "alias_upgrade": f"with {T}, {E}, {P}, {BLOCKS} select eid, track_id, t_bitrate from e join blocks using (title_tokens, artist_tokens) join t using (track_id) where has_tags and {ALIAS_FIT} {BEST}",
     "derived_equality": f"""
-with {T}, {E}, {P}, {NAME_BLOCKS}, c0 as (select *, {name('name')} as nb from e join nblocks using (name_tokens) join t using (track_id)),
-c as (select *, coalesce({norm(before('nb'))}, '') as named, {norm(after('nb'))} as titled from c0),
-g as (select * from c where t_title_norm = titled and (named = '' or t_artist_norm = named) qualify not t_auto or not bool_or(not t_auto) over (partition by eid))
+with {T}, {E}, {P}, c0 as (select *, {name('name')} as nb from e), c1 as (select *, coalesce({norm(before('nb'))}, '') as named, {norm(after('nb'))} as titled from c0),
+c as (select * from c1 join t on t_title_norm = titled and (named = '' or t_artist_norm = named)
+      where exists (select 1 from post where post.track_id = t.track_id and token_type in ('name', 'title') and list_contains(name_tokens, token))),
+g as (select * from c qualify not t_auto or not bool_or(not t_auto) over (partition by eid))
 select eid, track_id, t_bitrate from g qualify row_number() over (partition by eid order by (regexp_matches(name, '{REMIX}') or not t_remix) desc, t_bitrate desc, track_id) = 1""",
     "soft_top5": f"""
 with recursive {T}, {E}, a as (select * from e where service and pure_norm <> ''), pairs as (select distinct pure_norm as a, t_title_norm as b from a, (select distinct t_title_norm from t where t_title_norm <> '')), {RATIO},

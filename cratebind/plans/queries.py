@@ -35,8 +35,9 @@ def best_match_tags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def best_match_name(spark: SparkSession, folder: str) -> DataFrame:
+    """The name phase, for the entries that have no tags to go by."""
     entries, tracks, postings, _ = library(spark, folder)
-    pairs = scoring.name_score(blocking.name_candidates(stored(entries, "entries"), stored(tracks, "tracks"), stored(postings, "postings")))
+    pairs = scoring.name_score(blocking.name_candidates(stored(entries.where("not has_tags"), "entries"), stored(tracks, "tracks"), stored(postings, "postings")))
     return scoring.best_by_name(pairs).select("eid", "track_id", F.round("score", 6).alias("score"))
 
 
@@ -72,7 +73,7 @@ def alias_upgrade(spark: SparkSession, folder: str) -> DataFrame:
 
 def derived_equality(spark: SparkSession, folder: str) -> DataFrame:
     entries, tracks, postings, _ = library(spark, folder)
-    return identity.derived_equal(blocking.name_candidates(entries, tracks, postings)).select("eid", "track_id", "t_bitrate")
+    return identity.derived_equal(identity.derived_pairs(stored(entries, "entries"), stored(tracks, "tracks"), stored(postings, "postings"))).select("eid", "track_id", "t_bitrate")
 
 
 def candidates_top12(spark: SparkSession, folder: str) -> DataFrame:
