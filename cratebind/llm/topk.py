@@ -5,7 +5,7 @@ pivot and its distance to it, and each pivot's rows are cut into annuli. A query
 k rows, which bounds the distance of its k-th neighbour; then, by the triangle inequality, it needs only the annuli that
 reach within that bound. Pivots and annulus borders are fitted on a bounded sample and affect the speed alone.
 
-Rules for odd input: vectors that are null, empty or hold null or non-finite components take no part, nor do those whose
+Rules for odd input: vectors without an id, and those that are null, empty or hold null or non-finite components take no part, nor do those whose
 length is not the most frequent one; ties go to the smaller vec_id; equal vectors and repeated ids are rows of their own,
 but a query skips every row of its own id; fewer than k other rows give all of them; an empty table gives no rows.
 """
@@ -29,7 +29,7 @@ SLACK = 1e-6
 def integers(vectors: DataFrame, scale: int = 64) -> DataFrame:
     """vec_id, x: floor(scale * component) of the usable vectors."""
     e = F.col("embedding")
-    good = e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    good = F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = vectors.where(good).select("vec_id", F.transform(e, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("x"))
     usual = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("x") == (usual["n"] if usual else 0))
@@ -190,7 +190,7 @@ def op8(vectors: DataFrame) -> DataFrame:
 OP8_SQL = """
 with v as (
   select vec_id, [floor(64 * x::double)::bigint for x in embedding] as x from embeddings
-  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 u as (select vec_id, [c::double for c in x] as x from v where len(x) = (select len(x) from v group by 1 order by count(*) desc, 1 limit 1)),
 p as (
   select q.vec_id as query_id, c.vec_id, list_dot_product(q.x, c.x)::bigint as score

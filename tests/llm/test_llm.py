@@ -273,9 +273,9 @@ def test_near_dedup_against_brute_force(spark, none):
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(0, 1, (240, 6)).round(2)
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(300, None), (301, [1.0, None] + [0.0] * 4), (302, [float("nan")] * 6), (303, [1.0]), (20, [0.5] * 6), (305, [float(v) for v in x[7]])]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(300, None), (301, [1.0, None] + [0.0] * 4), (302, [float("nan")] * 6), (303, [1.0]), (20, [0.5] * 6), (305, [float(v) for v in x[7]]), (None, [0.5] * 6)]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "vec_id long, embedding array<float>, score string")
-    good = [(i, np.floor(64 * np.float32(v).astype(float)).astype(int)) for i, v in rows if v and len(v) == 6 and None not in v and np.isfinite(v).all()]
+    good = [(i, np.floor(64 * np.float32(v).astype(float)).astype(int)) for i, v in rows if i is not None and v and len(v) == 6 and None not in v and np.isfinite(v).all()]
     want = set()
     for i, q in good:
         if i % 20 == 0 and i != 20:
