@@ -30,8 +30,8 @@ def library(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Dat
 
 def best_match_tags(spark: SparkSession, folder: str) -> DataFrame:
     entries, tracks, postings, _ = library(spark, folder)
-    pairs = scoring.tag_score(blocking.tag_candidates(stored(entries, "entries"), stored(tracks, "tracks"), stored(postings, "postings")))
-    return scoring.best_by_tags(pairs).select("eid", "track_id", F.round("score", 6).alias("score"))
+    best = scoring.match_by_tags(stored(entries, "entries"), stored(tracks, "tracks"), stored(postings, "postings"))
+    return best.select("eid", "track_id", F.round("score", 6).alias("score"))
 
 
 def best_match_name(spark: SparkSession, folder: str) -> DataFrame:
