@@ -2,11 +2,12 @@
 
 A text is the sequence of its words. Every run of five words is labelled with its occurrence number; each of several hash
 functions keeps the two smallest labelled runs in text order, so a sketch value agrees when content and order agree.
-Texts that share a value are candidates, and a banded alignment of their words decides: similarity is 1 minus the edit
-distance over the longer length, and 0.8 or more links two texts. Classes are the connected components.
+All texts that share a value are candidates, and a banded alignment of their words decides: similarity is 1 minus the edit
+distance over the longer length, and 0.8 or more links two texts. Classes are the connected components. Pairs of texts that
+are of one component already are not aligned, nor are those whose lengths or word counts rule out 0.8.
 
 Rules for odd input: null texts and texts without words are alone in their class, unless they are repeated exactly; texts
-of fewer than five words are one run; equal texts are always of one class, also under one doc_id; an empty table gives no rows.
+of fewer words than a run are one run; equal texts are always of one class, also under one doc_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,11 @@ from pyspark.sql.window import Window
 from .common import documents, keep
 
 RUN = 5
+SHORT_RUN = 2
+SHORT = 0  #: texts of up to so many words have the values of short texts
+LONG = 1  #: texts of at least so many words have the others; at most 0.8 * (SHORT + 1), so that similar texts share a kind
+CELLS = 64
+BLOCK = 1024
 BIG = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -31,11 +37,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def labelled_runs(words: np.ndarray) -> np.ndarray:
-    """A number for each run of RUN words and its occurrence in the text."""
-    n = max(1, len(words) - RUN + 1)
+def labelled_runs(words: np.ndarray, size: int = RUN) -> np.ndarray:
+    """A number for each run of `size` words and its occurrence in the text."""
+    n = max(1, len(words) - size + 1)
     runs = np.zeros(n, np.uint64)
-    for i in range(min(RUN, len(words))):
+    for i in range(min(size, len(words))):
         runs = runs * np.uint64(0xD6E8FEB86659FD93) + words[i : i + n]
     runs = mix(runs)
     order = np.argsort(runs, kind="stable")
@@ -49,14 +55,9 @@ def labelled_runs(words: np.ndarray) -> np.ndarray:
     return runs
 
 
-def order_sketch(text: str, seeds: np.ndarray) -> list[int] | None:
+def order_sketch(words: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """One value for each seed: the two smallest labelled runs under its hash, in text order."""
-    words = text.encode().split()
-    if not words:
-        return None
-    runs = labelled_runs(np.array([crc32(w) for w in words], np.uint64))
-    if len(runs) == 1:
-        return mix(runs ^ seeds).astype(np.int64).tolist()
+    runs = labelled_runs(words)
     out = []
     step = max(1, 2_000_000 // len(runs))
     for i in range(0, len(seeds), step):
@@ -67,7 +68,29 @@ def order_sketch(text: str, seeds: np.ndarray) -> list[int] | None:
         second = hashed.argmin(1)
         a, b = np.minimum(first, second), np.maximum(first, second)
         out.append(mix(mix(runs[a] ^ seeds[i : i + step]) * np.uint64(3) + runs[b]))
-    return np.concatenate(out).astype(np.int64).tolist()
+    return mix(np.concatenate(out) ^ seeds)
+
+
+def short_sketch(words: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """One value for each seed: the smallest labelled run of two words under its hash."""
+    runs = labelled_runs(words, SHORT_RUN)
+    return mix(mix(runs[None, :] ^ seeds[:, None]).min(1) ^ ~seeds)
+
+
+def sketch(words: np.ndarray, seeds: np.ndarray, short_seeds: np.ndarray) -> list[int] | None:
+    """The values of a text; those of different seeds never meet, so that a value alone is a key."""
+    if not len(words):
+        return None
+    parts = [short_sketch(words, short_seeds)] if len(words) <= SHORT else []
+    if len(words) >= LONG:
+        parts.append(order_sketch(words, seeds))
+    return np.concatenate(parts).astype(np.int64).tolist()
+
+
+def cell_counts(words: np.ndarray) -> bytes:
+    """How many words are in each of CELLS cells. An edit adds one to a cell at most and takes one from a cell at most."""
+    n = np.bincount((words % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    return np.minimum(n, 65535).astype(np.uint16).tobytes()
 
 
 def banded_distance(a: list[int], b: list[int], k: int) -> int:
@@ -138,49 +161,122 @@ def similar(a: str, b: str, least: float) -> bool:
     return banded_distance(x, y, k) <= k if longer else False
 
 
-def sketches(docs: DataFrame, values: int) -> DataFrame:
-    """doc_id, node (digest of the text) and its sketch; no text is shuffled for it."""
-    key = docs.schema["doc_id"].dataType.simpleString()
-    seeds = mix(np.arange(1, values + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+def sketches(docs: DataFrame, values: int, short_values: int) -> DataFrame:
+    """node (digest of the text), its sketch, number of words and cell counts; no text is shuffled for it."""
+    seeds, short_seeds = (mix(np.arange(i, i + n, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) for i, n in ((1, values), (1 << 20, short_values)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [order_sketch(t, seeds) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "node", "sketch"])
+            words = [np.array([crc32(w) for w in t.encode().split()], np.uint64) for t in batch.column(1).to_pylist()]
+            found = [sketch(w, seeds, short_seeds) for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), pa.array([len(w) for w in words], pa.int32()), pa.array([cell_counts(w) for w in words], pa.binary())], ["node", "sketch", "n_words", "cells"])
 
-    rows = documents(docs).select("doc_id", node_of("text").alias("node"), "text")
-    return rows.mapInArrow(work, f"doc_id {key}, node binary, sketch array<long>")
+    rows = documents(docs).select(node_of("text").alias("node"), "text")
+    return rows.mapInArrow(work, "node binary, sketch array<long>, n_words int, cells binary")
 
 
 def node_of(column: str):
     return F.unhex(F.md5(F.coalesce(F.col(column), F.lit(""))))
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a sketch value, each node with the first and last node of every bucket it is in.
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """(node, value, n) of every value that n > 1 nodes share."""
+    values = nodes.select("node", F.explode(F.array_distinct("sketch")).alias("value"))
+    shared = values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    return keep(values.join(shared, "value").select("node", "value", "n"), "near-members")
 
-    A bucket of n texts gives at most 2 n pairs. A large bucket is also cut by the next sketch value, which parts texts
-    that share just a frequent passage, and each part has leaders of its own, which makes up for the links its size hides.
-    """
-    values = nodes.select("node", F.posexplode("sketch").alias("band", "value"), "sketch")
-    nxt = F.element_at("sketch", (F.col("band") + 1) % F.size("sketch") + 1)
-    rows = keep(values.select("node", F.col("band").cast("short").alias("band"), "value", nxt.alias("more")), "near-values")
-    first, last = F.min("node").alias("first"), F.max("node").alias("last")
-    whole = rows.groupBy("band", "value").agg(first, last, F.count("*").alias("n")).where("n > 1")
-    members = rows.join(whole, ["band", "value"])
-    fine = rows.join(whole.where("n > 32").select("band", "value"), ["band", "value"], "left_semi")
-    parts = fine.groupBy("band", "value", "more").agg(first, last, F.count("*").alias("n")).where("n > 1")
-    finer = fine.join(parts, ["band", "value", "more"])
-    # the parts of a large bucket have leaders enough: of the bucket itself one does
+
+def leader_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node with the first and last node of every bucket it is in: a cheap first pass, 2 n pairs a bucket."""
+    ends = members.groupBy("value").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+    # of a large bucket one leader does: what it leaves open is met afterwards
     last = F.when(F.col("n") > 32, F.col("first")).otherwise(F.col("last"))
-    both = members.select("node", "first", last.alias("last")).unionByName(finer.select("node", "first", "last"))
-    ends = both.select("node", F.explode(F.array("first", "last")).alias("leader")).where(F.col("node") != F.col("leader"))
-    return ends.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    both = members.join(ends, "value").select("node", F.explode(F.array("first", last)).alias("leader")).where(F.col("node") != F.col("leader"))
+    return both.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+
+def open_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: float, nearest: bool, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket, are of different components and may be similar by length and word counts.
+
+    With `nearest`, each node of a block of a bucket has only its nearest such node of each block. Buckets are cut into
+    blocks of about `block` nodes, and every two blocks of a bucket meet in a group of their own, in any task.
+    """
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = placed.join(left, "value").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    rows = rows.join(nodes.select("node", "n_words", "cells"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "n_words", "cells")
+    dealt = rows.repartition("value", "low", "high").sortWithinPartitions("value", "low", "high")
+
+    def meet(group: pa.Table) -> tuple[list[bytes], list[bytes]]:
+        node, root, own = group.column("node").to_pylist(), group.column("root").to_pylist(), group.column("own").to_numpy()
+        number: dict[bytes, int] = {}
+        of = np.array([number.setdefault(r, len(number)) for r in root])
+        first, second = [], []
+        if len(number) < 2:
+            return first, second
+        size = group.column("n_words").to_numpy()
+        cells = np.frombuffer(b"".join(group.column("cells").to_pylist()), np.uint16).reshape(-1, CELLS).astype(np.int32)
+        same = group.column("low")[0] == group.column("high")[0]
+        lower = own == group.column("low")[0].as_py()
+        for i in range(len(node)):
+            fit = of != of[i]
+            if not same:
+                fit &= lower != lower[i]
+            if not nearest:  # each pair once
+                fit[: i + 1] = False
+            most = ((1 - least) * np.maximum(size, size[i]) + 1e-9).astype(np.int64)
+            at = np.flatnonzero(fit & (np.abs(size - size[i]) <= most))
+            if not len(at):
+                continue
+            apart = cells[at] - cells[i]
+            bound = np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1))
+            good = bound <= most[at]
+            at, bound = at[good], bound[good]
+            if nearest and len(at):
+                at = at[[bound.argmin()]]
+            for j in at:
+                first.append(min(node[i], node[j]))
+                second.append(max(node[i], node[j]))
+        return first, second
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def groups(table: pa.Table, final: bool) -> tuple[list[int], int]:
+            keys = [table.column(i).to_numpy() for i in range(3)]
+            cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], 0)) + 1
+            starts = [0, *cut.tolist()]
+            return starts + ([table.num_rows] if final else []), starts[-1]
+
+        def pairs(table: pa.Table, starts: list[int]) -> Iterator[pa.RecordBatch]:
+            a, b = [], []
+            for i, j in zip(starts, starts[1:]):
+                x, y = meet(table.slice(i, j - i))
+                a += x
+                b += y
+                if len(a) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                    a, b = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            starts, rest = groups(table, False)
+            yield from pairs(table, starts)
+            held = table.slice(rest).combine_chunks().to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from pairs(table, groups(table, True)[0])
+
+    return dealt.mapInArrow(work, "a binary, b binary").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs whose texts are similar."""
-    pairs = keep(pairs, "near-pairs")
+    """The pairs, which are stored, whose texts are similar."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = documents(docs).select(node_of("text").alias("node"), "text").join(named, "node", "left_semi")
     one = keep(texts.dropDuplicates(["node"]), "near-texts")
@@ -223,11 +319,27 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def near_classes(docs: DataFrame, values: int = 24, least: float = 0.8) -> DataFrame:
-    """node, root for the distinct texts that are linked to a smaller one."""
-    made = keep(sketches(docs, values), "near-sketches")
+def near_classes(docs: DataFrame, values: int = 24, short_values: int = 24, least: float = 0.8) -> DataFrame:
+    """node, root for the distinct texts that are linked to a smaller one.
+
+    Leaders link most of a bucket; then each text meets its nearest text of another component; then all pairs of a bucket
+    that are still of different components meet, so that no two similar texts that share a value stay apart.
+    """
+    made = keep(sketches(docs, values, short_values), "near-sketches")
     nodes = made.where(F.col("sketch").isNotNull()).dropDuplicates(["node"])
-    return components(verified(candidate_pairs(nodes), docs, least))
+    members = bucket_members(nodes)
+    seen = keep(leader_pairs(members), "near-pairs")
+    links = keep(verified(seen, docs, least), "near-similar")
+    roots = components(links)
+    for nearest in (True, False):
+        pairs = keep(open_pairs(members, nodes, roots, least, nearest).join(seen, ["a", "b"], "left_anti"), "near-pairs")
+        if not pairs.take(1):
+            continue
+        found = keep(verified(pairs, docs, least), "near-similar")
+        seen, links = seen.unionByName(pairs), links.unionByName(found)
+        if found.take(1):
+            roots = components(links)
+    return roots
 
 
 def classify(docs: DataFrame, **options) -> DataFrame:

@@ -270,6 +270,17 @@ def test_near_dedup_against_brute_force(spark, none):
     assert near_dedup.op7(none).collect() == [] and near_dedup.drop_near(none).collect() == []
 
 
+def test_near_dedup_meets_all_pairs_of_a_bucket_across_blocks(spark):
+    nodes = [(bytes([i]) * 16, [1], 10, near_dedup.cell_counts(np.array([i // 2] * 10, np.uint64))) for i in range(40)]
+    frame = spark.createDataFrame(nodes, "node binary, sketch array<long>, n_words int, cells binary")
+    members = near_dedup.bucket_members(frame)
+    none = spark.createDataFrame([], "node binary, root binary")
+    found = near_dedup.open_pairs(members, frame, none, 0.8, False, block=7).collect()
+    assert sorted((r["a"][0], r["b"][0]) for r in found) == [(i, i + 1) for i in range(0, 40, 2)]
+    joined = spark.createDataFrame([(bytes([i + 1]) * 16, bytes([i]) * 16) for i in range(0, 40, 2)], "node binary, root binary")
+    assert near_dedup.open_pairs(members, frame, joined, 0.8, False, block=7).collect() == []
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(0, 1, (240, 6)).round(2)
