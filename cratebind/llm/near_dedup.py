@@ -1,7 +1,8 @@
 """Near-duplicate classes by Order MinHash and banded alignment.
 
-A text is the sequence of its words. Every run of five words is labelled with its occurrence number; each of several hash
-functions keeps the two smallest labelled runs in text order, so a sketch value agrees when content and order agree.
+A text is the sequence of its words. Every run of three words is labelled with its occurrence number; each of several hash
+functions keeps the two smallest labelled runs in text order, so a sketch value agrees when content and order agree. Short
+texts have values of their own: the smallest labelled run of two words under each of several hash functions.
 All texts that share a value are candidates, and a banded alignment of their words decides: similarity is 1 minus the edit
 distance over the longer length, and 0.8 or more links two texts. Classes are the connected components. Pairs of texts that
 are of one component already are not aligned, nor are those whose lengths or word counts rule out 0.8.
@@ -23,10 +24,10 @@ from pyspark.sql.window import Window
 
 from .common import documents, keep
 
-RUN = 5
+RUN = 3
 SHORT_RUN = 2
-SHORT = 0  #: texts of up to so many words have the values of short texts
-LONG = 1  #: texts of at least so many words have the others; at most 0.8 * (SHORT + 1), so that similar texts share a kind
+SHORT = 64  #: texts of up to so many words have the values of short texts
+LONG = 50  #: texts of at least so many words have the others; at most 0.8 * (SHORT + 1), so that similar texts share a kind
 CELLS = 64
 BLOCK = 1024
 BIG = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -319,7 +320,7 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def near_classes(docs: DataFrame, values: int = 24, short_values: int = 24, least: float = 0.8) -> DataFrame:
+def near_classes(docs: DataFrame, values: int = 48, short_values: int = 24, least: float = 0.8) -> DataFrame:
     """node, root for the distinct texts that are linked to a smaller one.
 
     Leaders link most of a bucket; then each text meets its nearest text of another component; then all pairs of a bucket

@@ -270,6 +270,21 @@ def test_near_dedup_against_brute_force(spark, none):
     assert near_dedup.op7(none).collect() == [] and near_dedup.drop_near(none).collect() == []
 
 
+def changed(rng, base, n):
+    """base with n of its words, anywhere, replaced by new ones."""
+    at = set(rng.sample(range(len(base)), n))
+    return [f"new{rng.random()}" if i in at else w for i, w in enumerate(base)]
+
+
+def test_near_dedup_links_a_hub_and_its_copies(spark):
+    rng = random.Random(18)
+    hub = [f"w{i}" for i in range(100)]
+    texts = [hub, *(changed(rng, hub, 12) for _ in range(1500))]
+    assert all(near_dedup.similar(" ".join(hub), " ".join(t), 0.8) for t in texts)
+    found = near_dedup.op7(docs_of(spark, [(i, " ".join(t), None, None) for i, t in enumerate(texts)])).collect()
+    assert {(r["class_id"], r["class_size"]) for r in found} == {(0, 1501)}
+
+
 def test_near_dedup_meets_all_pairs_of_a_bucket_across_blocks(spark):
     nodes = [(bytes([i]) * 16, [1], 10, near_dedup.cell_counts(np.array([i // 2] * 10, np.uint64))) for i in range(40)]
     frame = spark.createDataFrame(nodes, "node binary, sketch array<long>, n_words int, cells binary")
@@ -281,6 +296,22 @@ def test_near_dedup_meets_all_pairs_of_a_bucket_across_blocks(spark):
     assert near_dedup.open_pairs(members, frame, joined, 0.8, False, block=7).collect() == []
 
 
+def test_near_dedup_recall(spark):
+    rng = random.Random(20)
+    rows, sure = [], []
+    for n, k in ((5, 1), (9, 1), (10, 1), (10, 2), (20, 4), (50, 10), (64, 12), (65, 13), (100, 10), (100, 15), (100, 20), (400, 80)):
+        for _ in range(40):
+            base = [f"x{rng.random()}" for _ in range(n)]
+            i = len(rows)
+            rows += [(i, " ".join(base), None, None), (i + 1, " ".join(changed(rng, base, k)), None, None)]
+            sure.append((n, k, i))
+    found = by_id(near_dedup.op7(docs_of(spark, rows)))
+    lost = [(n, k) for n, k, i in sure if found[i + 1]["class_id"] != i]
+    assert len(lost) <= 0.02 * len(sure), lost
+    assert not [x for x in lost if x[0] <= 64], lost
+    assert max(r["class_size"] for r in found.values()) == 2
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(0, 1, (240, 6)).round(2)
