@@ -35,16 +35,27 @@ def best_match_tags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def best_match_name(spark: SparkSession, folder: str) -> DataFrame:
-    """The name phase, for the entries that have no tags to go by."""
+    """The name phase, for all entries that it serves: those without tags, and tagged ones, not of a service, that the tag phase leaves open."""
     entries, tracks, postings, _ = library(spark, folder)
-    pairs = scoring.name_score(blocking.name_candidates(stored(entries.where("not has_tags"), "entries"), stored(tracks, "tracks"), stored(postings, "postings")))
-    return scoring.best_by_name(pairs).select("eid", "track_id", F.round("score", 6).alias("score"))
+    entries, tracks, postings = stored(entries, "entries"), stored(tracks, "tracks"), stored(postings, "postings")
+    resolved = scoring.match_by_tags(entries.where("not service"), tracks, postings).select("eid")
+    asked = entries.where("not (service and has_tags)").join(resolved, "eid", "left_anti")
+    return scoring.match_by_name(stored(asked, "asked"), tracks, postings).select("eid", "track_id", F.round("score", 6).alias("score"))
+
+
+def all_pairs(names: DataFrame, block: int = 1000) -> DataFrame:
+    """All pairs (a, b) of the distinct names(name); every two blocks of about `block` names meet by an equality join."""
+    n = max(1, -(-names.count() // block))
+    dealt = names.select("name", F.pmod(F.xxhash64("name"), F.lit(n)).cast("int").alias("own"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = dealt.select(F.col("name").alias("a"), F.col("own").alias("i"), others.alias("j"))
+    right = dealt.select(F.col("name").alias("b"), others.alias("i"), F.col("own").alias("j"))
+    return left.join(right, ["i", "j"]).select("a", "b")
 
 
 def ratio_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    names = table(spark, folder, "part").select("p_name").distinct()
-    pairs = names.select(F.col("p_name").alias("a")).crossJoin(F.broadcast(names.limit(100_000)).select(F.col("p_name").alias("b")))
-    return pairs.select("a", "b", S.ratio("a", "b").alias("ratio"))
+    names = stored(table(spark, folder, "part").select(F.col("p_name").alias("name")).distinct(), "names")
+    return all_pairs(names).select("a", "b", S.ratio("a", "b").alias("ratio"))
 
 
 def identity_best(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from cratebind.operators import alias, blocking, caches, identity, metrics, normalise, scoring, snapshot
+from cratebind.plans import queries
 from cratebind.plans.cascade import match
 from cratebind.plans.repair import repair
 from cratebind.sources import library, playlists, state
@@ -86,6 +87,30 @@ def test_top_candidates(spark):
     assert [r["track_id"] for r in got] == [1, 2]  # the remix goes while there is another
 
 
+def test_ratio_pairs_takes_all_pairs(spark, tmp_path):
+    names = [f"name {i % 40}" for i in range(60)]
+    spark.createDataFrame([(n,) for n in names], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    found = queries.ratio_pairs(spark, str(tmp_path))
+    assert "Limit" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == sorted((a, b) for a in set(names) for b in set(names))
+    frame = spark.createDataFrame([(n,) for n in set(names)], "name string")
+    assert sorted(map(tuple, queries.all_pairs(frame, 7).collect())) == sorted((a, b) for a in set(names) for b in set(names))
+
+
+def test_best_match_name_serves_tagged_entries_that_tags_leave_open(spark, monkeypatch):
+    rows = [
+        ("p", 0, "D:/Pepe - Camino Largo.mp3", "Qqqq Zzzz", "Pepe", None),  # tags lead nowhere, the name does
+        ("p", 1, "D:/Pepe - Camino Largo.mp3", None, None, None),
+        ("p", 2, "D:/x.mp3", "Noche Azul", "Ana Ruiz", 200.0),  # by tags
+    ]
+    tracks, entries = spark.createDataFrame(TRACKS, TRACK), spark.createDataFrame(rows, ENTRY)
+    monkeypatch.setattr(queries.A, "entries", lambda s, d: entries)
+    monkeypatch.setattr(queries.A, "tracks", lambda s, d: tracks)
+    forms = {r["eid"]: i for i, x in enumerate(rows) for r in normalise.normalise_entries(spark.createDataFrame([x], ENTRY)).collect()}
+    got = {forms[r["eid"]]: r["track_id"] for r in queries.best_match_name(spark, "").collect()}
+    assert got == {0: 5, 1: 5}
+
+
 def test_upsert_keeps_the_last(spark):
     old = spark.createDataFrame([("k", "a", 1), ("l", "b", 2)], "key string, path string, bitrate int")
     new = spark.createDataFrame([("k", "c", 3, "p", 1), ("k", "d", 4, "p", 2)], "key string, path string, bitrate int, playlist string, pos int")
