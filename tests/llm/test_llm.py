@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from cratebind.llm import bpe, chat, decontam, langid, lm, mixing, near_dedup, secret_scan, topk, toxicity
+from cratebind.llm import bpe, chat, decontam, langid, lm, mixer, mixing, near_dedup, secret_scan, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size int"
 
@@ -131,6 +131,7 @@ def test_lm(odd, none, spark):
             base = sum(np.log10((counts.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)
             assert abs(found[r["doc_id"]]["base_score"] - base) < 1e-6 and found[r["doc_id"]]["train_tokens"] == n
             assert found[r["doc_id"]]["n_known"] == sum(w in counts for w in tokens) and found[r["doc_id"]]["score"] < 0
+            assert abs(found[r["doc_id"]]["score"] + found[r["doc_id"]]["bits_per_byte"] * len(mixer.plain(r["text"] or "")) * np.log10(2)) < 1e-6
 
 
 def lower(text):
@@ -143,17 +144,6 @@ def by_hash(key, n):
     return zlib.crc32(str(key).encode() if key is not None else b"") % n
 
 
-def test_mixed_bits_are_a_distribution():
-    """Over all classes and hash bits, the path probabilities of a place add up to 1."""
-    rng = np.random.default_rng(3)
-    mixer = lm.Mixer(rng.integers(0, 50, (lm.CONTEXTS, 1 << lm.TABLE, 2)), 9)
-    mixer.map = rng.normal(0, 0.3, (lm.NODES, 34)).astype(np.float32)
-    before = (np.array([5, 9], np.uint16), np.array([77, 1030], np.uint16))
-    start = mixer.log10(*before)
-    total = sum(10 ** (mixer.log10(np.r_[before[0], k].astype(np.uint16), np.r_[before[1], s].astype(np.uint16)) - start) for k in range(32) for s in (range(16) if k else [0]))
-    assert abs(total - 1) < 1e-5
-
-
 def test_leaks_against_brute_force(spark, none):
     rng = random.Random(4)
     items = [(i, words(rng, "abcdefgh", 12)) for i in range(8)] + [(50, None), (51, "  "), (52, "one")]
