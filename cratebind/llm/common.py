@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is configured (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
@@ -53,5 +55,18 @@ def slices(texts: Sequence[str], limit: int = 500_000) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, spread: str, share: int = 256, salts: int = 32) -> DataFrame:
+    """left joined to the right's row of the same key, if any; left is stored, right has one row for a key.
+
+    Keys that hold more than 1 / share of the left's rows, fewer than `share` of them, are spread over several tasks.
+    """
+    hot = left.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > max(1, left.count() // share)).select(key, F.lit(True).alias("__hot"))
+    hot = F.broadcast(keep(hot, "hot-keys"))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    there = right.join(hot, key, "left").withColumn("__salt", F.explode(every)).drop("__hot")
+    return left.join(hot, key, "left").withColumn("__salt", salt).drop("__hot").join(there, [key, "__salt"], "left").drop("__salt")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -17,6 +17,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import documents
 
@@ -96,18 +97,19 @@ class Matcher:
         found: dict[int, int] = {}
         if not len(self.automaton):
             return found
-        done = set()
+        done, failed = set(), set()
         for last, (size, uses) in self.automaton.iter(text):
             for i, start, above in uses:
-                if found.get(i) == 0:
-                    continue
                 at = last + 1 - size - start  # where the item would begin
-                if (i, at) in done:
+                if found.get(i) == 0 or (i, at) in done:
                     continue
                 best = 0
                 for a, b, budget in above:
+                    if (i, a, b, at) in failed:
+                        break
                     best = distance_within(self.masks(i, a, b), b - a, text[max(0, at + a - budget) : at + b + budget])
                     if best > budget:
+                        failed.add((i, a, b, at))
                         break
                 else:
                     done.add((i, at))
@@ -138,6 +140,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, max_error: float = 0.1) -> Dat
     """
     spark = docs.sparkSession
     key, item = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType
+    kind = to_arrow_type(item)
     out = None
     for block in blocks(items):
         shared = spark.sparkContext.broadcast(block)
@@ -151,10 +154,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, max_error: float = 0.1) -> Dat
                         at.append(row)
                         ids.append(matcher.items[i][0])
                         distances.append(d)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids), pa.array(distances, pa.int32())] if at else [batch.column(0).slice(0, 0), empty(batch, shared.value), pa.array([], pa.int32())], ["doc_id", "item_id", "distance"])
-
-        def empty(batch: pa.RecordBatch, block: list) -> pa.Array:
-            return pa.array([block[0][0]]).slice(0, 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, kind), pa.array(distances, pa.int32())], ["doc_id", "item_id", "distance"])
 
         found = documents(docs).mapInArrow(match, f"doc_id {key}, item_id {item.simpleString()}, distance int")
         out = found if out is None else out.unionByName(found)

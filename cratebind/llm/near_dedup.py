@@ -8,7 +8,7 @@ distance over the longer length, and 0.8 or more links two texts. Classes are th
 are of one component already are not aligned, nor are those whose lengths or word counts rule out 0.8.
 
 Rules for odd input: null texts and texts without words are alone in their class, unless they are repeated exactly; texts
-of fewer words than a run are one run; equal texts are always of one class, also under one doc_id; an empty table gives no rows.
+of fewer words than a run are one run; null and empty texts are two classes; equal texts are always of one class, also under one doc_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, keep
+from .common import documents, keep, spread_join
 
 RUN = 3
 SHORT_RUN = 2
@@ -343,23 +343,29 @@ def near_classes(docs: DataFrame, values: int = 48, short_values: int = 24, leas
     return roots
 
 
+def class_of(roots: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, node) as stored, and node, root of their distinct texts; null texts are a text of their own."""
+    rows = keep(docs.select("doc_id", F.when(F.col("text").isNull(), F.lit(b"")).otherwise(node_of("text")).alias("node")), "near-rows")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).join(roots, "node", "left")
+    return rows, nodes.withColumn("root", F.coalesce("root", "node"))
+
+
 def classify(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id, class_size: one row per document; class_id is the smallest doc_id of its class."""
-    roots = near_classes(docs, **options)
-    rows = docs.select("doc_id", node_of("text").alias("node"), F.col("text").isNull().alias("none"))
-    placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = placed.groupBy("root", "none").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return placed.join(sizes, ["root", "none"]).select("doc_id", "class_id", "class_size")
+    rows, nodes = class_of(near_classes(docs, **options), docs)
+    nodes = keep(nodes, "near-nodes")
+    sizes = nodes.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
+    named = spread_join(nodes.select("node", "root"), sizes, "root", "node").drop("root")
+    return spread_join(rows, named, "node", "doc_id").select("doc_id", "class_id", "class_size")
 
 
 def drop_near(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, with its columns as they are: the one of the smallest doc_id."""
-    roots = near_classes(docs, **options)
-    rows = docs.select("doc_id", node_of("text").alias("node"))
-    root = F.coalesce("root", "node")
-    chosen = rows.join(roots, "node", "left").groupBy(root.alias("root")).agg(F.min(F.struct("doc_id", "node")).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.node").alias("__node"))
-    found = docs.join(chosen, (node_of("text") == F.col("__node")) & docs["doc_id"].eqNullSafe(F.col("__id")))
-    again = F.row_number().over(Window.partitionBy("__node").orderBy(F.col("text").isNull()))  # equal rows that share a doc_id
+    _, nodes = class_of(near_classes(docs, **options), docs)
+    chosen = nodes.groupBy("root").agg(F.min(F.struct("first", "node")).alias("x")).select(F.col("x.first").alias("__id"), F.col("x.node").alias("__node"))
+    node = F.when(F.col("text").isNull(), F.lit(b"")).otherwise(node_of("text"))
+    found = docs.join(chosen, (node == F.col("__node")) & docs["doc_id"].eqNullSafe(F.col("__id")))
+    again = F.row_number().over(Window.partitionBy("__node").orderBy("__node"))  # equal rows that share a doc_id
     return found.withColumn("__again", again).where("__again = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

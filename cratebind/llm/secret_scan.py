@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and formats inferred from what they find.
 
 The credentials that the patterns label train one probabilistic automaton for each kind: their prefix tree's states are
-merged wherever their counts are statistically compatible. Every other long token is scored by its likelihood under those
-formats against an automaton of the unlabelled tokens; what a format explains far better is added as a span.
+merged wherever their counts are statistically compatible. Every other token is scored by its likelihood under those formats
+against one counted from all unlabelled tokens of the corpus; what a format explains far better is added as a span.
 
 Rules for odd input: null and empty texts have no span and the digest of an empty string; repeated rows are scanned each;
 equal spans of different kinds stay apart; without labelled credentials nothing is added; an empty table gives no rows.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +26,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "format")
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")  # as short as the shortest labelled credential
+LEAST = 6
 
 SIZES = {"d": 10, "h": 6, "l": 20, "U": 26}
 CLASSES = str.maketrans({**{c: "d" for c in "0123456789"}, **{c: "h" for c in "abcdef"}, **{chr(c): "l" for c in range(ord("g"), ord("z") + 1)}, **{chr(c): "U" for c in range(ord("A"), ord("Z") + 1)}})
@@ -40,9 +42,20 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
-    """Long tokens outside the base spans."""
+    """The tokens outside the base spans, and what the base spans leave of others."""
     found = [m.span() for m in TOKEN.finditer(text)]
-    return [(a, b) for a, b in found if all(e <= a or s >= b for s, _, e, _ in base)] if base else found
+    if not base:
+        return found
+    out = []
+    for a, b in found:
+        for s, _, e, _ in base:
+            if e > a and s < b:
+                if s - a >= LEAST:
+                    out.append((a, s))
+                a = max(a, e)
+        if b - a >= LEAST:
+            out.append((a, b))
+    return out
 
 
 class Automaton:
@@ -128,82 +141,114 @@ class Automaton:
         return total + self.logs[at][1]
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base and other: the pattern spans with their credentials, and the other long tokens, of every document."""
-    key = docs.schema["doc_id"].dataType.simpleString()
-    span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
+class Background:
+    """Likelihood of ordinary tokens: each class after the three before it, from counts of every token of the corpus."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, counts: list[tuple[str, str, int]]):
+        after: dict[str, dict[str, int]] = {}
+        for context, c, n in counts:
+            after.setdefault(context, {})[c] = n
+        self.logs = {k: {c: math.log((n + 0.5) / (sum(v.values()) + 6) / SIZES.get(c, 1)) for c, n in v.items()} for k, v in after.items()}
+        self.new = {k: math.log(0.5 / (sum(v.values()) + 6)) for k, v in after.items()}
+
+    def log_likelihood(self, classes: str) -> float:
+        total, context = 0.0, "^^^"
+        for c in classes + "$":
+            found = self.logs.get(context, {}).get(c)
+            total += self.new.get(context, math.log(0.5 / 6)) - math.log(SIZES.get(c, 1)) if found is None else found
+            context = context[1:] + c
+        return total
+
+
+def gather(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds: kind and value of what the patterns find (n null), and context, class and n of all other tokens."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps: Counter = Counter()
         for batch in batches:
-            bases, others = [], []
-            for text in batch.column(1).to_pylist():
+            kinds, values, shapes = [], [], Counter()
+            for text in batch.column(0).to_pylist():
                 base = base_spans(text)
-                bases.append([dict(zip(("start", "kind", "end", "value"), x, strict=True)) for x in base])
-                others.append([{"start": a, "kind": 3, "end": b, "value": text[a:b]} for a, b in candidates(text, base)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, pa.list_(span)), pa.array(others, pa.list_(span))], ["doc_id", "base", "other"])
+                kinds += [k for _, k, _, _ in base]
+                values += [v for *_, v in base]
+                shapes.update([text[a:b].translate(CLASSES) for a, b in candidates(text, base)])
+            for shape, n in shapes.items():
+                context = "^^^"
+                for c in shape + "$":
+                    steps[context, c] += n
+                    context = context[1:] + c
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.string()), pa.nulls(len(kinds), pa.string()), pa.nulls(len(kinds), pa.int64())], ["kind", "value", "next", "n"])
+        keys = list(steps)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int32()), pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(steps.values()), pa.int64())], ["kind", "value", "next", "n"])
+
+    return documents(docs).select("text").mapInArrow(work, "kind int, value string, next string, n long")
+
 
-    kind = "array<struct<start:int,kind:int,end:int,value:string>>"
-    return documents(docs).mapInArrow(find, f"doc_id {key}, base {kind}, other {kind}")
+def learn_formats(docs: DataFrame, sample: int = 400, longest: int = 200) -> dict:
+    """One automaton for each kind, from at most `sample` distinct values each, of at most `longest` characters, chosen by hash:
+    the documented bound of the labelled rows; and the background of all other tokens of all documents."""
+    found = keep(gather(docs), "secrets-found")
 
+    def some(kind: int) -> list[str]:
+        values = found.where((F.col("kind") == kind) & (F.length("value") <= longest)).select("value").distinct()
+        return sorted(r["value"] for r in values.orderBy(F.xxhash64("value"), "value").limit(sample).collect())
 
-def learn_formats(found: DataFrame, sample: int = 400, longest: int = 200) -> dict:
-    """One automaton for each kind and one of the other tokens, from at most `sample` distinct values each, of at most
-    `longest` characters, chosen by hash: the documented bound of what is learned from."""
+    labelled = [Automaton(values) for k in range(3) if len(values := some(k)) >= 5]
+    steps = found.where("n is not null").groupBy("value", "next").agg(F.sum("n").alias("n")).collect()  # 11 ** 4 at most
+    return {"formats": labelled, "rest": Background([(r["value"], r["next"], r["n"]) for r in steps])}
 
-    def some(column: str, kind: int, n: int) -> list[str]:
-        values = found.select(F.explode(column).alias("x")).where((F.col("x.kind") == kind) & (F.length("x.value") <= longest)).select("x.value").distinct()
-        return sorted(r["value"] for r in values.orderBy(F.xxhash64("value"), "value").limit(n).collect())
 
-    labelled = {k: Automaton(values) for k in range(3) if len(values := some("base", k, sample)) >= 5}
-    return {"formats": labelled, "rest": Automaton(some("other", 3, 2 * sample)) if labelled else None}
+class Judge:
+    """Whether a token is of a learned format, remembered by its classes."""
+
+    def __init__(self, model: dict, least_gain: float, most: int = 200_000):
+        self.formats, self.rest, self.least, self.most = model["formats"], model["rest"], least_gain, most
+        self.known: dict[str, bool] = {}
+
+    def __call__(self, value: str) -> bool:
+        shape = value.translate(CLASSES)
+        found = self.known.get(shape)
+        if found is None:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            found = self.known[shape] = max(f.log_likelihood(shape) for f in self.formats) - self.rest.log_likelihood(shape) >= self.least
+        return found
+
+    def spans(self, text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
+        return [(a, b) for a, b in candidates(text, base) if self(text[a:b])] if self.formats else []
 
 
 def scan_secrets(docs: DataFrame, least_gain: float = 12.0) -> DataFrame:
     """doc_id, base, added: the pattern spans and the spans whose format likelihood is exp(least_gain) times the ordinary one."""
-    found = keep(scan(docs), "secrets-found")
-    shared = docs.sparkSession.sparkContext.broadcast(learn_formats(found))  # bounded by the samples
+    key = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(learn_formats(docs))  # bounded by the samples and the classes
+    span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        formats, rest = shared.value["formats"].values(), shared.value["rest"]
-        gains: dict[str, bool] = {}
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(shared.value, least_gain)
         for batch in batches:
-            added = []
-            for spans in batch.column(2).to_pylist():
-                chosen = []
-                for s in spans if formats else ():
-                    shape = s["value"].translate(CLASSES)
-                    if shape not in gains:
-                        if len(gains) > 200_000:
-                            gains.clear()
-                        gains[shape] = max(f.log_likelihood(shape) for f in formats) - rest.log_likelihood(shape) >= least_gain
-                    if gains[shape]:
-                        chosen.append(s)
-                added.append(chosen)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(added, batch.schema.field(2).type)], ["doc_id", "base", "added"])
-
-    key, kind = docs.schema["doc_id"].dataType.simpleString(), "array<struct<start:int,kind:int,end:int,value:string>>"
-    return found.mapInArrow(judge, f"doc_id {key}, base {kind}, added {kind}")
+            bases, added = [], []
+            for text in batch.column(1).to_pylist():
+                base = base_spans(text)
+                bases.append([{"start": s, "kind": k, "end": e} for s, k, e, _ in base])
+                added.append([{"start": a, "kind": 3, "end": b} for a, b in judge.spans(text, base)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, span), pa.array(added, span)], ["doc_id", "base", "added"])
+
+    kind = "array<struct<start:int,kind:int,end:int>>"
+    return documents(docs).mapInArrow(find, f"doc_id {key}, base {kind}, added {kind}")
 
 
 def redact_secrets(docs: DataFrame, least_gain: float = 12.0) -> DataFrame:
     """The documents with every secret replaced in text, and n_chars, where there is such a column, of what is left."""
-    model = learn_formats(keep(scan(docs), "secrets-found"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(learn_formats(docs))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        formats, rest = shared.value["formats"].values(), shared.value["rest"]
-
-        def secret(value: str) -> bool:
-            shape = value.translate(CLASSES)
-            return max(f.log_likelihood(shape) for f in formats) - rest.log_likelihood(shape) >= least_gain
-
+        judge = Judge(shared.value, least_gain)
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text) if text else []
-                spans = [(s, e) for s, _, e, _ in base]
-                if text and formats:
-                    spans += [(a, b) for a, b in candidates(text, base) if secret(text[a:b])]
+                spans = [(s, e) for s, _, e, _ in base] + (judge.spans(text, base) if text else [])
                 out.append(redact(text, spans) if spans else text)
             at = batch.schema.get_field_index("text")
             batch = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))

@@ -170,9 +170,12 @@ def search(rows: DataFrame, queries: Column, k: int = 20, pivots: int = 32, ring
     def meet(asking: DataFrame, first: bool) -> DataFrame:
         to = asking.mapInArrow(visits(first), "query_id long, x array<long>, group long, annulus long")
         to = to.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts("annulus") - 1)))
-        met = placed.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
         cells = ["annulus", "part", "group"]
-        return to.groupBy(*cells).cogroup(met.groupBy(*cells)).applyInPandas(lambda a, b: block_scores(a, b, k), "query_id long, vec_id long, score long")
+        to = keep(to, "topk-asked")
+        # rows go only where queries of a group ask for their annulus
+        wanted = to.select(*(F.col(c).alias(f"for_{c}") for c in cells)).distinct()
+        met = placed.join(wanted, (F.col("annulus") == F.col("for_annulus")) & (F.col("part") == F.col("for_part"))).select("vec_id", "x", *(f"for_{c}" for c in cells))
+        return to.groupBy(*cells).cogroup(met.groupBy(*(f"for_{c}" for c in cells))).applyInPandas(lambda a, b: block_scores(a, b, k), "query_id long, vec_id long, score long")
 
     near = keep(meet(asked, True), "topk-near")
     kth = near.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("query_id", F.when(F.size("s") >= k, F.element_at("s", k)).cast("double").alias("kth"))

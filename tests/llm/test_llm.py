@@ -85,15 +85,39 @@ def test_segments_against_brute_force():
         a, b = -best[1], -best[2]
         return brute(scores[:a]) + [(a, b, best[0])] + [(x + b, y + b, z) for x, y, z in brute(scores[b:])]
 
-    for _ in range(200):
-        n = rng.randint(0, 25)
-        hits = sorted(rng.sample(range(n), rng.randint(0, n // 2)))
-        scored = [(i, rng.choice([1.37, 2.11, 3.53]) + rng.random() / 100) for i in hits]
-        whole = [-0.7] * n
-        for i, v in scored:
-            whole[i] = v
-        got, want = toxicity.segments(scored, n, -0.7), brute(whole)
-        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+    for _ in range(400):
+        whole = [rng.choice([-0.7, -0.7, -2.3, 1.37, 2.11, 3.53]) + rng.random() / 100 for _ in range(rng.randint(0, 25))]
+        assert [(a, b) for a, b, _ in toxicity.segments(np.array(whole))] == [(a, b) for a, b, _ in brute(whole)]
+
+
+def test_segments_of_a_long_text_take_linear_time():
+    import time
+
+    scores = np.full(200_000, -3.0)
+    scores[::2] = 2.9
+    began = time.process_time()
+    assert len(toxicity.segments(scores)) == 100_000 and time.process_time() - began < 5
+
+
+def test_extreme_values_are_recovered():
+    rng = np.random.default_rng(8)
+    n = rng.integers(20, 5000, 200_000)
+    s = (np.log(0.3 * n) - np.log(-np.log(rng.random(len(n))))) / 0.7
+    s[:4000] *= 40  # some are no chance scores
+    rate, log_k = toxicity.extreme_values(np.ones(len(n)), s, np.log(n))
+    assert abs(rate - 0.7) < 0.03 and abs(log_k - np.log(0.3)) < 0.2
+
+
+def test_toxicity_of_long_and_repeated_texts(spark):
+    rng = random.Random(12)
+    rows = [(i, words(rng, "abcdef", 30) + (" vile rotten" if i % 3 == 0 else ""), None, None) for i in range(150)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    long = f"{words(rng, 'abcdef', 20000)} vile rotten vile rotten {words(rng, 'abcdef', 20000)}"
+    rows += [(500, long, None, None), (501, long, None, None), (502, "", None, None)]
+    found = {r["doc_id"]: r for r in toxicity.score_toxicity(docs_of(spark, rows), labels).collect()}
+    assert found[500]["passages"] == found[501]["passages"] and found[502]["passages"] == []
+    best = max(found[500]["passages"], key=lambda p: p["score"])
+    assert best["start"] <= 20000 and best["end"] >= 20004 and best["p"] <= 0.01
 
 
 def test_toxicity(spark, none):
@@ -356,3 +380,47 @@ def test_pipeline_stages(spark, tmp_path):
     assert "f3f3" not in kept["secrets"][103]["text"] and kept["secrets"][1]["text"] == rows[1][1]
     want = mixing.mix_sources(spark.read.parquet(f"{tmp_path}/3")).where("taken > 0").count()
     assert len(kept["mix"]) == want == corpus_pipeline.run(spark, str(tmp_path)).count()
+
+
+def test_secrets_in_long_repeated_and_cut_texts(spark):
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)]
+    rows = [(i, f"token={k} end", None, None) for i, k in enumerate(keys[:30])]
+    long = "word after word " * 4000 + f"token={keys[31]} " + "more words come " * 4000
+    rows += [(50, long, None, None), (51, long, None, None), (52, long, None, None)]
+    found = by_id(secret_scan.op6(docs_of(spark, rows)))
+    start = long.index("token=")
+    assert found[50]["spans"] == found[51]["spans"] == f"assign:{start}:{start + 46},hex:{start + 6}:{start + 46}"
+    base = secret_scan.base_spans(f"left0right0/{'a' * 24}+tail99x")
+    assert secret_scan.candidates(f"left0right0/{'a' * 24}+tail99x", base) == [(0, 12), (36, 44)]
+
+
+def test_background_against_brute_force():
+    counts = [("^^^", "d", 3), ("^^^", "l", 1), ("^^d", "$", 2), ("^^d", "d", 1)]
+    b = secret_scan.Background(counts)
+    assert abs(b.log_likelihood("d") - (np.log(3.5 / 10 / 10) + np.log(2.5 / 9))) < 1e-9
+    assert b.log_likelihood("U") < b.log_likelihood("l")
+
+
+def test_leaks_with_int_keys_and_repeats(spark):
+    items = spark.createDataFrame([(7, "alpha beta gamma delta epsilon"), (None, "zeta eta theta iota kappa"), (8, None)], "item_id int, text string")
+    long = "alpha beta " * 5000 + "alpha beta gamma delta epsilon"
+    rows = [(1, long, None, None), (1, long, None, None), (2, "Zeta, eta theta iota kappa", None, None), (3, None, None, None)]
+    found = sorted(map(tuple, decontam.op3(docs_of(spark, rows), items).collect()), key=str)
+    assert [f[:2] for f in found] == [(1, 7), (1, 7), (2, None)]
+
+
+def test_near_dedup_keeps_null_and_empty_apart(spark):
+    rows = [(1, None, "a", "s"), (2, "", "a", "s"), (3, None, "b", "s"), (4, "", "b", "s"), (5, "one two three", "b", "s"), (5, "one two three", "b", "s")]
+    docs = docs_of(spark, rows)
+    found = {(r["doc_id"], r["class_id"], r["class_size"]) for r in near_dedup.op7(docs).collect()}
+    assert found == {(1, 1, 2), (3, 1, 2), (2, 2, 2), (4, 2, 2), (5, 5, 2)}
+    assert sorted(r["doc_id"] for r in near_dedup.drop_near(docs).collect()) == [1, 2, 5]
+
+
+def test_spread_join_with_a_hot_key(spark):
+    from cratebind.llm.common import keep, spread_join
+
+    left = keep(spark.range(3000).selectExpr("id", "if(id < 2000, 'hot', concat('k', id)) as k"), "spread-test")
+    right = spark.createDataFrame([("hot", 1), ("k2500", 2), ("none", 3)], "k string, v int")
+    rows = spread_join(left, right, "k", "id").collect()
+    assert len(rows) == 3000 and sum(r["v"] or 0 for r in rows) == 2002
