@@ -44,8 +44,9 @@ def learned_keys(path: Column, artist: Column, canon: Column, d: Column) -> Colu
 
 
 def exact_key(path: Column, artist: Column, title: Column, d: Column) -> Column:
-    """A digest of all that an entry says."""
-    return F.sha1(F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("~")) for c in (artist, d, path, title))))
+    """A digest of all that an entry says; lengths keep the fields apart, whatever they hold."""
+    fields = (c.cast("string") for c in (artist, d, path, title))
+    return F.sha1(F.concat_ws("|", *(F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("~")) for c in fields)))
 
 
 def manual_labels(path: Column, artist: Column, title: Column) -> Column:

@@ -53,19 +53,38 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+@cache
+def expansions() -> list[tuple[str, str]]:
+    """Characters of Latin text that become several: ligatures, digraphs, fractions, dots and trade marks."""
+    codes = [*range(0xA0, 0x250), *range(0x2000, 0x2070), 0x2116, 0x2120, 0x2121, 0x2122, *range(0xFB00, 0xFB07)]
+    plain = {chr(i): "".join(x for x in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(x)) for i in codes}
+    return [(c, p) for c, p in plain.items() if len(p) > 1 and p.strip()]
+
+
 def strip_accents(c: Column) -> Column:
-    """Compatibility forms without combining marks; letters that do not decompose, and those that expand, stay."""
+    """Compatibility forms without combining marks; letters that do not decompose stay."""
+    for one, several in expansions():
+        c = F.replace(c, F.lit(one), F.lit(several))
     old, new = accent_table()
     return F.translate(c, old, new)
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def ascii_fold(c: Column) -> Column:
     return F.regexp_replace(strip_accents(c), r"[^\x00-\x7F]", "")
 
 
+# fixed value: bracketed text
+BRACKETS = r"\s*[\(\[].*?[\)\]]\s*"
+
+
 def strip_brackets(c: Column) -> Column:
     """Bracketed text and the blanks around it as one blank."""
-    return F.regexp_replace(c, r"\s*[\(\[].*?[\)\]]\s*", " ")
+    return F.regexp_replace(c, BRACKETS, " ")
 
 
 def collapse(c: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SETS = ["title_tokens", "artist_tokens"]
 
@@ -24,14 +25,21 @@ def hits(sets: DataFrame, column: str, kinds: list[str], postings: DataFrame) ->
 
 
 def tag_blocks(entries: DataFrame, postings: DataFrame) -> DataFrame:
-    """(sid, track_id): tracks hit by title and artist tokens; by either, where there are none or a set is empty."""
-    sets = entries.select(set_id(*SETS).alias("sid"), *SETS).dropDuplicates(["sid"]).where((F.size("title_tokens") > 0) | (F.size("artist_tokens") > 0))
-    by_title, by_artist = hits(sets, "title_tokens", ["title"], postings), hits(sets, "artist_tokens", ["artist"], postings)
-    both = by_title.join(by_artist, ["sid", "track_id"])
-    alone = sets.where((F.size("title_tokens") == 0) | (F.size("artist_tokens") == 0)).select("sid")
-    left = sets.select("sid").join(both.select("sid").distinct(), "sid", "left_anti").unionByName(alone).distinct()
-    either = by_title.unionByName(by_artist).join(left, "sid", "left_semi").distinct()
-    return both.join(left, "sid", "left_anti").unionByName(either)
+    """(sid, track_id): tracks hit by title and artist tokens; by either, where there are none or a set is empty.
+
+    Both kinds of token meet the postings in one join; a pair's kinds are bits, and the pairs are shuffled once, by set.
+    """
+    sets = entries.select(set_id(*SETS).alias("sid"), *SETS).dropDuplicates(["sid"])
+
+    def typed(column: str, kind: str, bit: int) -> Column:
+        return F.transform(F.array_distinct(column), lambda t: F.struct(F.lit(kind).alias("token_type"), t.alias("token"), F.lit(bit).alias("bit")))
+
+    kinds = F.concat(typed("title_tokens", "title", 1), typed("artist_tokens", "artist", 2))
+    wanted = sets.select("sid", F.explode(kinds).alias("w")).select("sid", "w.*")
+    found = wanted.join(postings.select("token_type", "token", "track_id"), ["token_type", "token"]).select("sid", "track_id", "bit").distinct()
+    both = found.repartition("sid").groupBy("sid", "track_id").agg(F.bit_or("bit").alias("bits"))
+    top = F.max("bits").over(Window.partitionBy("sid"))
+    return both.withColumn("top", top).where("bits = 3 or top < 3").select("sid", "track_id")
 
 
 def tag_candidates(entries: DataFrame, tracks: DataFrame, postings: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from .scoring import memory_score
 
 
 def first_valid(found: DataFrame, good: Column) -> DataFrame:
-    order = Window.partitionBy("eid").orderBy("prio")
+    order = Window.partitionBy("eid").orderBy("prio", "track_id")
     return memory_score(found).where(good).withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 

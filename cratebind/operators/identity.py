@@ -36,15 +36,21 @@ def similar_tags(tolerance: float = 3.0) -> Column:
 
 
 def identity_match(entries: DataFrame, tracks: DataFrame, best: DataFrame | None = None) -> DataFrame:
-    """eid and its track of the first identity key that holds one that fits: real tags before all, keys in order."""
+    """eid and its track of the first identity key that holds one that fits: real tags before all, keys in order.
+
+    Entries that say the same of their recording are looked up once.
+    """
     best = identity_best(tracks) if best is None else best
+    named = entries.where("has_tags").withColumn("said", F.md5(F.to_json(F.struct("artist_norm", "parts", "canon", "pure_remix", "duration"))))
+    once = named.select("said", "artist_norm", "parts", "canon", "pure_remix", "duration").dropDuplicates(["said"])
     keys = K.identity_keys(F.col("artist_norm"), F.col("canon"), F.col("pure_remix"), F.col("duration"), 3)
-    asked = exploded(entries.where("has_tags"), keys, "eid", "artist_norm", "parts", "canon", "duration")
+    asked = exploded(once, keys, "said", "artist_norm", "parts", "canon", "duration")
     found = asked.join(best, KEY)
     both = found.select("*", F.posexplode(F.array("best_real", "best_all")).alias("tier", "track_id")).where("track_id is not null")
-    fits = both.join(tracks, "track_id").where(similar_tags())
-    order = Window.partitionBy("eid").orderBy("tier", "k_no")
-    return fits.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("eid", "track_id", "t_path", "t_bitrate")
+    fits = both.join(tracks.select("track_id", "t_path", "t_bitrate", "t_canon", "t_artist_norm", "t_parts", "t_duration"), "track_id").where(similar_tags())
+    order = Window.partitionBy("said").orderBy("tier", "k_no")
+    chosen = fits.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("said", "track_id", "t_path", "t_bitrate")
+    return named.select("eid", "said").join(chosen, "said").select("eid", "track_id", "t_path", "t_bitrate")
 
 
 def alike(pairs: DataFrame) -> DataFrame:
@@ -71,14 +77,27 @@ def derived_equal(pairs: DataFrame) -> DataFrame:
     return best_bitrate(kept, "eid", F.col("name_remix") | ~F.col("t_remix"))
 
 
-def derived_pairs(entries: DataFrame, tracks: DataFrame, postings: DataFrame) -> DataFrame:
-    """The name candidates that derived_equal can choose from: joined on the title first, then held to the blocks."""
-    asked = entries.withColumn("sid", set_id("name_tokens"))
-    equal = asked.join(tracks.withColumn("said_title", F.col("t_title_norm")), "said_title")
-    sets = asked.select("sid", "name_tokens").dropDuplicates(["sid"]).where(F.size("name_tokens") > 0)
+def derived_match(entries: DataFrame, tracks: DataFrame, postings: DataFrame) -> DataFrame:
+    """The derived_equal choice of every entry among its name candidates: eid, track_id, t_path, t_bitrate.
+
+    Entries whose names say the same are looked up once: by title and artist where the artist is said, by title alone else; ids
+    alone are held to the blocks, and the tracks' columns come last.
+    """
+    say = ["said_title", "said_artist", "name_remix", "sid"]
+    named = entries.withColumn("sid", set_id("name_tokens")).select("eid", "name_tokens", *say)
+    once = named.select(*say).distinct()
+    there = tracks.select("track_id", F.col("t_title_norm").alias("said_title"), F.col("t_artist_norm").alias("said_artist"))
+    by_both = once.where("said_artist <> ''").join(there, ["said_title", "said_artist"]).select("track_id", *say)
+    by_title = once.where("said_artist = ''").join(there.drop("said_artist"), "said_title").select("track_id", *say)
+    equal = by_both.unionByName(by_title)
+    sets = named.select("sid", "name_tokens").dropDuplicates(["sid"]).where(F.size("name_tokens") > 0)
     wanted = equal.select("sid", "track_id").distinct().join(sets.select("sid", F.explode(F.array_distinct("name_tokens")).alias("token")), "sid")
-    there = postings.where(F.col("token_type").isin("name", "title")).select("token", "track_id").distinct()
-    return equal.join(wanted.join(there, ["token", "track_id"]).select("sid", "track_id").distinct(), ["sid", "track_id"]).drop("sid")
+    known = postings.where(F.col("token_type").isin("name", "title")).select("token", "track_id").distinct()
+    held = equal.join(wanted.join(known, ["token", "track_id"]).select("sid", "track_id").distinct(), ["sid", "track_id"])
+    key = F.md5(F.to_json(F.struct(*say)))
+    pairs = held.join(tracks.select("track_id", "t_path", "t_bitrate", "t_auto", "t_remix", "t_title_norm", "t_artist_norm"), "track_id").withColumn("eid", key)
+    best = derived_equal(pairs).select(F.col("eid").alias("key"), "track_id", "t_path", "t_bitrate")
+    return named.select("eid", key.alias("key")).join(best, "key").drop("key")
 
 
 def similar_join(entries: DataFrame, tracks: DataFrame, tolerance: int = 3) -> DataFrame:

@@ -18,6 +18,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the session's shared folder and read again: reused by several phases without being worked out again."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not folder:
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -94,20 +96,23 @@ def match(
     there = lib.select(T.norm_path(F.col("t_path")).alias("__path"), F.col("t_bitrate")).groupBy("__path").agg(F.max("t_bitrate").alias("bitrate"))
     done = forms.where("not service").join(there, T.norm_path(F.col("raw_path")) == F.col("__path")).select("eid", F.col("raw_path").alias("path"), "bitrate")
     at = stored(entries.select("playlist", "pos", "raw_path", normalise.entry_id().alias("eid")), "positions")
+    pinned = None
     if overrides is not None:
         own = overrides.select("playlist", T.norm_path(F.col("path")).alias("__o"), F.col("bitrate").alias("__b")).groupBy("playlist", "__o").agg(F.max("__b").alias("__b"))
-        per = at.join(own.withColumnRenamed("playlist", "__p"), (F.col("playlist") == F.col("__p")) & (T.norm_path(F.col("raw_path")) == F.col("__o")), "left").groupBy("eid").agg(F.max("__b").alias("__b"))
-        done = done.join(per, "eid", "left").withColumn("bitrate", F.coalesce(F.nullif("__b", F.lit(0)), "bitrate")).drop("__b")
+        told = at.join(own.withColumnRenamed("playlist", "__p"), (F.col("playlist") == F.col("__p")) & (T.norm_path(F.col("raw_path")) == F.col("__o"))).drop("__p", "__o")
+        told = told.where("__b <> 0").join(done.select("eid", "path"), "eid").withColumn("stands", (F.col("__b") >= least_bitrate) | F.lit(not only_low_bitrate))
+        pinned = stored(told.select("playlist", "pos", "raw_path", "eid", "path", F.col("__b").alias("bitrate"), "stands"), "pinned")  # these places alone have other bitrates
     if only_low_bitrate:
         done = done.where(F.col("bitrate") >= least_bitrate)
     out = [done.select("eid", F.lit("valid_path").alias("phase"), "path", "bitrate", F.lit(0).cast("long").alias("candidates"))]
-    left = stored(forms.join(done, "eid", "left_anti"), "open")
+    stands = done.select("eid") if pinned is None else done.select("eid").join(pinned.where("not stands"), "eid", "left_anti")
+    left = stored(forms.join(stands, "eid", "left_anti"), "open")
 
     def settle(found: DataFrame, phase: Column) -> None:
         nonlocal left
         kept = stored(found.select("eid", phase.alias("phase"), "path", "bitrate", (F.col("candidates") if "candidates" in found.columns else F.lit(0)).cast("long").alias("candidates")), "phase")
         out.append(kept)
-        left = left.join(kept, "eid", "left_anti")
+        left = stored(left.join(kept, "eid", "left_anti"), "open")
 
     for memory, how in ((manual, "manual"), (learned, "learned")):
         if memory is not None:
@@ -121,7 +126,16 @@ def match(
     by_name = left.where("not (service and has_tags)")
     settle(name_phase(by_name, lib, postings, threshold), F.lit("name"))
     misses = left.select("eid", F.when(F.col("service") & F.col("has_tags"), "service_unmatched").otherwise("unmatched").alias("phase"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("bitrate"), F.lit(0).cast("long").alias("candidates"))
-    every = out[0]
-    for df in [*out[1:], misses]:
-        every = every.unionByName(df)
-    return at.join(every, "eid").select("playlist", "pos", "raw_path", "phase", F.col("path").isNotNull().alias("found"), "path", "bitrate", "candidates")
+    matched = misses
+    for df in out[1:]:
+        matched = matched.unionByName(df)
+
+    def placed(where: DataFrame, what: DataFrame) -> DataFrame:
+        return where.select("playlist", "pos", "raw_path", "eid").join(what, "eid").select("playlist", "pos", "raw_path", "phase", F.col("path").isNotNull().alias("found"), "path", "bitrate", "candidates")
+
+    if pinned is None:
+        return placed(at, out[0].unionByName(matched))
+    free = at.join(pinned, ["playlist", "pos"], "left_anti")
+    own = pinned.where("stands").select("playlist", "pos", "raw_path", F.lit("valid_path").alias("phase"), F.lit(True).alias("found"), "path", "bitrate", F.lit(0).cast("long").alias("candidates"))
+    results = placed(free, out[0]).unionByName(placed(free.join(out[0], "eid", "left_anti"), matched))
+    return results.unionByName(placed(pinned.where("not stands"), matched)).unionByName(own)

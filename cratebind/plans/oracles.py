@@ -79,7 +79,7 @@ t as (
 E = f"""
 e0 as ({ENTRIES}),
 e1 as (select distinct raw_path, title, artist, duration from e0),
-e2 as (select *, sha1(concat_ws('|', coalesce(artist, '~'), coalesce(duration::varchar, '~'), coalesce(raw_path, '~'), coalesce(title, '~'))) as eid,
+e2 as (select *, sha1(concat_ws('|', coalesce(length(artist) || ':' || artist, '~'), coalesce(length(duration::varchar) || ':' || duration::varchar, '~'), coalesce(length(raw_path) || ':' || raw_path, '~'), coalesce(length(title) || ':' || title, '~'))) as eid,
               {name('title')} as b, {norm('artist')} as own, {base('raw_path')} as name from e1),
 e3 as (select *, case when {after('b')} <> '' then {after('b')} else coalesce(title, '') end as pure, {fallback('own', 'b')} as artist_norm from e2),
 e4 as (select *, {norm('pure')} as pure_norm, {norm('title')} as title_norm, {norm('name')} as name_norm from e3),
@@ -288,7 +288,7 @@ select eid, track_id, label_no::int as label_no, round(score, 6) as score from s
 qualify row_number() over (partition by eid order by label_no) = 1""",
     "learned_priority_join": f"""
 with recursive {T}, {E}, {IDENTITY},
-k0 as (select t_path as path, unnest(list_filter(list_concat([eid], {learned('name_norm')}), lambda x: x is not null and not starts_with(x, 'at|'))) as key from im join e using (eid)),
+k0 as (select t_path as path, unnest(list_filter(list_concat([eid], {learned('name_norm')}), lambda x: x is not null)) as key from im join e using (eid)),
 known as (select key, min(path) as chosen from k0 group by key),
 a0 as (select *, list_filter(list_concat({learned('name_norm')}, [eid]), lambda x: x is not null) as ks from e),
 a1 as (select *, unnest(ks) as key, generate_subscripts(ks, 1) as prio from a0),

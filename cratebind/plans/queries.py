@@ -84,7 +84,7 @@ def alias_upgrade(spark: SparkSession, folder: str) -> DataFrame:
 
 def derived_equality(spark: SparkSession, folder: str) -> DataFrame:
     entries, tracks, postings, _ = library(spark, folder)
-    return identity.derived_equal(identity.derived_pairs(stored(entries, "entries"), stored(tracks, "tracks"), stored(postings, "postings"))).select("eid", "track_id", "t_bitrate")
+    return identity.derived_match(stored(entries, "entries"), stored(tracks, "tracks"), stored(postings, "postings")).select("eid", "track_id", "t_bitrate")
 
 
 def candidates_top12(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,7 +165,7 @@ def learned_priority_join(spark: SparkSession, folder: str) -> DataFrame:
     entries, tracks, _, _ = library(spark, folder)
     best = identity.identity_match(entries, tracks).join(entries.select("eid", "raw_path", "artist_norm", "canon", "duration"), "eid")
     learned = caches.learned_rows(best.select("eid", "raw_path", "artist_norm", "canon", "duration", F.col("t_path").alias("path"), F.col("t_bitrate").alias("bitrate")))
-    known = learned.where(~F.startswith("key", F.lit("at|"))).groupBy("key").agg(F.min("path").alias("path"))
+    known = learned.groupBy("key").agg(F.min("path").alias("path"))
     return caches.learned_lookup(entries, known, tracks).select("eid", "track_id", "by", F.round("score", 6).alias("score"))
 
 

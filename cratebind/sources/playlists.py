@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,13 +14,14 @@ from ..functions import text as T
 MEDIA = [".mp3", ".mp4", ".m4a", ".flac", ".wav", ".wma", ".aac", ".webm", ".ogg", ".mkv", ".avi"]
 # fixed values: endings of library files
 AUDIO = [".mp3", ".flac", ".wav", ".m4a"]
+# fixed values: the mark of metadata lines, and the names of generated playlists
 META = "#EXTVDJ:"
 GENERATED = r"(?i)_actualizada(_actualizada)?\.(m3u8?|m3u)$"
 
 
 def is_media_line(line: Column) -> Column:
     """A service address, or a path that ends like media and holds no markup."""
-    low = F.lower(F.trim(line))
+    low = F.lower(T.strip(line))
     ending = F.lit(False)
     for e in MEDIA:
         ending |= F.endswith(low, F.lit(e))
@@ -26,7 +29,7 @@ def is_media_line(line: Column) -> Column:
 
 
 def is_path_line(line: Column) -> Column:
-    return (F.trim(line) != "") & ~F.startswith(F.trim(line), F.lit("#"))
+    return (T.strip(line) != "") & ~F.startswith(T.strip(line), F.lit("#"))
 
 
 def is_generated(path: Column) -> Column:
@@ -59,8 +62,8 @@ def discover(spark: SparkSession, root: str, recursive: bool = True) -> DataFram
 def tags(line: Column) -> Column:
     """The `<key>value</key>` pairs of a metadata line as a map: lower-case keys, the last of a key wins."""
     pattern = F.lit(r"(?i)<([^>]+)>(.*?)</\1>")
-    names = F.transform(F.regexp_extract_all(line, pattern, F.lit(1)), lambda k: F.lower(F.trim(k)))
-    values = F.transform(F.regexp_extract_all(line, pattern, F.lit(2)), lambda v: F.trim(v))
+    names = F.transform(F.regexp_extract_all(line, pattern, F.lit(1)), lambda k: F.lower(T.strip(k)))
+    values = F.transform(F.regexp_extract_all(line, pattern, F.lit(2)), lambda v: T.strip(v))
     pairs = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda x: x["k"] != "")
     last = F.filter(F.transform(pairs, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), i.alias("i"))), lambda x: ~F.exists(F.slice(pairs, x["i"] + 2, 1_000_000), lambda y: y["k"] == x["k"]))
     return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value"))))
@@ -71,7 +74,7 @@ def entries_of_lines(lines: DataFrame) -> DataFrame:
 
     A media line takes the last metadata line since the media line before it; other lines between do not clear it.
     """
-    clean = lines.select("playlist", "line_no", F.trim(F.regexp_replace("line", "\ufeff", "")).alias("line"))
+    clean = lines.select("playlist", "line_no", T.strip(F.regexp_replace("line", "\ufeff", "")).alias("line"))
     media, meta = is_media_line(F.col("line")), F.startswith("line", F.lit(META))
     used = clean.select("*", (media & ~meta).alias("media"), F.when(meta, F.col("line")).alias("meta")).where("media or meta is not null")
     before = Window.partitionBy("playlist").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,9 +91,9 @@ def entries_of_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_playlists(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Entries of playlist files, each with its file and position."""
+    """Entries of playlist files, each with its file and position; bytes that are no text are left out."""
     whole = spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_path").alias("playlist"), "value")
-    lines = whole.select("playlist", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line_no", "line"))
+    lines = whole.select("playlist", F.posexplode(F.split(F.translate("value", "\ufffd", ""), r"\r\n|\n|\r")).alias("line_no", "line"))
     return entries_of_lines(lines)
 
 
@@ -123,7 +126,31 @@ def playlist_texts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("playlist").agg(F.concat(F.lit("#EXTM3U\n"), F.array_join(lines, "")).alias("text"))
 
 
-def write_playlists(rows: DataFrame, folder: str) -> None:
-    """One text file for each playlist, in a folder named like its output file."""
-    named = playlist_texts(rows).withColumn("file", T.basename(output_path(F.col("playlist"))))
-    named.select("file", F.regexp_replace("text", "\n$", "").alias("value")).repartition("file").write.partitionBy("file").mode("overwrite").text(folder)
+def write_playlists(rows: DataFrame, folder: str | None = None, relative_to: str | None = None) -> DataFrame:
+    """One text file for each playlist at its output path; the paths as playlist, output.
+
+    The texts are written by Spark into a staging folder beside the files, then each is moved to its place, which is a change
+    of names alone. Two playlists with one output path are an error: relative_to keeps their folders apart.
+    """
+    spark = rows.sparkSession
+    output = output_path(F.col("playlist"), folder, relative_to)
+    named = rows.select("playlist").distinct().select("playlist", output.alias("output"), F.md5(output).alias("key"))
+    places = named.select("key", "output", "playlist").collect()  # one short row for each file that is to be made
+    if len({r["key"] for r in places}) < len(places):
+        twice = sorted(r["output"] for r in places if sum(q["key"] == r["key"] for q in places) > 1)
+        raise ValueError(f"several playlists would be written to {twice[0]}")
+    if not places:
+        return named.select("playlist", "output")
+    staging = f"{(folder or places[0]['output'].rpartition('/')[0]).rstrip('/')}/.staging-{uuid.uuid4().hex}"
+    texts = playlist_texts(rows).select(F.md5(output).alias("key"), F.regexp_replace("text", "\n$", "").alias("value"))
+    texts.repartition("key").write.partitionBy("key").text(staging)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(staging).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in places:
+        part = fs.globStatus(jvm.Path(f"{staging}/key={r['key']}/part-*"))[0].getPath()
+        to = jvm.Path(r["output"])
+        fs.mkdirs(to.getParent())
+        fs.delete(to, False)
+        fs.rename(part, to)
+    fs.delete(jvm.Path(staging), True)
+    return named.select("playlist", "output")

@@ -29,9 +29,10 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("trim(variant) <> '' and trim(canonical) <> ''")
 
 
-def read_suggestions(spark: SparkSession, path: str) -> DataFrame:
+def read_suggestions(spark: SparkSession, path: str, imported: bool = False) -> DataFrame:
+    """Suggestions as written here, a JSON object a line; imported ones are one JSON array."""
     schema = "variant string, variant_norm string, canonical string, canonical_norm string, confidence double, reasons array<string>, occurrences bigint, examples array<string>"
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+    return spark.read.schema(schema).option("multiLine", str(imported).lower()).json(path)
 
 
 def write_suggestions(rows: DataFrame, path: str) -> None:
