@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def run_summary(stats: DataFrame, wall: Column | float | None = None) -> DataFrame:
@@ -22,6 +23,18 @@ def phase_summary(stats: DataFrame) -> DataFrame:
     return stats.groupBy("phase").agg(F.count("*").alias("entries"), F.sum("elapsed").alias("total"), F.avg("elapsed").alias("mean"), F.expr("percentile(elapsed, 0.95)").alias("p95"), F.max("elapsed").alias("slowest")).orderBy("phase")
 
 
+def report(stats: DataFrame, k: int = 10) -> DataFrame:
+    """The lines of a run's report, numbered: its summary, its phases and its slowest entries. Small whatever the run's size."""
+    head = run_summary(stats).select(F.lit(0).alias("part"), F.lit(0).alias("n"), F.to_json(F.struct("*")).alias("line"))
+    phases = phase_summary(stats).select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy("phase")).alias("n"), F.to_json(F.struct("*")).alias("line"))
+    slow = slowest(stats, k).select(F.lit(2).alias("part"), F.row_number().over(Window.orderBy(F.desc("elapsed"), "seq")).alias("n"), F.to_json(F.struct("seq", "phase", "elapsed")).alias("line"))
+    return head.unionByName(phases).unionByName(slow)
+
+
+def write_report(stats: DataFrame, folder: str) -> None:
+    report(stats).orderBy("part", "n").select(F.col("line").alias("value")).coalesce(1).write.mode("overwrite").text(folder)
+
+
 def slowest(stats: DataFrame, k: int = 10) -> DataFrame:
     return stats.orderBy(F.desc("elapsed"), "seq").limit(k)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,10 @@ def read_tags(listing: DataFrame) -> DataFrame:
             for path, size, mtime in batch[["path", "size", "mtime"]].itertuples(index=False):
                 title = artist = duration = bits = None
                 if File is not None:
-                    found = File(path.removeprefix("file:"), easy=True)
+                    try:
+                        found = File(path.removeprefix("file:"), easy=True)
+                    except Exception:  # noqa: BLE001 - a file that cannot be read has no tags; the others go on
+                        found = None
                     if found is not None and found.info is not None:
                         duration, bits = found.info.length, getattr(found.info, "bitrate", None)
                         title, artist = (found.get(k, [None])[0] for k in ("title", "artist"))
@@ -75,12 +79,28 @@ def numbered(tracks: DataFrame) -> DataFrame:
     return tracks.withColumn("track_id", F.xxhash64("path"))
 
 
-def read_json_index(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of records with tags and stat as tracks; records without tags are left out."""
-    rows = spark.read.schema(INDEX_SCHEMA).option("multiLine", "true").json(path).where("tags is not null")
+def read_json_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON array of records with tags and stat, or with `lines` a record a line, as tracks; those without tags are left out."""
+    rows = spark.read.schema(INDEX_SCHEMA).option("multiLine", str(not lines).lower()).json(path).where("tags is not null")
     return rows.select("path", "tags.*", F.col("stat.size").alias("size"), F.col("stat.mtime").alias("mtime"))
 
 
+def write_json_index(tracks: DataFrame, folder: str) -> None:
+    """Tracks as JSON records with tags and stat, one a line, in the layout that read_json_index takes."""
+    tags, stat = F.struct("title", "artist", "duration", "bitrate", "auto_tags"), F.struct("size", "mtime")
+    tracks.select("path", tags.alias("tags"), stat.alias("stat")).write.mode("overwrite").json(folder)
+
+
+def ready(spark: SparkSession, version: str) -> bool:
+    """Whether a snapshot is of this version of the format and holds tracks and postings."""
+    if not version.rstrip("/").rpartition("/")[2].startswith(f"v{INDEX_VERSION}-"):
+        return False
+    try:
+        return bool(spark.read.parquet(f"{version}/tracks").take(1)) and bool(spark.read.parquet(f"{version}/postings").take(1))
+    except AnalysisException:
+        return False
+
+
 def write_snapshot(tracks: DataFrame, folder: str) -> str:
     """Write tracks and their postings as a new version below folder; its path. Readers of the former version go on."""
     version = f"{folder.rstrip('/')}/v{INDEX_VERSION}-{uuid.uuid4().hex}"
@@ -91,6 +111,9 @@ def write_snapshot(tracks: DataFrame, folder: str) -> str:
 
 
 def read_snapshot(spark: SparkSession, version: str) -> tuple[DataFrame, DataFrame]:
+    """Tracks and postings of a snapshot of this version of the format."""
+    if not version.rstrip("/").rpartition("/")[2].startswith(f"v{INDEX_VERSION}-"):
+        raise ValueError(f"{version} is not of version {INDEX_VERSION}")
     return spark.read.parquet(f"{version}/tracks"), spark.read.parquet(f"{version}/postings")
 
 

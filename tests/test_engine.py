@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from cratebind.operators import alias, blocking, caches, identity, metrics, normalise, scoring, snapshot
@@ -158,7 +159,7 @@ def test_repair_round_trip(spark, tmp_path):
     (tmp_path / "in" / "mix.m3u").write_text("#EXTM3U\n#EXTVDJ:<artist>Ana Ruiz</artist><title>Noche Azul</title><lastplaytime>9</lastplaytime><songlength>200.0</songlength>\nD:/gone.mp3\nD:/never heard.mp3\n")
     results, learned = repair(spark, str(tmp_path / "in"), version, str(tmp_path / "out"))
     assert {r["pos"]: r["phase"] for r in results.collect()} == {0: "identity", 1: "unmatched"}
-    written = playlists.read_playlists(spark, [str(p) for p in (tmp_path / "out").glob("file=*/*.txt")]).collect()
+    written = playlists.read_playlists(spark, [str(p) for p in (tmp_path / "out").glob("*.m3u")]).collect()
     assert [(r["raw_path"], r["artist"], r["lastplaytime"], r["duration"]) for r in written] == [(TRACKS[1][1], "Ana Ruiz", 9, 201.0)]
     again, _ = repair(spark, str(tmp_path / "in"), version, str(tmp_path / "out2"), learned=learned)
     assert {r["pos"]: r["phase"] for r in again.collect()}[0] == "memory_learned"
@@ -228,3 +229,65 @@ def test_streamed_playlists(spark, tmp_path):
     (tmp_path / "in" / "a.m3u").write_text(f"{TRACKS[0][1]}\nD:/never heard.mp3\n")
     watch(spark, str(tmp_path / "in"), version, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert sorted(r["phase"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["unmatched", "valid_path"]
+
+
+def test_repairs_of_reading_and_writing(spark, tmp_path):
+    lines = spark.createDataFrame([("p", 0, "\t a.mp3\t"), ("p", 1, "#EXTVDJ:<title>\tT </title>"), ("p", 2, "b.mp3 ")], "playlist string, line_no int, line string")
+    assert [(r["raw_path"], r["title"]) for r in playlists.entries_of_lines(lines).orderBy("pos").collect()] == [("a.mp3", None), ("b.mp3", "T")]
+    rows = spark.createDataFrame([("/x/a/mix.m3u", 0, "#m", "one.mp3"), ("/x/b/mix.m3u", 0, "#m", "two.mp3")], "playlist string, pos int, meta string, path string")
+    with pytest.raises(ValueError):
+        playlists.write_playlists(rows, str(tmp_path / "flat"))
+    playlists.write_playlists(rows, str(tmp_path / "kept"), "/x")
+    assert (tmp_path / "kept/a/mix_actualizada.m3u").read_text() == "#EXTM3U\n#m\none.mp3\n" and (tmp_path / "kept/b/mix_actualizada.m3u").exists()
+    assert not list((tmp_path / "kept").glob(".staging*"))
+    said = spark.createDataFrame([(f"v{i}", "v", "c", "c", 0.5, ["r"], 1, ["e"]) for i in range(6)], "variant string, variant_norm string, canonical string, canonical_norm string, confidence double, reasons array<string>, occurrences bigint, examples array<string>")
+    state.write_suggestions(said.coalesce(1), str(tmp_path / "s"))
+    assert state.read_suggestions(spark, str(tmp_path / "s")).count() == 6
+    (tmp_path / "s.json").write_text(json.dumps([{"variant": "a"}, {"variant": "b"}]))
+    assert state.read_suggestions(spark, str(tmp_path / "s.json"), imported=True).count() == 2
+
+
+def test_overrides_hold_for_their_playlist_alone(spark):
+    entries = [("a", 0, TRACKS[0][1], "Noche Azul", "Ana Ruiz", 200.0), ("b", 0, TRACKS[0][1], "Noche Azul", "Ana Ruiz", 200.0)]
+    df = spark.createDataFrame(entries, "playlist string, pos int, raw_path string, title string, artist string, duration double")
+    own = spark.createDataFrame([("a", TRACKS[0][1], 320)], "playlist string, path string, bitrate int")
+    tracks = spark.createDataFrame(TRACKS, TRACK)
+    got = {r["playlist"]: r for r in match(df, tracks, normalise.token_postings(tracks), overrides=own, only_low_bitrate=True).collect()}
+    assert got["a"]["phase"] == "valid_path" and got["a"]["bitrate"] == 320 and got["b"]["phase"] == "identity"
+    got = {r["playlist"]: r for r in match(df, tracks, normalise.token_postings(tracks), overrides=own).collect()}
+    assert got["a"]["bitrate"] == 320 and got["b"]["bitrate"] == TRACKS[0][5]
+
+
+def test_keys_and_forms_of_odd_texts(spark):
+    from cratebind.functions import text as T
+
+    df = spark.createDataFrame([("a|~", None, "x"), ("a", "~|", "x"), ("a", None, "~|x")], "artist string, title string, raw_path string").withColumn("duration", F.lit(None).cast("double"))
+    assert df.select(normalise.entry_id()).distinct().count() == 3
+    rows = spark.createDataFrame([("Song\u2026 \ufb01n \u2122 \u00bd",)], "t string").select(T.norm(F.col("t"))).first()
+    assert rows[0] == "song... fin tm 1\u20442"
+
+
+def test_review_options_and_readiness(spark, tmp_path):
+    from cratebind.operators import metrics, review
+    from cratebind.sources import options
+
+    results = spark.createDataFrame([("p", i, f"r{i}", "unmatched", False, None) for i in range(4)], "playlist string, pos int, raw_path string, phase string, found boolean, path string")
+    said = spark.createDataFrame([("p", 0, "choose", "c.mp3"), ("p", 1, "valid", None), ("p", 2, "skip", None)], "playlist string, pos int, action string, path string")
+    got = [(r["phase"], r["found"], r["path"]) for r in review.in_order(review.resolve(results, said)).collect()]
+    assert got == [("manual", True, "c.mp3"), ("valid_path", True, "r1"), ("skipped", False, None), ("unmatched", False, None)]
+    picks = spark.createDataFrame([("Ana - Noche", "x/Ana - Noche.mp3"), ("Ana - Noche", "x/zzz.mp3")], "l string, p string")
+    assert [r[0] for r in picks.select(review.needs_confirmation(F.col("l"), F.col("p"))).collect()] == [False, True]
+    tracks = normalise.normalise_tracks(spark.createDataFrame(TRACKS, TRACK))
+    entry = normalise.normalise_entries(spark.createDataFrame([("D:/x.mp3", "Noche Azul", "Ana Ruiz", 200.0)], "raw_path string, title string, artist string, duration double"))
+    scored = review.score_choice(entry.crossJoin(spark.createDataFrame([(TRACKS[0][1],), ("gone.mp3",)], "path string")), tracks)
+    assert {r["path"]: r["score"] for r in scored.collect()} == {TRACKS[0][1]: 100.0, "gone.mp3": 0.0}
+    options.write_options(spark, options.Options(threshold=80, folder_path="/m"), str(tmp_path / "o"))
+    found = options.read_options(spark, str(tmp_path / "o"))
+    assert (found.threshold, found.folder_path) == (80, "/m") and options.read_options(spark, str(tmp_path / "none")) == options.Options()
+    assert [r["path"] for r in options.selected_playlists(spark, found, ["a"]).collect()] == ["a"] and options.selected_playlists(spark, found).collect() == []
+    version = library.write_snapshot(spark.createDataFrame(TRACKS, TRACK), str(tmp_path / "lib"))
+    assert library.ready(spark, version) and not library.ready(spark, str(tmp_path / "v1-x")) and not library.ready(spark, str(tmp_path / "v2-x"))
+    assert options.purge(spark, version, str(tmp_path / "none")) == [version] and not library.ready(spark, version)
+    stats = spark.createDataFrame([(i, "tags", True, 0.5 * i, False, 9) for i in range(3)], "seq long, phase string, found boolean, elapsed double, full_scan boolean, index_size long")
+    metrics.write_report(stats, str(tmp_path / "r"))
+    assert spark.read.text(str(tmp_path / "r")).count() == 5
