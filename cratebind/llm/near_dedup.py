@@ -13,6 +13,7 @@ of fewer words than a run are one run; null and empty texts are two classes; equ
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -29,6 +30,7 @@ SHORT_RUN = 2
 SHORT = 64  #: texts of up to so many words have the values of short texts
 LONG = 50  #: texts of at least so many words have the others; at most 0.8 * (SHORT + 1), so that similar texts share a kind
 CELLS = 64
+MOST_CELLS = 8192
 BLOCK = 1024
 BIG = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -89,9 +91,48 @@ def sketch(words: np.ndarray, seeds: np.ndarray, short_seeds: np.ndarray) -> lis
 
 
 def cell_counts(words: np.ndarray) -> bytes:
-    """How many words are in each of CELLS cells. An edit adds one to a cell at most and takes one from a cell at most."""
-    n = np.bincount((words % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-    return np.minimum(n, 65535).astype(np.uint16).tobytes()
+    """How many words are in each cell, packed; a power of two of cells, at least CELLS and, up to MOST_CELLS, twice the words.
+
+    An edit adds one to a cell at most and takes one from a cell at most; that holds too for counts cut at 255 and folded.
+    """
+    size = min(MOST_CELLS, max(CELLS, 1 << (2 * len(words) - 1).bit_length())) if len(words) else CELLS
+    n = np.bincount((words % np.uint64(size)).astype(np.int64), minlength=size)
+    return zlib.compress(np.minimum(n, 255).astype(np.uint8).tobytes(), 1)
+
+
+def unpacked(cells: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(cells), np.uint8)
+
+
+def folded(cells: np.ndarray, size: int) -> np.ndarray:
+    return cells if len(cells) == size else np.minimum(cells.reshape(-1, size).sum(0, dtype=np.int32), 255).astype(np.uint8)
+
+
+class Counts:
+    """The word counts of many texts, at each number of cells that some text has; finer ones are folded to it."""
+
+    def __init__(self, cells: list[bytes]):
+        whole = [unpacked(c) for c in cells]
+        self.size = np.array([len(c) for c in whole])
+        self.levels = {}
+        for size in np.unique(self.size).tolist():
+            rows = np.flatnonzero(self.size >= size)
+            place = np.full(len(whole), -1)
+            place[rows] = np.arange(len(rows))
+            counts = np.stack([folded(whole[r], size) for r in rows])
+            self.levels[size] = place, counts, counts.sum(1, dtype=np.int32)
+
+    def least_edits(self, i: int, others: np.ndarray) -> np.ndarray:
+        """How many edits text i and each of the others need at least: what the longer has and both do not share."""
+        low = np.minimum(self.size[i], self.size[others])
+        out = np.zeros(len(others), np.int64)
+        for size in np.unique(low).tolist():
+            place, counts, total = self.levels[size]
+            at = np.flatnonzero(low == size)
+            rows, own = place[others[at]], place[i]
+            shared = np.minimum(counts[rows], counts[own]).sum(1, dtype=np.int32)
+            out[at] = np.maximum(total[rows], total[own]) - shared
+        return out
 
 
 def banded_distance(a: list[int], b: list[int], k: int) -> int:
@@ -196,6 +237,24 @@ def leader_pairs(members: DataFrame) -> DataFrame:
     return both.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
+def possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b), which are stored, that lengths and word counts do not rule out."""
+    facts = nodes.select("node", F.struct("n_words", "cells").alias("fact"))
+    left = spread_join(pairs, facts.select(F.col("node").alias("a"), F.col("fact").alias("fa")), "a", "b")
+    both = spread_join(keep(left, "near-facts"), facts.select(F.col("node").alias("b"), F.col("fact").alias("fb")), "b", "a")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for m, n, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                most = int((1 - least) * max(m, n) + 1e-9)
+                good.append(abs(m - n) <= most and Counts([x, y]).least_edits(0, np.array([1]))[0] <= most)
+            keeps = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keeps), batch.column(1).filter(keeps)], ["a", "b"])
+
+    return both.select("a", "b", "fa.n_words", F.col("fb.n_words").alias("m_words"), "fa.cells", F.col("fb.cells").alias("other_cells")).mapInArrow(work, "a binary, b binary")
+
+
 def open_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: float, nearest: bool, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of nodes that share a bucket, are of different components and may be similar by length and word counts.
 
@@ -218,7 +277,7 @@ def open_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: fl
         if len(number) < 2:
             return first, second
         size = group.column("n_words").to_numpy()
-        cells = np.frombuffer(b"".join(group.column("cells").to_pylist()), np.uint16).reshape(-1, CELLS).astype(np.int32)
+        counts = Counts(group.column("cells").to_pylist())
         same = group.column("low")[0] == group.column("high")[0]
         lower = own == group.column("low")[0].as_py()
         for i in range(len(node)):
@@ -231,8 +290,7 @@ def open_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: fl
             at = np.flatnonzero(fit & (np.abs(size - size[i]) <= most))
             if not len(at):
                 continue
-            apart = cells[at] - cells[i]
-            bound = np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1))
+            bound = counts.least_edits(i, at)
             good = bound <= most[at]
             at, bound = at[good], bound[good]
             if nearest and len(at):
@@ -276,17 +334,28 @@ def open_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: fl
     return dealt.mapInArrow(work, "a binary, b binary").distinct()
 
 
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """node, text of the rows with the text compressed, as it crosses several shuffles."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [zlib.compress(t.encode(), 1) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "text"])
+
+    return texts.select("node", "text").mapInArrow(work, "node binary, text binary")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """The pairs, which are stored, whose texts are similar."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = documents(docs).select(node_of("text").alias("node"), "text").join(named, "node", "left_semi")
-    one = keep(texts.dropDuplicates(["node"]), "near-texts")
+    one = keep(packed_texts(texts).dropDuplicates(["node"]), "near-texts")
     full = pairs.join(one.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(one.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            good = pa.array([similar(left[i].as_py(), right[i].as_py(), least) for i in range(batch.num_rows)], pa.bool_())
+            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            good = pa.array([similar(zlib.decompress(x).decode(), zlib.decompress(y).decode(), least) for x, y in both], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
 
     return full.select("a", "b", "text_a", "text_b").mapInArrow(judge, "a binary, b binary")
@@ -330,7 +399,7 @@ def near_classes(docs: DataFrame, values: int = 48, short_values: int = 24, leas
     nodes = made.where(F.col("sketch").isNotNull()).dropDuplicates(["node"])
     members = bucket_members(nodes)
     seen = keep(leader_pairs(members), "near-pairs")
-    links = keep(verified(seen, docs, least), "near-similar")
+    links = keep(verified(keep(possible(seen, nodes, least), "near-pairs"), docs, least), "near-similar")
     roots = components(links)
     for nearest in (True, False):
         pairs = keep(open_pairs(members, nodes, roots, least, nearest).join(seen, ["a", "b"], "left_anti"), "near-pairs")

@@ -310,6 +310,19 @@ def test_near_dedup_meets_all_pairs_of_a_bucket_across_blocks(spark):
     assert near_dedup.open_pairs(members, frame, joined, 0.8, False, block=7).collect() == []
 
 
+def test_near_dedup_counts_never_exceed_the_edit_distance():
+    rng = random.Random(21)
+    for n in (1, 3, 30, 33, 129, 300, 700):
+        for words in (3, 50, 5000):
+            base = [rng.randrange(words) for _ in range(n)]
+            texts = [base, [9], *([w if rng.random() > p else rng.randrange(words) for w in base] + base[: rng.randrange(3)] for p in (0.1, 0.5, 1))]
+            counts = near_dedup.Counts([near_dedup.cell_counts(np.array(t, np.uint64)) for t in texts])
+            others = np.arange(len(texts))
+            for i, t in enumerate(texts):
+                found = counts.least_edits(i, others)
+                assert all(found[j] <= near_dedup.banded_distance(t, u, max(len(t), len(u))) for j, u in enumerate(texts)) and found[i] == 0
+
+
 def test_near_dedup_recall(spark):
     rng = random.Random(20)
     rows, sure = [], []
