@@ -255,18 +255,31 @@ def possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "fa.n_words", F.col("fb.n_words").alias("m_words"), "fa.cells", F.col("fb.cells").alias("other_cells")).mapInArrow(work, "a binary, b binary")
 
 
+def earlier_values(sketches: list[list[int]], n_words: np.ndarray, value: int) -> np.ndarray:
+    """The values of each text below `value`, those of one seed in one column; `value` stands where there is none."""
+    width = max(map(len, sketches))
+    out = np.full((len(sketches), 2 * width), value, np.int64)
+    for row, found, n in zip(out, sketches, n_words, strict=True):
+        if n <= SHORT:  # values of short texts begin a sketch, the others end it
+            row[: len(found)] = found
+        if n >= LONG:
+            row[-len(found) :] = found
+    return np.minimum(out, value)
+
+
 def open_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: float, nearest: bool, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of nodes that share a bucket, are of different components and may be similar by length and word counts.
 
-    With `nearest`, each node of a block of a bucket has only its nearest such node of each block. Buckets are cut into
-    blocks of about `block` nodes, and every two blocks of a bucket meet in a group of their own, in any task.
+    A pair belongs to the bucket of the smallest value that both share, and is looked at there alone. With `nearest`, each
+    node of a block of a bucket has only its nearest such node of each block. Buckets are cut into blocks of about `block`
+    nodes, and every two blocks of a bucket meet in a group of their own, in any task.
     """
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     left = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
     blocks = F.ceil(F.col("n") / block).cast("int")
     rows = placed.join(left, "value").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    rows = rows.join(nodes.select("node", "n_words", "cells"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "n_words", "cells")
+    rows = rows.join(nodes.select("node", "n_words", "cells", "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "n_words", "cells", "sketch")
     dealt = rows.repartition("value", "low", "high").sortWithinPartitions("value", "low", "high")
 
     def meet(group: pa.Table) -> tuple[list[bytes], list[bytes]]:
@@ -277,6 +290,8 @@ def open_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: fl
         if len(number) < 2:
             return first, second
         size = group.column("n_words").to_numpy()
+        value = group.column("value")[0].as_py()
+        earlier = earlier_values(group.column("sketch").to_pylist(), size, value)
         counts = Counts(group.column("cells").to_pylist())
         same = group.column("low")[0] == group.column("high")[0]
         lower = own == group.column("low")[0].as_py()
@@ -288,6 +303,7 @@ def open_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: fl
                 fit[: i + 1] = False
             most = ((1 - least) * np.maximum(size, size[i]) + 1e-9).astype(np.int64)
             at = np.flatnonzero(fit & (np.abs(size - size[i]) <= most))
+            at = at[~((earlier[at] == earlier[i]) & (earlier[i] < value)).any(1)]  # they met, or meet, at an earlier value
             if not len(at):
                 continue
             bound = counts.least_edits(i, at)

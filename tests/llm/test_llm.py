@@ -310,6 +310,21 @@ def test_near_dedup_meets_all_pairs_of_a_bucket_across_blocks(spark):
     assert near_dedup.open_pairs(members, frame, joined, 0.8, False, block=7).collect() == []
 
 
+def test_near_dedup_meets_each_pair_that_shares_some_value(spark):
+    rng = random.Random(22)
+    cells = near_dedup.cell_counts(np.zeros(55, np.uint64))
+    rows = []
+    for i in range(60):
+        short, long = ([10 * seed + rng.randrange(8) - 1000 for seed in seeds] for seeds in (range(3), range(100, 105)))
+        n = (40, 55, 70)[i % 3]
+        rows.append((bytes([i]) * 16, (short if n <= 64 else []) + (long if n >= 50 else []), 55 if n == 55 else n, cells))
+    frame = spark.createDataFrame(rows, "node binary, sketch array<long>, n_words int, cells binary")
+    none = spark.createDataFrame([], "node binary, root binary")
+    found = near_dedup.open_pairs(near_dedup.bucket_members(frame), frame, none, 0.5, False, block=7).collect()
+    true = {(a[0][0], b[0][0]) for a in rows for b in rows if a[0] < b[0] and set(a[1]) & set(b[1])}
+    assert {(r["a"][0], r["b"][0]) for r in found} == true and len(found) == len(true)
+
+
 def test_near_dedup_counts_never_exceed_the_edit_distance():
     rng = random.Random(21)
     for n in (1, 3, 30, 33, 129, 300, 700):
