@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import blocking, caches, identity, normalise, scoring
+from ..operators.storage import stored
 
 CHOICE = "struct<track_id:bigint,path:string,bitrate:int,remix:boolean,artist:string>"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the session's shared folder and read again: reused by several phases without being worked out again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def choice() -> Column:
     return F.struct("track_id", F.col("t_path").alias("path"), F.col("t_bitrate").alias("bitrate"), F.col("t_remix").alias("remix"), F.col("t_artist_norm").alias("artist"))
 

@@ -13,7 +13,8 @@ from ..functions import text as T
 from ..operators import alias, blocking, caches, identity, metrics, normalise, scoring, snapshot
 from ..sources import playlists
 from . import adapters as A
-from .cascade import match, stored
+from ..operators.storage import stored
+from .cascade import match
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import caches, normalise
 from ..sources import library, playlists
-from .cascade import match, stored
+from ..operators.storage import stored
+from .cascade import match
 
 
 def preview(entries: DataFrame, tracks: DataFrame) -> DataFrame:
