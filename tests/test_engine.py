@@ -88,6 +88,19 @@ def test_top_candidates(spark):
     assert [r["track_id"] for r in got] == [1, 2]  # the remix goes while there is another
 
 
+def test_phases_choose_as_if_every_candidate_were_scored(spark):
+    tracks = spark.createDataFrame(TRACKS, TRACK)
+    said = [("Noche Azul", "Ana Ruiz"), ("Noche Azull", "Ana Ruiz"), ("Noche", None), (None, "Luis Mar"), ("Viento Nortes", "Luis Marr"), ("Noche Azul Remix", "Ana")]
+    rows = [("p", i, f"{a or 'x'} - {t or 'y'} {i}.mp3", t, a, d) for i, (t, a, d) in enumerate((t, a, d) for t, a in said for d in (None, 199.0, 239.5))]
+    e, lib, postings = normalise.normalise_entries(spark.createDataFrame(rows, ENTRY)), normalise.normalise_tracks(tracks), normalise.token_postings(tracks)
+    found = {(r["eid"], r["track_id"], r["score"]) for r in scoring.match_by_tags(e, lib, postings).collect()}
+    plain = scoring.best_by_tags(scoring.tag_score(blocking.tag_candidates(e, lib, postings)))
+    assert found and found == {(r["eid"], r["track_id"], r["score"]) for r in plain.collect()}
+    named = {(r["eid"], r["track_id"], r["score"]) for r in scoring.match_by_name(e, lib, postings).collect()}
+    plain = scoring.best_by_name(scoring.name_score(blocking.name_candidates(e, lib, postings)))
+    assert named and named == {(r["eid"], r["track_id"], r["score"]) for r in plain.collect()}
+
+
 def test_ratio_pairs_takes_all_pairs(spark, tmp_path):
     names = [f"name {i % 40}" for i in range(60)]
     spark.createDataFrame([(n,) for n in names], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
