@@ -250,8 +250,12 @@ class Level:
 
         def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                both = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([np.append(np.frombuffer(f or b"", np.int32), np.int32(-1))[np.frombuffer(c, np.int32)].tobytes() for c, f in both], pa.binary())], ["slots"])
+                out = []
+                for codes, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    code = np.frombuffer(codes, np.int32)
+                    known = np.full(len(code), -1, np.int32) if found is None else np.frombuffer(found, np.int32)  # no block: no frequent words
+                    out.append(np.append(known, np.int32(-1))[code].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["slots"])
 
         return keep(at.select("codes", "found").mapInArrow(spell, "slots binary"), "phrase-slots", "zstd")
 
