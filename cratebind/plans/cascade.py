@@ -24,11 +24,28 @@ def upgraded(found: DataFrame, better: DataFrame) -> DataFrame:
     return both.select(*[c for c in found.columns if c not in ("path", "bitrate")], F.when(up, F.col("__path")).otherwise(F.col("path")).alias("path"), F.when(up, F.col("__bitrate")).otherwise(F.col("bitrate")).alias("bitrate"))
 
 
+def same_title(sayings: scoring.Sayings) -> DataFrame:
+    """Sayings and the tracks of their blocks that have the same title, with what the refinements look at.
+
+    Titles meet by equality and blocks come in as pairs of ids, so that blocked pairs of other titles are never made.
+    """
+    mine = sayings.once.where("canon <> ''").select("said", "sid", "canon", "artist_norm", "parts", "duration")
+    theirs = sayings.tracks.select("track_id", F.col("t_canon").alias("canon"), "t_canon", "t_artist", "t_artist_norm", "t_parts", "t_name_norm", "t_duration", "t_auto", "t_remix", "t_bitrate", "t_path")
+    met = mine.join(theirs, "canon").where(identity.similar_tags() | identity.alias_fits(15.0))
+    return stored(met.join(sayings.placed.select("sid", "track_id"), ["sid", "track_id"], "left_semi"), "same-title")
+
+
+def finest(pairs: DataFrame, name: str) -> DataFrame:
+    """said and the best of its pairs as `name`: real tags, no remix, bitrate, the first."""
+    order = F.struct(~F.col("t_auto"), ~F.col("t_remix"), "t_bitrate", -F.col("track_id"))
+    return pairs.groupBy("said").agg(F.max_by(choice(), order).alias(name))
+
+
 def similar_best(entries: DataFrame, tracks: DataFrame, postings: DataFrame, best: DataFrame) -> DataFrame:
     """eid, path, bitrate: the track of the entry's identity, else the best of its blocked candidates with similar tags."""
     own = identity.identity_match(entries, tracks, best).select("eid", F.col("t_path").alias("path"), F.col("t_bitrate").alias("bitrate"), F.lit(1).alias("__p"))
-    pairs = blocking.tag_candidates(entries, tracks, postings)
-    near = identity.alike(pairs).select("eid", F.col("t_path").alias("path"), F.col("t_bitrate").alias("bitrate"), F.lit(0).alias("__p"))
+    sayings = scoring.Sayings(entries, tracks, postings)
+    near = sayings.of(finest(same_title(sayings).where(identity.similar_tags()), "near")).select("eid", "near.path", "near.bitrate", F.lit(0).alias("__p"))
     return own.unionByName(near).groupBy("eid").agg(F.max_by(F.struct("path", "bitrate"), "__p").alias("x")).select("eid", "x.path", "x.bitrate")
 
 
@@ -36,33 +53,43 @@ def tag_phase(entries: DataFrame, tracks: DataFrame, postings: DataFrame) -> Dat
     """eid, path, bitrate, candidates of the entries that their tags resolve.
 
     The choice by score may give way to a similar track of higher bitrate, a remix to another version, and a
-    track below 320 kbps or of another artist to an alias of the artist.
+    track below 320 kbps or of another artist to an alias of the artist. All of it is worked out for sayings, not for entries.
     """
     asked = entries.where((F.size("title_tokens") > 0) | (F.size("artist_tokens") > 0))
-    pairs = stored(scoring.tag_score(blocking.tag_candidates(asked, tracks, postings)), "tag-pairs")
-    flags = pairs.select("eid").groupBy("eid").agg(F.count("*").alias("candidates"))
-    soft = scoring.soft_top(asked.join(scoring.best_ties(pairs).where("score >= 50").select("eid").distinct(), "eid", "left_anti"), tracks)
-    soft_fit = scoring.prefer(soft, "eid", ~F.col("t_auto")).where(scoring.expected_artist())
-    first = scoring.best_by_tags(pairs).select("eid", choice().alias("now"), "artist_norm", "remix")
-    first = first.unionByName(scoring.best_bitrate(soft_fit, "eid", F.col("remix") | ~F.col("t_remix")).select("eid", choice().alias("now"), "artist_norm", "remix"))
-    more = {"near": identity.alike(pairs), "wide": identity.alias_best(pairs, 15.0), "tight": identity.alias_best(pairs, 3.0)}
-    for name, df in more.items():
-        first = first.join(df.select("eid", choice().alias(name)), "eid", "left")
+    sayings = scoring.Sayings(asked, tracks, postings)
+    scored = stored(sayings.best(), "best-by-tags")
+    shown = tracks.select("track_id", "t_path", "t_bitrate", "t_remix", "t_artist_norm", "t_parts", "t_name_norm", "t_auto")
+    first = scored.where("fits").select("said", "track_id").join(shown, "track_id").select("said", choice().alias("now"))
+    # an entry of a service whose tags lead to nothing may have one of the most similar titles
+    open_ = sayings.entries.where("service").join(scored, "said", "left_anti")
+    soft = open_.select("eid", "said", "artist_norm", "artist_tokens", "parts", "remix").join(scoring.soft_top(open_, tracks).select("eid", "track_id"), "eid").dropDuplicates(["said", "track_id"]).join(shown, "track_id")
+    fit = scoring.prefer(soft, "said", ~F.col("t_auto")).where(scoring.expected_artist())
+    first = first.unionByName(scoring.best_bitrate(fit, "said", F.col("remix") | ~F.col("t_remix")).select("said", choice().alias("now")))
+    pairs = same_title(sayings)
+    for name, fits in (("near", identity.similar_tags()), ("wide", identity.alias_fits(15.0)), ("tight", identity.alias_fits(3.0))):
+        first = first.join(finest(pairs.where(fits), name), "said", "left")
     now, near, wide, tight = (F.col(c) for c in ("now", "near", "wide", "tight"))
-    step = first.withColumn("now", F.when(near["bitrate"] > now["bitrate"], near).otherwise(now))
+    step = first.join(sayings.once.select("said", "sid", "artist_norm", "remix"), "said").withColumn("now", F.when(near["bitrate"] > now["bitrate"], near).otherwise(now))
     step = step.withColumn("now", F.when(~F.col("remix") & now["remix"] & ~wide["remix"] & (wide["bitrate"] >= now["bitrate"]), wide).otherwise(now))
     other = (F.col("artist_norm") != "") & (now["artist"] != F.col("artist_norm"))
     step = step.withColumn("now", F.when(((now["bitrate"] < 320) | other) & ((tight["bitrate"] > now["bitrate"]) | (tight.isNotNull() & other)), tight).otherwise(now))
-    return step.join(flags, "eid", "left").select("eid", "now.path", "now.bitrate", F.coalesce("candidates", F.lit(0)).alias("candidates"))
+    counted = sayings.placed.groupBy("sid").agg(F.count("*").alias("candidates"))
+    done = step.join(counted, "sid", "left").select("said", "now.path", "now.bitrate", F.coalesce("candidates", F.lit(0)).alias("candidates"))
+    return sayings.of(done)
 
 
 def name_phase(entries: DataFrame, tracks: DataFrame, postings: DataFrame, threshold: float) -> DataFrame:
-    """eid, path, bitrate, candidates of the entries that their file names resolve; equal tags of higher bitrate win."""
-    pairs = stored(scoring.name_score(blocking.name_candidates(entries, tracks, postings)), "name-pairs")
-    flags = pairs.groupBy("eid").agg(F.count("*").alias("candidates"))
-    first = scoring.best_by_name(pairs, threshold).select("eid", F.col("t_path").alias("path"), F.col("t_bitrate").alias("bitrate"))
-    equal = identity.derived_equal(pairs.join(first.select("eid"), "eid", "left_semi")).select("eid", F.col("t_path").alias("path"), F.col("t_bitrate").alias("bitrate"))
-    return upgraded(first, equal).join(flags, "eid")
+    """eid, path, bitrate, candidates of the entries that their file names resolve; equal tags of higher bitrate win.
+
+    Names are compared as distinct texts; candidates are counted for distinct sets of tokens.
+    """
+    best = stored(scoring.match_by_name(entries, tracks, postings, threshold), "best-by-name")
+    first = best.join(tracks.select("track_id", "t_path", "t_bitrate"), "track_id").select("eid", F.col("t_path").alias("path"), F.col("t_bitrate").alias("bitrate"))
+    found = stored(entries.join(best.select("eid"), "eid", "left_semi").withColumn("sid", blocking.set_id("name_tokens")), "found-by-name")
+    equal = identity.derived_match(found.drop("sid"), tracks, postings).select("eid", F.col("t_path").alias("path"), F.col("t_bitrate").alias("bitrate"))
+    sets = found.select("sid", "name_tokens").dropDuplicates(["sid"]).where(F.size("name_tokens") > 0)
+    counted = blocking.hits(sets, "name_tokens", ["name", "title"], postings).groupBy("sid").agg(F.count("*").alias("candidates"))
+    return upgraded(first, equal).join(found.select("eid", "sid"), "eid").join(counted, "sid").drop("sid")
 
 
 def match(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions import similarity as S
 from ..functions import text as T
-from ..operators import alias, blocking, caches, identity, metrics, normalise, scoring, snapshot
+from ..operators import alias, blocking, caches, identity, metrics, normalise, ranking, scoring, snapshot
 from ..sources import playlists
 from . import adapters as A
 from ..operators.storage import stored
@@ -89,13 +89,13 @@ def derived_equality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def candidates_top12(spark: SparkSession, folder: str) -> DataFrame:
-    entries, tracks, postings, _ = library(spark, folder)
-    return scoring.top_candidates(stored(entries, "entries"), stored(tracks, "tracks"), stored(postings, "postings")).select("eid", "rank", "track_id", F.round("score", 6).alias("score"))
+    entries, tracks, _, _ = library(spark, folder)
+    return ranking.top_candidates(stored(entries, "entries"), stored(tracks, "tracks")).select("eid", "rank", "track_id", F.round("score", 6).alias("score"))
 
 
 def soft_top5(spark: SparkSession, folder: str) -> DataFrame:
     entries, tracks, _, _ = library(spark, folder)
-    return scoring.soft_top(entries, tracks).select("eid", "rank", "track_id", "score")
+    return scoring.soft_top(stored(entries, "entries"), stored(tracks, "tracks")).select("eid", "rank", "track_id", "score")
 
 
 def token_postings(spark: SparkSession, folder: str) -> DataFrame:
