@@ -140,9 +140,21 @@ def stem(c: Column) -> Column:
 
 
 def norm_path(c: Column) -> Column:
-    """Lower case, slashes of one kind, single, without `.` parts; `a/..` is resolved once."""
+    """Lower case, slashes of one kind, single, none at the end, without `.` parts; each `..` takes the part before it.
+
+    At a root or a drive `..` stays there; at the start of a relative path it is kept.
+    """
     slashes = F.regexp_replace(F.lower(c), r"[/\\]+", "/")
-    return F.regexp_replace(F.regexp_replace(slashes, r"(?<=/)(\./)+", ""), r"(?<=/)[^/]+/\.\./", "")
+    rooted = F.startswith(slashes, F.lit("/"))
+    parts = F.filter(F.split(slashes, "/"), lambda x: ~x.isin("", "."))
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        top = F.when(last.isNull(), rooted).otherwise(last.rlike("^[a-z]:$"))
+        return F.when(x != "..", F.concat(done, F.array(x))).when(top, done).when(last.isNull() | (last == ".."), F.concat(done, F.array(x))).otherwise(F.slice(done, F.lit(1), F.size(done) - 1))
+
+    folded = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    return F.when(slashes.rlike(r"(^|/)\.\.?(/|$)"), folded).otherwise(F.regexp_replace(slashes, "(?<=[^/])/$", ""))
 
 
 def split_name(c: Column) -> tuple[Column, Column]:

@@ -16,16 +16,25 @@ def first_valid(found: DataFrame, good: Column) -> DataFrame:
     return memory_score(found).where(good).withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
-def manual_lookup(entries: DataFrame, manual: DataFrame, tracks: DataFrame, least: float = 50.0) -> DataFrame:
+def manual_lookup(entries: DataFrame, manual: DataFrame, tracks: DataFrame, least: float = 50.0, listing: DataFrame | None = None) -> DataFrame:
     """eid with the track of its first manual choice that exists and still fits; manual(key, path).
 
-    Of a label's keys only the first that is known counts, as a choice is looked up label by label.
+    Of a label's keys only the first that is known counts, as a choice is looked up label by label. A file of listing(path) that is no
+    track can be the choice of an entry without tags, which is held against its name; it has no track_id and a bitrate of 0.
     """
     labels = entries.select("*", F.posexplode(K.manual_labels(F.col("raw_path"), F.col("artist"), F.col("title"))).alias("label_no", "label"))
     keyed = labels.select("*", F.posexplode(K.manual_keys(F.col("label"))).alias("key_no", "key")).join(manual.select("key", F.col("path").alias("chosen")), "key")
     first = Window.partitionBy("eid", "label_no").orderBy("key_no")
     named = keyed.withColumn("__n", F.row_number().over(first)).where("__n = 1").withColumn("prio", F.col("label_no"))
+    if listing is not None:
+        files = listing.select(F.col("path").alias("t_path"), T.norm_path(F.col("path")).alias("__key")).dropDuplicates(["__key"])
+        known = tracks.select(T.norm_path(F.col("t_path")).alias("__key")).distinct()
+        name = T.norm(T.basename(F.col("t_path")))
+        more = files.join(known, "__key", "left_anti").select("t_path", F.lit(0).alias("t_bitrate"), name.alias("t_name_norm"), T.words_of(name).alias("t_name_tokens"), F.lit("").alias("t_title_norm"), F.lit("").alias("t_artist_norm"), F.lit(True).alias("__file"))
+        tracks = tracks.unionByName(more, allowMissingColumns=True)
     found = named.join(tracks, T.norm_path(F.col("chosen")) == T.norm_path(F.col("t_path")))
+    if listing is not None:
+        found = found.where("__file is null or not has_tags").drop("__file")
     return first_valid(found, F.when(F.col("has_tags"), F.col("score") >= least).otherwise(F.col("plain_name") >= least))
 
 

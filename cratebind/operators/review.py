@@ -7,19 +7,25 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
-from .scoring import memory_score
+from .scoring import name_score, tag_score
 
 
 def score_choice(chosen: DataFrame, tracks: DataFrame) -> DataFrame:
-    """eid, path, score, track_id of entries in their forms, each with the `path` chosen for it; 0 for a path that is no track's."""
+    """eid, path, score, track_id of entries in their forms, each with the `path` chosen for it; 0 for a path that is no track's.
+
+    Entries with tags are scored as the tag phase scores them, others by their file names; to two places.
+    """
     there = tracks.withColumn("__key", T.norm_path(F.col("t_path")))
-    scored = memory_score(chosen.join(there, T.norm_path(F.col("path")) == F.col("__key"), "left"))
-    return scored.select("eid", "path", F.when(F.col("track_id").isNull(), 0.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"), "track_id")
+    both = chosen.join(there, T.norm_path(F.col("path")) == F.col("__key"), "left")
+    tagged, named = tag_score(both.where("has_tags and track_id is not null")), name_score(both.where("not has_tags and track_id is not null"))
+    gone = both.where("track_id is null").withColumn("score", F.lit(0.0))
+    shown = ["eid", "path", F.round(F.coalesce("score", F.lit(0.0)), 2).alias("score"), "track_id"]
+    return tagged.select(*shown).unionByName(named.select(*shown)).unionByName(gone.select(*shown))
 
 
-def needs_confirmation(label: Column, path: Column, least: float = 60.0) -> Column:
-    """Whether a path chosen by hand is so unlike the entry's label that it should be confirmed."""
-    return S.rough_similarity(label, T.stem(T.basename(path))) < least
+def needs_confirmation(raw_path: Column, path: Column, least: float = 60.0) -> Column:
+    """Whether a file chosen by hand is so unlike the entry's own file that it should be confirmed: by both names, endings included."""
+    return S.rough_similarity(T.basename(raw_path), T.basename(path)) < least
 
 
 def resolve(results: DataFrame, decisions: DataFrame) -> DataFrame:

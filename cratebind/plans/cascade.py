@@ -92,19 +92,32 @@ def name_phase(entries: DataFrame, tracks: DataFrame, postings: DataFrame, thres
     return upgraded(first, equal).join(found.select("eid", "sid"), "eid").join(counted, "sid").drop("sid")
 
 
+def on_disk(lib: DataFrame, listing: DataFrame | None) -> DataFrame:
+    """__path, bitrate: the files that exist, by normalised path, with the library's bitrate or 0.
+
+    What exists is listing(path), a listing of files as a side of the join; without one, what is in the library.
+    """
+    known = lib.select(T.norm_path(F.col("t_path")).alias("__path"), F.col("t_bitrate")).groupBy("__path").agg(F.max("t_bitrate").alias("bitrate"))
+    if listing is None:
+        return known
+    return listing.select(T.norm_path(F.col("path")).alias("__path")).distinct().join(known, "__path", "left").fillna(0, ["bitrate"])
+
+
 def match(
     entries: DataFrame, tracks: DataFrame, postings: DataFrame, manual: DataFrame | None = None, learned: DataFrame | None = None,
     aliases: DataFrame | None = None, overrides: DataFrame | None = None, threshold: float = 70.0, only_low_bitrate: bool = False, least_bitrate: int = 320,
+    listing: DataFrame | None = None,
 ) -> DataFrame:
     """playlist, pos, raw_path, phase, found, path, bitrate, candidates of every entry.
 
-    entries(playlist, pos, raw_path, title, artist, duration); an entry whose path is in the library stands, unless
-    only_low_bitrate asks to better those below least_bitrate; overrides(playlist, path, bitrate) tell a playlist's own bitrates.
+    entries(playlist, pos, raw_path, title, artist, duration); an entry whose file exists stands, unless only_low_bitrate asks to
+    better those below least_bitrate; overrides(playlist, path, bitrate) tell a playlist's own bitrates. listing(path) says what
+    exists; without it, that is the library.
     """
     lib = stored(normalise.normalise_tracks(tracks, aliases), "tracks")
     forms = stored(normalise.normalise_entries(entries, aliases), "entries")
     best = stored(identity.identity_best(lib), "identities")
-    there = lib.select(T.norm_path(F.col("t_path")).alias("__path"), F.col("t_bitrate")).groupBy("__path").agg(F.max("t_bitrate").alias("bitrate"))
+    there = on_disk(lib, listing)
     done = forms.where("not service").join(there, T.norm_path(F.col("raw_path")) == F.col("__path")).select("eid", F.col("raw_path").alias("path"), "bitrate")
     at = stored(entries.select("playlist", "pos", "raw_path", normalise.entry_id().alias("eid")), "positions")
     pinned = None
@@ -127,7 +140,7 @@ def match(
 
     for memory, how in ((manual, "manual"), (learned, "learned")):
         if memory is not None:
-            hit = caches.manual_lookup(left, memory, lib) if how == "manual" else caches.learned_lookup(left, memory, lib)
+            hit = caches.manual_lookup(left, memory, lib, listing=listing) if how == "manual" else caches.learned_lookup(left, memory, lib)
             hit = stored(hit.select("eid", F.col("t_path").alias("path"), F.col("t_bitrate").alias("bitrate"), (F.col("by") if how == "learned" else F.lit("manual")).alias("by")), "memory")
             better = similar_best(left.join(hit, "eid", "left_semi"), lib, postings, best)
             settle(upgraded(hit, better), F.concat(F.lit("memory_"), "by"))

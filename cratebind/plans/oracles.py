@@ -325,3 +325,138 @@ j as (select g.*, ratio, list_distinct(string_split(g.variant, ' ')) as x, list_
 select variant as variant_norm, canonical as canonical_norm, display as variant, canonical_display as canonical, occurrences,
        round(least(0.6::double, ratio * 0.6::double) + least(0.3::double, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::double * 0.3::double) + case when together then 0.08::double else 0 end, 6) as score
 from j"""
+
+SQL["candidates_top12"] = f"""
+with recursive {T}, {E},
+said as (select distinct md5(concat_ws('|', pure_norm, artist_norm, coalesce(duration::varchar, '~'), (not remix and coalesce(title, '') <> '')::varchar)) as sid, pure_norm, artist_norm, title_tokens, artist_tokens, parts, duration,
+  not remix and coalesce(title, '') <> '' as plain from e where has_tags),
+c as (select *, list_has_any(title_tokens, t_title_tokens) as o, len(artist_tokens) > 0 and len(t_artist_tokens) > 0 as n, {COMPATIBLE} as ok from said, t where {EXPECTED}),
+untagged as (select distinct name_norm, name_tokens from e where not has_tags),
+nc as (select name_norm, track_id, t_name_norm, t_bitrate from untagged, t where list_has_any(name_tokens, {words('t_name_norm')})),
+pairs as (select distinct pure_norm as a, t_title_norm as b from c where o union select distinct artist_norm, t_artist_norm from c where artist_norm <> '' and t_artist_norm <> '' and not ok
+  union select distinct name_norm, t_name_norm from nc),
+{RATIO},
+w as (select *, case when not o and n then 5.0 when o and not n then 70.0 else 50.0 end::double as wt, case when not o and n then 70.0 when o and not n then 5.0 else 30.0 end::double as wa,
+             case when not o and n then 25.0 when o and not n then 25.0 else 20.0 end::double as wd from c),
+s as (select sid, plain, track_id, t_remix, t_bitrate, case when o then rt.ratio * wt else 0 end + case when artist_norm <> '' and t_artist_norm <> '' then case when ok then wa else ra.ratio * wa end else 0 end
+             + coalesce(greatest(0::double, 20.0::double - abs(duration - t_duration)) * (wd / 20.0::double), 0) as score
+      from w left join ratios rt on rt.a = pure_norm and rt.b = t_title_norm left join ratios ra on ra.a = artist_norm and ra.b = t_artist_norm),
+kept as (select * from (select *, bool_or(not t_remix) over (partition by sid) as other from s where score > 0) where not plain or not t_remix or not other),
+top as (select sid, track_id, score, row_number() over (partition by sid order by round(score, 2) desc, t_bitrate desc, track_id)::int as rank from kept qualify rank <= 12),
+ntop as (select name_norm, track_id, ratio * 100 as score, row_number() over (partition by name_norm order by round(ratio * 100, 2) desc, t_bitrate desc, track_id)::int as rank
+         from nc join ratios on a = name_norm and b = t_name_norm where ratio > 0 qualify rank <= 12)
+select eid, rank, track_id, round(score, 6) as score from e join top on sid = md5(concat_ws('|', pure_norm, artist_norm, coalesce(duration::varchar, '~'), (not remix and coalesce(title, '') <> '')::varchar)) where has_tags
+union all
+select eid, rank, track_id, round(score, 6) from e join ntop using (name_norm) where not has_tags"""
+
+
+def ratio(prefix: str) -> str:
+    """The ratio of all pairs of the relation <prefix>pairs as <prefix>ratios."""
+    out = RATIO
+    for name in ("pairs", "ratios"):
+        out = out.replace(name, prefix + name)
+    for name in ("ch", "cell", "seg"):
+        out = out.replace(f"\n{name} as", f"\n{prefix}{name} as").replace(f"\n{name}(", f"\n{prefix}{name}(").replace(f" from {name}", f" from {prefix}{name}").replace(f"from {name} ", f"from {prefix}{name} ").replace(f"join {name} ", f"join {prefix}{name} ")
+    return out
+
+
+FOREIGN_PARTS = f"list_filter(list_transform(string_split({clean(stem(base('t_path')))}, ' - '), lambda p: trim(p)), lambda p: p <> '')"
+
+
+def by_name(asked: str) -> str:
+    """The choice of the name phase for the entries of a relation (eid), as nm(eid, track_id, score)."""
+    return f"""
+na as (select e.* from e join {asked} using (eid)),
+nset as (select distinct name_norm, name_tokens from na),
+nhit as (select distinct name_norm, name_tokens, track_id from (select *, unnest(name_tokens) as token from nset) join post using (token) where token_type in ('name', 'title')),
+nc as (select nhit.*, t_name_norm from nhit join t using (track_id) where list_has_any(name_tokens, {words('t_name_norm')}) and least(length(name_norm), length(t_name_norm)) * 200.0 >= 69.9 * (length(name_norm) + length(t_name_norm))),
+npairs as (select distinct name_norm as a, t_name_norm as b from nc),
+{ratio('n')},
+ntie as (select name_norm, track_id, ratio * 100 as score from nc join nratios on a = name_norm and b = t_name_norm where ratio * 100 >= 70 qualify ratio = max(ratio) over (partition by name_norm)),
+nx as (select na.*, t.*, score, {FOREIGN_PARTS} as fp from na join ntie using (name_norm) join t using (track_id) where {EXPECTED}),
+ny as (select *, pure <> '' and not pure_remix and len(fp) > 2 and len(list_filter({words(norm("array_to_string(fp[3:], ' ')"))}, lambda w: not list_contains(title_tokens, w))) > 0 as foreign_ from nx),
+nz as (select * from ny qualify not foreign_ or (artist_norm = '' and not bool_or(not foreign_) over (partition by eid))),
+nm as (select eid, track_id, score, t_path, t_bitrate from nz qualify row_number() over (partition by eid order by (regexp_matches(name, '{REMIX}') or not t_remix) desc, t_bitrate desc, track_id) = 1)
+"""
+
+
+TAGGED = f"""
+c as (select * from e join blocks using (title_tokens, artist_tokens) join t using (track_id) where has_tags),
+pairs as (select distinct pure_norm as a, t_title_norm as b from c union select distinct artist_norm, t_artist_norm from c where artist_norm <> '' and t_artist_norm <> ''
+          union select distinct pure_norm, t_title_norm from e, (select distinct t_title_norm from t where t_title_norm <> '') where service and pure_norm <> ''),
+{RATIO},
+f as (select c.*, list_has_any(title_tokens, t_title_tokens) as o, len(artist_tokens) > 0 and len(t_artist_tokens) > 0 as n, {COMPATIBLE} as ok from c),
+w as (select *, case when not o and n then 5.0 when o and not n then 70.0 else 50.0 end::double as wt, case when not o and n then 70.0 when o and not n then 5.0 else 30.0 end::double as wa,
+             case when not o and n then 25.0 when o and not n then 25.0 else 20.0 end::double as wd from f),
+s as (select w.*, case when o then rt.ratio * wt else 0 end + case when artist_norm <> '' and t_artist_norm <> '' then case when ok then wa else ra.ratio * wa end else 0 end
+             + coalesce(greatest(0::double, 20.0::double - abs(duration - t_duration)) * (wd / 20.0::double), 0) as score
+      from w left join ratios rt on rt.a = pure_norm and rt.b = t_title_norm left join ratios ra on ra.a = artist_norm and ra.b = t_artist_norm),
+m as (select * from s qualify score = max(score) over (partition by eid) and score >= 50),
+g as (select * from m qualify not t_auto or not bool_or(not t_auto) over (partition by eid)),
+r as (select eid, track_id, score from g where {EXPECTED} qualify row_number() over (partition by eid order by (remix or not t_remix) desc, t_bitrate desc, track_id) = 1)
+"""
+
+SQL["best_match_name"] = f"""
+with recursive {T}, {E}, {P}, {BLOCKS}, {TAGGED},
+asked as (select eid from e where not (service and has_tags) and not exists (select 1 from r where r.eid = e.eid and not e.service)),
+{by_name('asked')}
+select eid, track_id, round(score, 6) as score from nm"""
+
+# the whole cascade: what each phase would choose for an entry, and the first phase that chooses
+CASCADE = f"""
+with recursive {T}, {E}, {P}, {BLOCKS}, {TAGGED}, {IDENTITY},
+valid as (select eid, any_value(raw_path) as path, max(t_bitrate) as bitrate from e join t on lower(raw_path) = lower(t_path) where not service group by eid),
+near0 as (select eid, t_path, t_bitrate from c where {SIMILAR} {BEST}),
+better as (select coalesce(im.eid, near0.eid) as eid, coalesce(im.t_path, near0.t_path) as path, case when im.eid is not null then it.t_bitrate else near0.t_bitrate end as bitrate
+           from im join t it using (track_id) full join near0 on near0.eid = im.eid),
+ch0 as (select raw_path as label, min(title) as title from e0 where pos % 7 = 0 and title is not null group by raw_path),
+manual as (select key, min(path) as chosen from (select unnest({manual_keys('label')}) as key, path from ch0 join (select title, min(path) as path from t0 group by title) using (title)) group by key),
+lb0 as (select *, list_filter([raw_path, name, trim(coalesce(artist, '') || ' - ' || coalesce(title, ''), ' -')], lambda x: x <> '') as ls from e),
+lb1 as (select *, unnest(ls) as label, generate_subscripts(ls, 1) - 1 as label_no from lb0),
+lb2 as (select *, unnest({manual_keys('label')}) as key, unnest([0, 1, 2]) as key_no from lb1),
+lb3 as (select * from lb2 join manual using (key) qualify row_number() over (partition by eid, label_no order by key_no) = 1),
+kn0 as (select t0.path, unnest(list_filter(list_concat([eid], {learned('name_norm')}), lambda x: x is not null)) as key
+        from (select distinct e.* from e join e0 on e.raw_path = e0.raw_path and e.title is not distinct from e0.title and e.artist is not distinct from e0.artist and e.duration is not distinct from e0.duration where e0.pos % 5 = 2 and length(e.raw_path) % 3 = 0)
+        join (select title, min(path) as path from t0 group by title) t0 using (title)),
+known as (select key, min(path) as chosen from kn0 group by key),
+le0 as (select *, list_filter(list_concat({learned('name_norm')}, [eid]), lambda x: x is not null) as ks from e),
+le1 as (select *, unnest(ks) as key, generate_subscripts(ks, 1) as prio from le0),
+le2 as (select * from le1 join known using (key) qualify row_number() over (partition by eid order by prio) = 1),
+found as (select * exclude (ls, label, key_no, key, chosen, label_no), 'manual' as how, label_no from lb3 join t on lower(chosen) = lower(t_path)
+          union all by name select * exclude (ks, key, prio, chosen), case when key = eid then 'exact' else 'learned' end as how, 0 as label_no from le2 join t on lower(chosen) = lower(t_path)),
+{MEMORY.replace('f0 as', 'mf0 as').replace('f0', 'mf0').replace('mmf0', 'mf0').replace(RATIO, ratio('m')).replace('pairs as (select distinct title_norm', 'mpairs as (select distinct title_norm').replace('left join ratios', 'left join mratios').replace('scored as', 'mscored as')},
+mem as (select eid, how, t_path, t_bitrate from mscored where case how when 'manual' then case when has_tags then score >= 50 else plain_name >= 50 end when 'exact' then score >= 80 else score >= 60 end
+        qualify row_number() over (partition by eid, how = 'manual' order by label_no, track_id) = 1),
+remembered as (select mem.eid, mem.how, case when better.bitrate > mem.t_bitrate then better.path else mem.t_path end as path, case when better.bitrate > mem.t_bitrate then better.bitrate else mem.t_bitrate end as bitrate
+               from mem left join better using (eid)),
+so as (select e.*, t.*, ratio * 100 as sim from e join ratios on a = pure_norm and ratio * 100 >= 60 join t on t_title_norm = b
+       where service and pure_norm <> '' and coalesce(abs(duration - t_duration) <= 15, true) and not exists (select 1 from m where m.eid = e.eid)
+       qualify row_number() over (partition by eid order by ratio * 100 desc, t_bitrate desc, track_id) <= 5),
+sg as (select * from so qualify not t_auto or not bool_or(not t_auto) over (partition by eid)),
+sr as (select eid, track_id from sg where has_tags and (len(title_tokens) > 0 or len(artist_tokens) > 0) and {EXPECTED} qualify row_number() over (partition by eid order by (remix or not t_remix) desc, t_bitrate desc, track_id) = 1),
+wide as (select eid, t_path, t_bitrate, t_remix, t_artist_norm from c where {ALIAS_FIT.replace('<= 3', '<= 15')} {BEST}),
+tight as (select eid, t_path, t_bitrate, t_remix, t_artist_norm from c where {ALIAS_FIT} {BEST}),
+nr as (select eid, t_path, t_bitrate, t_remix, t_artist_norm from c where {SIMILAR} {BEST}),
+row_ as (select eid, {{'p': t_path, 'b': t_bitrate, 'x': t_remix, 'a': t_artist_norm}} as o from t join (select eid, track_id from r union all select eid, track_id from sr) using (track_id)),
+j0 as (select e.eid, artist_norm, remix, row_.o as now_, {{'p': nr.t_path, 'b': nr.t_bitrate, 'x': nr.t_remix, 'a': nr.t_artist_norm}} as ne, {{'p': wide.t_path, 'b': wide.t_bitrate, 'x': wide.t_remix, 'a': wide.t_artist_norm}} as wi,
+              {{'p': tight.t_path, 'b': tight.t_bitrate, 'x': tight.t_remix, 'a': tight.t_artist_norm}} as ti
+       from row_ join e using (eid) left join nr on nr.eid = e.eid left join wide on wide.eid = e.eid left join tight on tight.eid = e.eid),
+j1 as (select * replace (case when ne.b > now_.b then ne else now_ end as now_) from j0),
+j2 as (select * replace (case when not remix and now_.x and not wi.x and wi.b >= now_.b then wi else now_ end as now_) from j1),
+tags as (select eid, case when (now_.b < 320 or (artist_norm <> '' and now_.a <> artist_norm)) and (ti.b > now_.b or (ti.p is not null and artist_norm <> '' and now_.a <> artist_norm)) then ti else now_ end as o from j2),
+open_ as (select eid from e where not (service and has_tags) and eid not in (select eid from valid union all select eid from remembered union all select eid from im union all select eid from tags)),
+{by_name('open_')},
+dq0 as (select *, {name('name')} as nb from e join open_ using (eid)), dq1 as (select *, coalesce({norm(before('nb'))}, '') as named, {norm(after('nb'))} as titled from dq0),
+dq as (select * from dq1 join t on t_title_norm = titled and (named = '' or t_artist_norm = named)
+       where exists (select 1 from post where post.track_id = t.track_id and token_type in ('name', 'title') and list_contains(name_tokens, token))),
+dg as (select * from dq qualify not t_auto or not bool_or(not t_auto) over (partition by eid)),
+dr as (select eid, t_path, t_bitrate from dg qualify row_number() over (partition by eid order by (regexp_matches(name, '{REMIX}') or not t_remix) desc, t_bitrate desc, track_id) = 1),
+names as (select nm.eid, case when dr.t_bitrate > nm.t_bitrate then dr.t_path else nm.t_path end as path, case when dr.t_bitrate > nm.t_bitrate then dr.t_bitrate else nm.t_bitrate end as bitrate from nm left join dr using (eid)),
+every as (select eid, 0 as no, 'valid_path' as phase, path, bitrate from valid union all select eid, 1, 'memory_manual', path, bitrate from remembered where how = 'manual'
+          union all select eid, 2, 'memory_' || how, path, bitrate from remembered where how <> 'manual' union all select eid, 3, 'identity', t_path, t_bitrate from im join t using (track_id, t_path)
+          union all select eid, 4, 'tags', o.p, o.b from tags union all select eid, 5, 'name', path, bitrate from names
+          union all select eid, 6, case when service and has_tags then 'service_unmatched' else 'unmatched' end, null, null from e),
+first_ as (select * from every qualify row_number() over (partition by eid order by no) = 1),
+placed as (select e0.playlist, e0.pos, e.eid from e0 join e on e.raw_path = e0.raw_path and e.title is not distinct from e0.title and e.artist is not distinct from e0.artist and e.duration is not distinct from e0.duration)
+"""
+SQL["cascade_results"] = f"{CASCADE} select playlist, pos, phase, path is not null as found, path, bitrate from placed join first_ using (eid)"

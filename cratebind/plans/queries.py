@@ -175,6 +175,21 @@ def cascade(spark: SparkSession, folder: str) -> DataFrame:
     return match(A.entries(spark, folder), tracks, stored(normalise.token_postings(tracks), "postings"), manual_choices(spark, folder))
 
 
+def learned_choices(spark: SparkSession, folder: str) -> DataFrame:
+    """A table of remembered matches: entries of some places and path lengths remember a track of their title."""
+    rows = A.entries(spark, folder).where("pos % 5 = 2 and length(raw_path) % 3 = 0")
+    names = A.tracks(spark, folder).groupBy("title").agg(F.min("path").alias("path"))
+    forms = normalise.normalise_entries(rows).select("eid", "raw_path", "title", "artist_norm", "canon", "duration").join(names, "title")
+    return caches.learned_rows(forms.withColumn("bitrate", F.lit(0))).groupBy("key").agg(F.min("path").alias("path"))
+
+
+def cascade_results(spark: SparkSession, folder: str) -> DataFrame:
+    """What the whole cascade finds for every place of every playlist, with choices made by hand and remembered matches."""
+    tracks, postings = A.tracks(spark, folder), stored(normalise.token_postings(A.tracks(spark, folder)), "postings")
+    manual, learned = stored(manual_choices(spark, folder), "manual"), stored(learned_choices(spark, folder), "learned")
+    return match(A.entries(spark, folder), tracks, postings, manual, learned).select("playlist", "pos", "phase", "found", "path", "bitrate")
+
+
 def cascade_phase_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return cascade(spark, folder).groupBy("phase", "found").agg(F.count("*").alias("entries"), F.sum("candidates").alias("candidates"))
 
@@ -248,7 +263,7 @@ def alias_suggestions(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     best_match_tags, best_match_name, ratio_pairs, identity_best, identity_join, similar_tags, similar_upgrade, alias_upgrade, derived_equality, candidates_top12,
     soft_top5, token_postings, token_document_frequency, group_intersection, route_valid, selective_filter, normalize_text, canonical_titles, entry_forms,
-    duration_buckets, learned_upsert, manual_priority_join, learned_priority_join, cascade_phase_histogram, snapshot_diff, run_summary, phase_summary,
+    duration_buckets, learned_upsert, manual_priority_join, learned_priority_join, cascade_results, cascade_phase_histogram, snapshot_diff, run_summary, phase_summary,
     playlist_status, carry_forward, meta_lines, media_lines, output_paths, output_rows, alias_groups, alias_suggestions,
 )} | {
     "library_stats": lambda s, d: metrics.library_stats(A.tracks(s, d)),

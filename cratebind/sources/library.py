@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators.normalise import token_postings
 from ..operators.snapshot import refresh, snapshot_diff
 from .playlists import AUDIO
+from .tags import read_tags
 
 INDEX_SCHEMA = "path string, tags struct<title:string,artist:string,duration:double,bitrate:int,auto_tags:boolean>, stat struct<size:bigint,mtime:double>"
 INDEX_VERSION = "2"
@@ -45,35 +46,6 @@ def tracks_of_files(files: DataFrame) -> DataFrame:
     return files.select("path", title.alias("title"), artist.alias("artist"), "duration", F.bround(F.col("bits_per_second") / 1000, 0).cast("int").alias("bitrate"), derived.alias("auto_tags"), "size", "mtime")
 
 
-def read_tags(listing: DataFrame) -> DataFrame:
-    """listing with embedded tags where a tag reader is installed, else with nulls; files are read on the executors."""
-    schema = "path string, title string, artist string, duration double, bits_per_second long, size long, mtime double"
-
-    def work(batches):
-        import pandas as pd
-
-        try:
-            from mutagen import File
-        except ImportError:
-            File = None  # noqa: N806
-        for batch in batches:
-            rows = []
-            for path, size, mtime in batch[["path", "size", "mtime"]].itertuples(index=False):
-                title = artist = duration = bits = None
-                if File is not None:
-                    try:
-                        found = File(path.removeprefix("file:"), easy=True)
-                    except Exception:  # noqa: BLE001 - a file that cannot be read has no tags; the others go on
-                        found = None
-                    if found is not None and found.info is not None:
-                        duration, bits = found.info.length, getattr(found.info, "bitrate", None)
-                        title, artist = (found.get(k, [None])[0] for k in ("title", "artist"))
-                rows.append((path, title, artist, duration, bits, size, mtime))
-            yield pd.DataFrame(rows, columns=["path", "title", "artist", "duration", "bits_per_second", "size", "mtime"])
-
-    return listing.mapInPandas(work, schema)
-
-
 def numbered(tracks: DataFrame) -> DataFrame:
     """Tracks with an id that follows from the path, so that refreshes keep it."""
     return tracks.withColumn("track_id", F.xxhash64("path"))

@@ -26,7 +26,7 @@ class Options:
 def read_options(spark: SparkSession, path: str) -> Options:
     """Options from a JSON object; what is missing, unknown or of another type has its default."""
     try:
-        found = json.loads("\n".join(r["value"] for r in spark.read.text(path).limit(1000).collect()))  # a few short lines
+        found = json.loads(spark.read.option("wholetext", "true").text(path).first()["value"])
     except Exception:  # noqa: BLE001 - an unreadable file is as good as none
         return Options()
     plain = Options()

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .files import put
 
 # fixed values: file endings of media lines
 MEDIA = [".mp3", ".mp4", ".m4a", ".flac", ".wav", ".wma", ".aac", ".webm", ".ogg", ".mkv", ".avi"]
@@ -41,8 +46,16 @@ def base_name(path: Column) -> Column:
     return F.regexp_replace(T.stem(T.basename(path)), "(?i)(_actualizada)+$", "")
 
 
+def without_scheme(path: Column | str) -> Column:
+    """A path without the scheme and host of its file system; drive letters stay."""
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]+:(//[^/]*)?(?=/)", "")
+
+
 def output_path(path: Column, root: str | None = None, relative_to: str | None = None) -> Column:
-    """Where a repaired playlist goes: beside its source, or below root, there optionally in its own folder."""
+    """Where a repaired playlist goes: beside its source, or below root, there optionally in its own folder.
+
+    Folders are compared without their schemes; a list that is not below relative_to goes straight into root.
+    """
     name = F.concat(base_name(path), F.lit("_actualizada.m3u"))
     folder = F.regexp_replace(path, r"[^/\\]*$", "")
     if root is None:
@@ -50,7 +63,10 @@ def output_path(path: Column, root: str | None = None, relative_to: str | None =
     root = root.rstrip("/") + "/"
     if relative_to is None:
         return F.concat(F.lit(root), name)
-    return F.concat(F.lit(root), F.regexp_replace(folder, "^" + "".join(c if c.isalnum() else "\\" + c for c in relative_to.rstrip("/") + "/"), ""), name)
+    above = re.sub(r"/+", "/", re.sub(r"^[A-Za-z][A-Za-z0-9+.-]+:(//[^/]*)?(?=/)", "", relative_to)).rstrip("/") + "/"
+    plain = F.regexp_replace(without_scheme(folder), "/+", "/")
+    own = F.when(F.startswith(plain, F.lit(above)), plain.substr(F.lit(len(above) + 1), F.length(plain))).otherwise("")
+    return F.concat(F.lit(root), own, name)
 
 
 def discover(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
@@ -90,11 +106,33 @@ def entries_of_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_playlists(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def file_path() -> Column:
+    """The path of the file that a row was read from, as it reads: Spark tells it with its blanks and such encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def lines_of(whole: DataFrame) -> DataFrame:
+    """(playlist, line_no, line) of whole texts (playlist, value), without bytes that are no text."""
+    return whole.select("playlist", F.posexplode(F.split(F.translate("value", "\ufffd", ""), r"\r\n|\n|\r")).alias("line_no", "line"))
+
+
+def read_texts(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
+    """(playlist, value): the texts of the playlists at or below paths, generated ones left out where folders are read through."""
+    found = spark.read.option("wholetext", "true")
+    if recursive:
+        found = found.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{m3u,m3u8,M3U,M3U8}")
+    texts = found.text(paths).select(file_path().alias("playlist"), "value")
+    return texts.where(~is_generated(F.col("playlist"))) if recursive else texts
+
+
+def read_playlists(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
     """Entries of playlist files, each with its file and position; bytes that are no text are left out."""
-    whole = spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_path").alias("playlist"), "value")
-    lines = whole.select("playlist", F.posexplode(F.split(F.translate("value", "\ufffd", ""), r"\r\n|\n|\r")).alias("line_no", "line"))
-    return entries_of_lines(lines)
+    return entries_of_lines(lines_of(read_texts(spark, paths, recursive)))
+
+
+def media_lines_of(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(playlist, line_no, line): the media lines of playlists, of finished ones too."""
+    return lines_of(read_texts(spark, paths)).where(is_media_line(F.col("line")))
 
 
 def meta_line(filesize: Column, lastplaytime: Column, artist: Column, title: Column, remix: Column, duration: Column) -> Column:
@@ -126,31 +164,44 @@ def playlist_texts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("playlist").agg(F.concat(F.lit("#EXTM3U\n"), F.array_join(lines, "")).alias("text"))
 
 
-def write_playlists(rows: DataFrame, folder: str | None = None, relative_to: str | None = None) -> DataFrame:
-    """One text file for each playlist at its output path; the paths as playlist, output.
+class PlaylistWriter(DataSourceWriter):
+    """Writes each row's text to its output path, on the executors. A file is moved into place when it is whole.
+
+    A task that is run again writes the same files again; what a failed write left hidden is never read.
+    """
+
+    def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
+        mark = uuid.uuid4().hex
+        for row in iterator:
+            put(row["output"], mark, row["text"].encode("utf-8", "ignore"))
+        return WriterCommitMessage()
+
+
+class PlaylistFiles(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "playlist_files"
+
+    def schema(self) -> str:
+        return "output string, text string"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return PlaylistWriter()
+
+
+def write_playlists(rows: DataFrame, folder: str | None = None, relative_to: str | None = None, playlists: DataFrame | None = None) -> DataFrame:
+    """One text file for each playlist at its output path, written by the executors; the paths as playlist, output.
 
-    The texts are written by Spark into a staging folder beside the files, then each is moved to its place, which is a change
-    of names alone. Two playlists with one output path are an error: relative_to keeps their folders apart.
+    playlists(playlist) are to have a file even where they have no rows. Two playlists with one output path are an error, before
+    anything is written: relative_to keeps their folders apart.
     """
     spark = rows.sparkSession
-    output = output_path(F.col("playlist"), folder, relative_to)
-    named = rows.select("playlist").distinct().select("playlist", output.alias("output"), F.md5(output).alias("key"))
-    places = named.select("key", "output", "playlist").collect()  # one short row for each file that is to be made
-    if len({r["key"] for r in places}) < len(places):
-        twice = sorted(r["output"] for r in places if sum(q["key"] == r["key"] for q in places) > 1)
-        raise ValueError(f"several playlists would be written to {twice[0]}")
-    if not places:
-        return named.select("playlist", "output")
-    staging = f"{(folder or places[0]['output'].rpartition('/')[0]).rstrip('/')}/.staging-{uuid.uuid4().hex}"
-    texts = playlist_texts(rows).select(F.md5(output).alias("key"), F.regexp_replace("text", "\n$", "").alias("value"))
-    texts.repartition("key").write.partitionBy("key").text(staging)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(staging).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in places:
-        part = fs.globStatus(jvm.Path(f"{staging}/key={r['key']}/part-*"))[0].getPath()
-        to = jvm.Path(r["output"])
-        fs.mkdirs(to.getParent())
-        fs.delete(to, False)
-        fs.rename(part, to)
-    fs.delete(jvm.Path(staging), True)
-    return named.select("playlist", "output")
+    every = (rows.select("playlist") if playlists is None else playlists.select("playlist")).distinct()
+    named = every.select("playlist", output_path(F.col("playlist"), folder, relative_to).alias("output"))
+    twice = named.groupBy("output").agg(F.count("*").alias("n")).where("n > 1").take(1)
+    if twice:
+        raise ValueError(f"several playlists would be written to {twice[0]['output']}")
+    texts = named.join(playlist_texts(rows), "playlist", "left").select("output", F.coalesce("text", F.lit("#EXTM3U\n")).alias("text"))
+    spark.dataSource.register(PlaylistFiles)
+    texts.repartition("output").write.format("playlist_files").mode("append").save()
+    return named
