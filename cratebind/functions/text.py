@@ -62,11 +62,12 @@ def expansions() -> list[tuple[str, str]]:
 
 
 def strip_accents(c: Column) -> Column:
-    """Compatibility forms without combining marks; letters that do not decompose stay."""
+    """Compatibility forms without combining marks; letters that do not decompose stay. ASCII texts, known by their sizes, are left alone."""
+    plain = c
     for one, several in expansions():
-        c = F.replace(c, F.lit(one), F.lit(several))
+        plain = F.replace(plain, F.lit(one), F.lit(several))
     old, new = accent_table()
-    return F.translate(c, old, new)
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(F.translate(plain, old, new))
 
 
 def strip(c: Column) -> Column:

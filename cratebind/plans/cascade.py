@@ -24,15 +24,26 @@ def upgraded(found: DataFrame, better: DataFrame) -> DataFrame:
     return both.select(*[c for c in found.columns if c not in ("path", "bitrate")], F.when(up, F.col("__path")).otherwise(F.col("path")).alias("path"), F.when(up, F.col("__bitrate")).otherwise(F.col("bitrate")).alias("bitrate"))
 
 
-def same_title(sayings: scoring.Sayings) -> DataFrame:
-    """Sayings and the tracks of their blocks that have the same title, with what the refinements look at.
+def same_title(once: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Sayings and the tracks of the same title, with what the refinements look at; titles meet by equality."""
+    mine = once.where("canon <> ''").select("said", "sid", "canon", "artist_norm", "parts", "duration")
+    theirs = tracks.select("track_id", F.col("t_canon").alias("canon"), "t_canon", "t_artist", "t_artist_norm", "t_parts", "t_name_norm", "t_duration", "t_auto", "t_remix", "t_bitrate", "t_path")
+    return mine.join(theirs, "canon").where(identity.similar_tags() | identity.alias_fits(15.0))
 
-    Titles meet by equality and blocks come in as pairs of ids, so that blocked pairs of other titles are never made.
+
+def in_blocks(pairs: DataFrame, once: DataFrame, postings: DataFrame) -> DataFrame:
+    """Those of pairs(sid, track_id, ...) that are of the sid's block, without making the blocks.
+
+    A track that title and artist tokens lead to is in the block; one that either leads to is, if no track has both, which is looked
+    up for such sets alone.
     """
-    mine = sayings.once.where("canon <> ''").select("said", "sid", "canon", "artist_norm", "parts", "duration")
-    theirs = sayings.tracks.select("track_id", F.col("t_canon").alias("canon"), "t_canon", "t_artist", "t_artist_norm", "t_parts", "t_name_norm", "t_duration", "t_auto", "t_remix", "t_bitrate", "t_path")
-    met = mine.join(theirs, "canon").where(identity.similar_tags() | identity.alias_fits(15.0))
-    return stored(met.join(sayings.placed.select("sid", "track_id"), ["sid", "track_id"], "left_semi"), "same-title")
+    index = postings.where(F.col("token_type").isin("title", "artist")).groupBy("track_id").agg(*(F.collect_set(F.when(F.col("token_type") == k, F.col("token"))).alias(k) for k in ("title", "artist")))
+    sets = once.select("sid", "title_tokens", "artist_tokens").dropDuplicates(["sid"])
+    held = pairs.join(sets, "sid").join(index, "track_id").withColumns({"both": F.arrays_overlap("title_tokens", "title") & F.arrays_overlap("artist_tokens", "artist"), "one": F.arrays_overlap("title_tokens", "title") | F.arrays_overlap("artist_tokens", "artist")})
+    held = stored(held.where("one").drop("title_tokens", "artist_tokens", "title", "artist", "one"), "same-title")
+    unsure = sets.join(held.where("not both").select("sid").distinct(), "sid", "left_semi")
+    placed = blocking.tag_blocks(unsure, postings)
+    return held.where("both").drop("both").unionByName(held.where("not both").drop("both").join(placed, ["sid", "track_id"], "left_semi"))
 
 
 def finest(pairs: DataFrame, name: str) -> DataFrame:
@@ -44,8 +55,11 @@ def finest(pairs: DataFrame, name: str) -> DataFrame:
 def similar_best(entries: DataFrame, tracks: DataFrame, postings: DataFrame, best: DataFrame) -> DataFrame:
     """eid, path, bitrate: the track of the entry's identity, else the best of its blocked candidates with similar tags."""
     own = identity.identity_match(entries, tracks, best).select("eid", F.col("t_path").alias("path"), F.col("t_bitrate").alias("bitrate"), F.lit(1).alias("__p"))
-    sayings = scoring.Sayings(entries, tracks, postings)
-    near = sayings.of(finest(same_title(sayings).where(identity.similar_tags()), "near")).select("eid", "near.path", "near.bitrate", F.lit(0).alias("__p"))
+    said = F.md5(F.to_json(F.struct("sid", "canon", "artist_norm", "duration")))
+    asked = entries.where("has_tags").withColumn("sid", blocking.set_id(*blocking.SETS)).withColumn("said", said)
+    once = stored(asked.select("said", "sid", *blocking.SETS, "canon", "artist_norm", "parts", "duration").dropDuplicates(["said"]), "sayings")
+    alike = finest(in_blocks(same_title(once, tracks).where(identity.similar_tags()), once, postings), "near")
+    near = asked.select("eid", "said").join(alike, "said").select("eid", "near.path", "near.bitrate", F.lit(0).alias("__p"))
     return own.unionByName(near).groupBy("eid").agg(F.max_by(F.struct("path", "bitrate"), "__p").alias("x")).select("eid", "x.path", "x.bitrate")
 
 
@@ -65,7 +79,7 @@ def tag_phase(entries: DataFrame, tracks: DataFrame, postings: DataFrame) -> Dat
     soft = open_.select("eid", "said", "artist_norm", "artist_tokens", "parts", "remix").join(scoring.soft_top(open_, tracks).select("eid", "track_id"), "eid").dropDuplicates(["said", "track_id"]).join(shown, "track_id")
     fit = scoring.prefer(soft, "said", ~F.col("t_auto")).where(scoring.expected_artist())
     first = first.unionByName(scoring.best_bitrate(fit, "said", F.col("remix") | ~F.col("t_remix")).select("said", choice().alias("now")))
-    pairs = same_title(sayings)
+    pairs = stored(same_title(sayings.once, tracks).join(sayings.placed.select("sid", "track_id"), ["sid", "track_id"], "left_semi"), "same-title")
     for name, fits in (("near", identity.similar_tags()), ("wide", identity.alias_fits(15.0)), ("tight", identity.alias_fits(3.0))):
         first = first.join(finest(pairs.where(fits), name), "said", "left")
     now, near, wide, tight = (F.col(c) for c in ("now", "near", "wide", "tight"))
