@@ -84,13 +84,13 @@ def format_chats(messages: DataFrame, tools: dict[str, dict[str, str]]) -> DataF
     first = results.groupBy(*by_id).agg(F.min(F.struct("turn", "content")).alias("first"))
     known = calls.groupBy(*by_id).agg(F.min(F.struct("turn", "position")).alias("call"))
     deep = levels(calls.select("conv_id", "call_id", "after"))
-    placed = calls.join(first, by_id, "left").join(deep.withColumn("deep", F.lit(True)), by_id, "left")
+    placed = calls.join(first.hint("shuffle_hash"), by_id, "left").join(deep.withColumn("deep", F.lit(True)).hint("shuffle_hash"), by_id, "left")
     level = F.when(F.col("deep"), F.col("level")).otherwise(0)
     call_rows = placed.select(
         "conv_id", "turn", F.lit("call").alias("kind"), "position", level.alias("level"), "call_id", F.col("first").isNotNull().alias("linked"), "valid",
         F.concat(F.lit('{"arguments":'), "arguments", F.lit(',"id":'), quoted("call_id"), F.lit(',"name":'), quoted("name"), F.lit("}")).alias("json"),
     )
-    joined = results.join(known, by_id, "left").join(first, by_id, "left").join(deep.withColumn("deep", F.lit(True)), by_id, "left")
+    joined = results.join(known.hint("shuffle_hash"), by_id, "left").join(first.hint("shuffle_hash"), by_id, "left").join(deep.withColumn("deep", F.lit(True)).hint("shuffle_hash"), by_id, "left")
     linked = F.col("call").isNotNull() & (F.struct("turn", "content") == F.col("first"))
     result_rows = joined.select(
         "conv_id", F.when(linked, F.col("call.turn")).otherwise(F.col("turn")).alias("turn"), F.lit("result").alias("kind"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,26 +15,52 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders of sessions that name none, by application.
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is configured (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        name = spark.sparkContext.applicationId
+        found = _own_folders.setdefault(name, _own_folders.get(name) or f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return found.rstrip("/")
 
 
-def keep(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts lineage and survives lost executors."""
+#: The paths that each open scratch has to delete, the innermost last.
+_scratches: list[list[str]] = []
+
+
+def keep(df: DataFrame, name: str, codec: str = "snappy", result: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: cuts lineage and survives lost executors.
+
+    Within a scratch it is deleted at the scratch's end; a `result` is left to the scratch around it, if any.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if len(_scratches) > result:
+        _scratches[-1 - result].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is kept inside is deleted at the end, shuffle files of frames that nothing refers to any more as well."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for path in _scratches.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        gc.collect()
+        spark._jvm.System.gc()  # Spark's cleaner removes the shuffles of collected frames
+
+
 def remainder(key: Column, n: int) -> Column:
     """crc32 of a key as text, modulo n; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n

@@ -138,15 +138,35 @@ def identify(docs: DataFrame, training: Column | None = None, **options) -> Data
     return documents(docs).mapInArrow(predict, f"doc_id {key}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, least_score: float = 0.3, **options) -> DataFrame:
-    """The documents, with their columns as they are, that a language was found for with at least least_score."""
+def known_texts(texts: list[str], model: dict, sigmas: float = 3.0) -> list[bool]:
+    """Whether some language's filter holds more of a text's trigrams than it lets through by chance.
+
+    That is a question to each language alone, so it does not hang on how many languages there are.
+    """
+    out: list[bool] = []
+    for i, j in slices(texts):
+        gram, owner = grams(texts[i:j])
+        n = np.bincount(owner, minlength=j - i).astype(float)
+        at, known = slots(gram), np.zeros(j - i, bool)
+        for w, table in enumerate(model["masks"]):
+            mask = table[at[0]] & table[at[1]] & table[at[2]]
+            for k in range(64 * w, min(64 * w + 64, len(model["langs"]))):
+                hits = np.bincount(owner, ((mask >> np.uint64(k % 64)) & np.uint64(1)).astype(float), j - i)
+                false = model["false"][k]
+                known |= hits > n * false + sigmas * np.sqrt(n * false * (1 - false))
+        out += [bool(x) and LETTER.search(t) is not None for x, t in zip(known, texts[i:j], strict=True)]
+    return out
+
+
+def keep_known(docs: DataFrame, **options) -> DataFrame:
+    """The documents, with their columns as they are, that are of some language: with a letter, and with more trigrams of a language
+    than its filter lets through by chance. Null and empty texts go; equal rows go or stay together."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     shared = docs.sparkSession.sparkContext.broadcast(learn(rows.select("lang", "text"), **options))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = predict_texts([t or "" for t in batch.column("text").to_pylist()], shared.value)
-            yield batch.filter(pa.array([x != "und" and y >= least_score for x, y in zip(lang, score, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array(known_texts([t or "" for t in batch.column("text").to_pylist()], shared.value), pa.bool_()))
 
     return docs.mapInArrow(choose, docs.schema)
 

@@ -69,8 +69,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: f
     filled = water_fill(weighted, budget * total, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rules = filled.select(F.col("source").alias("of"), "source_size", "target", epochs.alias("epochs"), F.ceil(F.col("rows") / block).cast("long").alias("blocks"))
-    small = facts["n"] <= 100_000  # a checked size; beyond it the join shuffles and splits hot sources
-    joined = sized.join(F.broadcast(rules) if small else rules, F.col("source").eqNullSafe(F.col("of")))
+    if facts["n"] <= 100_000:  # a checked size
+        joined = sized.join(F.broadcast(rules), F.col("source").eqNullSafe(F.col("of")))
+    else:  # beyond it a source's documents are dealt out by as many numbers as its rule is repeated for
+        salts = 64
+        salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(salts)).cast("int")
+        each = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = sized.withColumn("of_salt", salt).join(each, F.col("source").eqNullSafe(F.col("of")) & (F.col("of_salt") == F.col("salt"))).drop("of_salt", "salt")
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))))
     number = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
     cut = joined.withColumn("digest", digest).withColumn("block", number % F.col("blocks"))
@@ -82,6 +87,24 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: f
     return cut.withColumn("taken", (whole * F.col("size") + part).cast("long")).select("doc_id", "text", "source", "size", "source_size", "target", "taken")
 
 
+def with_copies(mixed: DataFrame) -> DataFrame:
+    """mixed(text, size, taken, ...) with `copies`, the texts that the mix takes of a document: whole ones, and last the words of a part.
+
+    A cut text keeps the white space between its words. A document of which nothing is taken has none.
+    """
+    rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    part = F.when(rest > 0, F.array(F.array_join(F.slice(words, F.lit(1), rest), ""))).otherwise(F.array().cast("array<string>"))
+    return mixed.withColumn("copies", F.concat(F.array_repeat("text", whole), part))
+
+
+def repetitions(mixed: DataFrame) -> DataFrame:
+    """One row for each copy of mixed(...), with its number, its text and the document's other columns."""
+    rest = [F.col(f"`{c}`") for c in mixed.columns if c != "text"]
+    return with_copies(mixed).select(*rest, F.posexplode("copies").alias("copy", "text"))
+
+
 def op5(docs: DataFrame) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, keep, spread_join
+from .common import documents, keep, scratch, spread_join
 
 RUN = 3
 SHORT_RUN = 2
@@ -271,14 +271,20 @@ def open_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: fl
     """Pairs (a, b) of nodes that share a bucket, are of different components and may be similar by length and word counts.
 
     A pair belongs to the bucket of the smallest value that both share, and is looked at there alone. With `nearest`, each
-    node of a block of a bucket has only its nearest such node of each block. Buckets are cut into blocks of about `block`
-    nodes, and every two blocks of a bucket meet in a group of their own, in any task.
+    node of a block of a bucket has only its nearest such node of each block. The nodes outside a bucket's largest component are
+    cut into blocks of about `block` and meet each other and the blocks of the largest one, whose nodes do not meet among
+    themselves; every two blocks that meet are a group of their own, in any task.
     """
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    rows = placed.join(left, "value").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    rows = rows.join(nodes.select("node", "n_words", "cells", "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    sizes = placed.groupBy("value", "root").agg(F.count("*").alias("m"))
+    bucket = sizes.groupBy("value").agg(F.max(F.struct("m", "root")).alias("x"), F.count("*").alias("parts"), F.sum("m").alias("all")).where("parts > 1")
+    many = lambda n: F.ceil(n / block).cast("int")
+    left = bucket.select("value", F.col("x.root").alias("largest"), many(F.col("all") - F.col("x.m")).alias("few"), many(F.col("x.m")).alias("more"))
+    rows = placed.join(left, "value")
+    inside = F.col("root") == F.col("largest")
+    own = F.when(inside, F.col("few") + F.pmod(F.xxhash64("node"), F.col("more"))).otherwise(F.pmod(F.xxhash64("node"), F.col("few"))).cast("int")
+    rows = rows.withColumn("own", own).join(nodes.select("node", "n_words", "cells", "sketch"), "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("more")) - 1)))
     rows = rows.select("value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "n_words", "cells", "sketch")
     dealt = rows.repartition("value", "low", "high").sortWithinPartitions("value", "low", "high")
 
@@ -411,21 +417,30 @@ def near_classes(docs: DataFrame, values: int = 48, short_values: int = 24, leas
     Leaders link most of a bucket; then each text meets its nearest text of another component; then all pairs of a bucket
     that are still of different components meet, so that no two similar texts that share a value stay apart.
     """
-    made = keep(sketches(docs, values, short_values), "near-sketches")
-    nodes = made.where(F.col("sketch").isNotNull()).dropDuplicates(["node"])
-    members = bucket_members(nodes)
-    seen = keep(leader_pairs(members), "near-pairs")
-    links = keep(verified(keep(possible(seen, nodes, least), "near-pairs"), docs, least), "near-similar")
-    roots = components(links)
-    for nearest in (True, False):
-        pairs = keep(open_pairs(members, nodes, roots, least, nearest).join(seen, ["a", "b"], "left_anti"), "near-pairs")
-        if not pairs.take(1):
-            continue
-        found = keep(verified(pairs, docs, least), "near-similar")
-        seen, links = seen.unionByName(pairs), links.unionByName(found)
-        if found.take(1):
-            roots = components(links)
-    return roots
+    spark = docs.sparkSession
+    with scratch(spark):
+        made = keep(sketches(docs, values, short_values), "near-sketches")
+        nodes = made.where(F.col("sketch").isNotNull()).dropDuplicates(["node"])
+        members = bucket_members(nodes)
+        seen = keep(leader_pairs(members), "near-pairs")
+        with scratch(spark):
+            links = keep(verified(keep(possible(seen, nodes, least), "near-pairs"), docs, least), "near-similar", result=True)
+        roots = rooted(links)
+        for nearest in (True, False):
+            pairs = keep(open_pairs(members, nodes, roots, least, nearest).join(seen, ["a", "b"], "left_anti"), "near-pairs")
+            if not pairs.take(1):
+                continue
+            with scratch(spark):
+                found = keep(verified(pairs, docs, least), "near-similar", result=True)
+            seen, links = seen.unionByName(pairs), links.unionByName(found)
+            if found.take(1):
+                roots = rooted(links)
+        return keep(roots, "near-roots", result=True)
+
+
+def rooted(links: DataFrame) -> DataFrame:
+    with scratch(links.sparkSession):
+        return keep(components(links), "near-roots", result=True)
 
 
 def class_of(roots: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:

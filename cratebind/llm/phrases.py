@@ -33,11 +33,11 @@ from .common import keep
 
 #: Marks that end a piece, beside the line ends.
 PUNCTUATION = ".,;:!?"
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 CHUNK = 4096
 WORDS_A_SLICE = 400_000
 KEYS_A_RANGE = 1 << 19
-KEYS_A_TASK = 1 << 22
+KEYS_A_TASK = 1 << 21
 #: Lower-case A-Z, and every end of a piece as one mark.
 PLAIN = bytes.maketrans(string.ascii_uppercase.encode() + PUNCTUATION.encode() + b"\n\v\f\r", string.ascii_lowercase.encode() + b"." * 10)
 

@@ -193,7 +193,7 @@ def learn_formats(docs: DataFrame, sample: int = 400, longest: int = 200) -> dic
         values = found.where((F.col("kind") == kind) & (F.length("value") <= longest)).select("value").distinct()
         return sorted(r["value"] for r in values.orderBy(F.xxhash64("value"), "value").limit(sample).collect())
 
-    labelled = [Automaton(values) for k in range(3) if len(values := some(k)) >= 5]
+    labelled = [Automaton(values) for k in range(3) if (values := some(k))]
     steps = found.where("n is not null").groupBy("value", "next").agg(F.sum("n").alias("n")).collect()  # 11 ** 4 at most
     return {"formats": labelled, "rest": Background([(r["value"], r["next"], r["n"]) for r in steps])}
 

@@ -7,11 +7,13 @@ reach within that bound. Pivots and annulus borders are fitted on a bounded samp
 
 Rules for odd input: vectors without an id, and those that are null, empty or hold null or non-finite components take no part, nor do those whose
 length is not the most frequent one; ties go to the smaller vec_id; equal vectors and repeated ids are rows of their own,
-but a query skips every row of its own id; fewer than k other rows give all of them; an empty table gives no rows.
+but a query skips every row of its own id; components and scores that no long holds are its largest or least number; fewer than k other
+rows give all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,8 @@ from pyspark.sql.window import Window
 from .common import keep
 
 SLACK = 1e-6
+LARGEST = (1 << 63) - 1
+LEAST = -LARGEST - 1
 
 
 def integers(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -92,21 +96,31 @@ def top_rows(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> t
     return query[good], vec[good], score[good]
 
 
+def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of integer rows, exact. Those beyond the range of long are its nearest number, so that they compare as the largest.
+
+    Doubles hold them as long as no sum can pass 2^53; beyond that they are worked out in Python's integers.
+    """
+    widest = float(np.abs(left.astype(np.float64)).max()) * float(np.abs(right.astype(np.float64)).max()) * left.shape[1]
+    if widest < 2.0**53:
+        return (left.astype(np.float64) @ right.astype(np.float64).T).astype(np.int64)
+    return np.clip(left.astype(object) @ right.astype(object).T, -LARGEST, LARGEST).astype(np.int64)
+
+
 def block_scores(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Each query's k best rows of one block; left: query_id, x; right: vec_id, x. Products of these integers are exact."""
+    """Each query's k best rows of one block; left: query_id, x; right: vec_id, x."""
     out = [np.zeros(0, np.int64)] * 3
     if len(left) and len(right):
-        x = np.stack(right["x"].to_numpy()).astype(np.float64).T
-        ids = right["vec_id"].to_numpy()
+        x, ids = np.stack(right["x"].to_numpy()), right["vec_id"].to_numpy()
         for i in range(0, len(left), 256):
             part = left.iloc[i : i + 256]
-            scores = np.stack(part["x"].to_numpy()).astype(np.float64) @ x
+            scores = products(np.stack(part["x"].to_numpy()), x)
             own = part["query_id"].to_numpy()[:, None] == ids[None, :]
-            scores[own] = -np.inf
+            scores[own] = LEAST
             n = min(k, scores.shape[1])
             least = np.partition(scores, scores.shape[1] - n, 1)[:, scores.shape[1] - n]
-            a, b = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))  # with all ties of the k-th
-            best = top_rows(part["query_id"].to_numpy()[a], ids[b], scores[a, b].astype(np.int64), k)
+            a, b = np.nonzero((scores >= least[:, None]) & ~own)  # with all ties of the k-th
+            best = top_rows(part["query_id"].to_numpy()[a], ids[b], scores[a, b], k)
             out = [np.r_[p, q] for p, q in zip(out, best, strict=True)]
     return pd.DataFrame({"query_id": out[0], "vec_id": out[1], "score": out[2]})
 
@@ -116,7 +130,7 @@ def search(rows: DataFrame, queries: Column, k: int = 20, pivots: int = 32, ring
     spark = rows.sparkSession
     rows = keep(rows, "topk-rows")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    norms = F.aggregate("x", F.lit(0).cast("long"), lambda a, c: a + c * c)
+    norms = F.aggregate("x", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     top = rows.agg(F.max(norms)).first()[0]
     if top is None:
         return empty
@@ -161,7 +175,7 @@ def search(rows: DataFrame, queries: Column, k: int = 20, pivots: int = 32, ring
                     if not first:
                         kth = np.array([-np.inf if v is None else v for v in part.column(3).to_pylist()])
                         reach = np.sqrt(np.maximum(0, index.top + (x.astype(np.float64) ** 2).sum(1) - 2 * kth))
-                        chosen = ~chosen & (low <= reach[:, None] * (1 + SLACK) + SLACK)
+                        chosen = ~chosen & (low <= reach[:, None] * (1 + SLACK) + SLACK * (1 + math.sqrt(index.top)))  # distances are as exact as their squares
                     a, b = np.nonzero(chosen)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(a)), part.column(1).take(pa.array(a)), part.column(2).take(pa.array(a)), pa.array(facts["annulus"].to_numpy()[b], pa.int64())], ["query_id", "x", "group", "annulus"])
 

@@ -367,9 +367,30 @@ def test_topk_against_brute_force(spark):
             want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(best)}
     got = {tuple(r) for r in topk.op8(df).collect() if r["query_id"] != 20}
     assert got == want
+    # an id that two rows bear: either is a query, neither is its own candidate
+    twice = [v for i, v in good if i == 20]
+    best = sorted((-int(q @ v), j) for q in twice for j, v in good if j != 20)[:20]
+    assert {tuple(r) for r in topk.op8(df).collect() if r["query_id"] == 20} == {(20, r + 1, j, -s) for r, (s, j) in enumerate(best)}
     assert topk.op8(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("largest", [1e9, 1e15, 3e38])
+def test_topk_of_large_components(spark, largest):
+    """Scores stay exact; those that no long holds are its largest or least number."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (100, 4)).astype(np.float32)
+    x[3] *= np.float32(largest / np.abs(x[3]).max())
+    x[40] = x[3]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    end = (1 << 63) - 1
+    whole = [[max(-end - 1, min(end, int(np.floor(64 * float(v))))) for v in r] for r in x]
+    want = set()
+    for i in range(0, 100, 20):
+        scores = [(-max(-end, min(end, sum(a * b for a, b in zip(whole[i], whole[j], strict=True)))), j) for j in range(100) if j != i]
+        want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(scores)[:20])}
+    assert {tuple(r) for r in topk.op8(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()} == want
+
+
 def test_chat_links_orders_and_validates(spark):
     call = '{"content":"hi","tool_calls":[{"id":"b","name":"add","arguments":{"y":2,"x":1},"after":["a","zz"]},{"id":"a","name":"add","arguments":{"x":"1","y":2}},{"id":"p","name":"add","arguments":"x","after":["q"]},{"id":"q","name":"no","after":["p"]}]}'
     rows = [(1, 0, "user", "q", 0), (1, 1, "assistant", call, 0), (1, 2, "tool", '{"tool_call_id":"a","content":"3"}', 0), (1, 3, "tool", '{"tool_call_id":"a","content":"4"}', 0), (1, 4, "tool", '{"tool_call_id":"none","content":null}', 0), (2, None, None, None, 0), (2, 0, "assistant", "{broken", 0)]
