@@ -9,28 +9,34 @@ from cratebind.llm.common import keep, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
+    """Documents without a recognisable language go: null and empty texts, texts without a letter, and those whose trigrams no language
+    holds more of than chance gives. Repeated rows go or stay together; without labelled texts nothing is recognised, so all go; an
+    empty table stays empty."""
     return langid.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays, that of the smallest doc_id. Null texts are one class, empty ones another; of rows
+    that repeat doc_id and text one stays; an empty table stays empty."""
     return near_dedup.drop_near(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts hold none, and null and blank items are in none; repeated rows go or
+    stay together; an empty table on either side changes nothing."""
     return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the text; every document stays."""
+    """Secrets are replaced in the text; every row stays, null and empty texts and repeated rows as they are; an empty table stays
+    empty."""
     return secret_scan.redact_secrets(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the words that the mix takes of each; those of which it takes none go."""
-    return mixing.mix_sources(docs).where("taken > 0")
+    """Documents with the words that the mix takes of each and the `copies` that these make: whole texts and, last, a part. Documents of
+    which it takes none go, so null and blank texts go; repeated rows are taken apart; an empty table stays empty."""
+    return mixing.with_copies(mixing.mix_sources(docs).where("taken > 0"))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("mix", mix)]
