@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .storage import stored
+
 SETS = ["title_tokens", "artist_tokens"]
 
 
@@ -17,10 +19,28 @@ def set_id(*tokens: str) -> Column:
     return F.md5(F.concat_ws("|", *(F.array_join(F.array_sort(F.array_distinct(c)), " ") for c in tokens)))
 
 
+def token_join(wanted: DataFrame, postings: DataFrame, keys: list[str], share: int = 64, salts: int = 64, least: int = 1000) -> DataFrame:
+    """wanted joined to the postings of its tokens; the postings of a heavy token are dealt out over several tasks.
+
+    Heavy are tokens that hold more than 1 / share of the postings, so fewer than `share` of them, and at least `least` postings. Each
+    of their postings goes to one salt and what asks for them to all.
+    """
+    often = postings.groupBy(*keys).agg(F.count("*").alias("n"))
+    total = postings.count()
+    heavy = stored(often.where(F.col("n") >= max(least, total // share + 1)).select(*keys, F.lit(True).alias("heavy")), "heavy-tokens")
+    if not heavy.take(1):
+        return wanted.join(postings, keys)
+    salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("track_id"), F.lit(salts)).cast("int")).otherwise(0)
+    every = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    few = F.broadcast(heavy)  # fewer than `share` rows
+    asked = wanted.join(few, keys, "left").withColumn("salt", F.explode(every)).drop("heavy")
+    return asked.join(postings.join(few, keys, "left").withColumn("salt", salt).drop("heavy"), [*keys, "salt"]).drop("salt")
+
+
 def hits(sets: DataFrame, column: str, kinds: list[str], postings: DataFrame) -> DataFrame:
     """Distinct (sid, track_id) whose postings of the given types hold a token of the column."""
     wanted = sets.select("sid", F.explode(F.array_distinct(column)).alias("token"))
-    found = wanted.join(postings.where(F.col("token_type").isin(kinds)).select("token", "track_id"), "token")
+    found = token_join(wanted, postings.where(F.col("token_type").isin(kinds)).select("token", "track_id"), ["token"])
     return found.select("sid", "track_id").distinct()
 
 
@@ -36,7 +56,7 @@ def tag_blocks(entries: DataFrame, postings: DataFrame) -> DataFrame:
 
     kinds = F.concat(typed("title_tokens", "title", 1), typed("artist_tokens", "artist", 2))
     wanted = sets.select("sid", F.explode(kinds).alias("w")).select("sid", "w.*")
-    found = wanted.join(postings.select("token_type", "token", "track_id"), ["token_type", "token"]).select("sid", "track_id", "bit").distinct()
+    found = token_join(wanted, postings.select("token_type", "token", "track_id"), ["token_type", "token"]).select("sid", "track_id", "bit").distinct()
     both = found.repartition("sid").groupBy("sid", "track_id").agg(F.bit_or("bit").alias("bits"))
     top = F.max("bits").over(Window.partitionBy("sid"))
     return both.withColumn("top", top).where("bits = 3 or top < 3").select("sid", "track_id")

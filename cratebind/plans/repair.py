@@ -10,6 +10,7 @@ from ..operators import caches, normalise
 from ..operators.storage import stored
 from ..sources import library, playlists
 from ..sources.options import Options
+from ..sources.store import Memory
 from .cascade import match, on_disk
 
 
@@ -25,12 +26,17 @@ def preview(entries: DataFrame, tracks: DataFrame, listing: DataFrame | None = N
 
 def repair(
     spark: SparkSession, playlist_paths: str | list[str], snapshot: str, out: str | None, manual: DataFrame | None = None, learned: DataFrame | None = None,
-    relative_to: str | None = None, recursive: bool = False, **options,
+    relative_to: str | None = None, recursive: bool = False, memory: Memory | None = None, **options,
 ) -> tuple[DataFrame, DataFrame]:
     """Write the repaired playlists below `out`, or beside their sources; the matches and the new table of remembered matches.
 
-    Every playlist gets a file, also one of which nothing was found.
+    Every playlist gets a file, also one of which nothing was found. A memory gives what is not given here of remembered matches, choices
+    and aliases, and takes in what was found.
     """
+    if memory is not None:
+        manual = memory.manual.read() if manual is None else manual
+        learned = memory.learned.read() if learned is None else learned
+        options.setdefault("aliases", memory.aliases.read())
     tracks, postings = library.read_snapshot(spark, snapshot)
     texts = playlists.read_texts(spark, playlist_paths, recursive)
     entries = stored(playlists.entries_of_lines(playlists.lines_of(texts)), "playlist-entries")
@@ -40,6 +46,8 @@ def repair(
     said = entries.select("playlist", "pos", normalise.entry_id().alias("eid")).join(results.where("found").select("playlist", "pos", "path", "bitrate"), ["playlist", "pos"])
     resolved = said.join(forms, "eid")
     new = caches.learned_rows(resolved)
+    if memory is not None:
+        memory.remember(new, ["playlist", "pos"])
     old = learned if learned is not None else spark.createDataFrame([], "key string, path string, bitrate int")
     return results, caches.upsert(old, new, ["playlist", "pos"])
 
