@@ -460,3 +460,33 @@ first_ as (select * from every qualify row_number() over (partition by eid order
 placed as (select e0.playlist, e0.pos, e.eid from e0 join e on e.raw_path = e0.raw_path and e.title is not distinct from e0.title and e.artist is not distinct from e0.artist and e.duration is not distinct from e0.duration)
 """
 SQL["cascade_results"] = f"{CASCADE} select playlist, pos, phase, path is not null as found, path, bitrate from placed join first_ using (eid)"
+
+SQL |= {
+    "entry_keys": f"""
+with {E}, k as (select eid, list_filter({learned('name_norm')}, lambda x: x is not null) as ks from e)
+select eid, unnest(generate_series(0, len(ks) - 1))::int as n, unnest(ks) as key from k""",
+    "deleted_entries": """
+select 'f/' || o_orderkey as path, cast(floor(o_totalprice) as bigint) as size from orders where o_orderkey % 10 <> 0 and o_orderkey % 7 = 0""",
+    "bracket_noise_strip": f"""
+with t0 as ({TRACKS}), x as (select title as text from t0 union select regexp_extract(html, '(?i)<title>(.*?)</title>', 1) from pages) select text, {clean('text')} as plain from x""",
+    "jaccard_tokens": f"""
+with {ALIAS}, w as (select variant, canonical, list_distinct(string_split(variant, ' ')) as x, list_distinct(string_split(canonical, ' ')) as y from grp)
+select variant, canonical, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::double, 9) as jaccard from w""",
+    "foreign_compound": f"""
+with {E}, n as (select distinct 'Mix - ' || name as t_path, pure, title_tokens from e where has_tags), f as (select *, {FOREIGN_PARTS} as fp from n)
+select t_path as name, pure, len(fp) > 2 and len(list_filter({words(norm("array_to_string(fp[3:], ' ')"))}, lambda w: not list_contains(title_tokens, w))) > 0 as alien from f""",
+    "choice_scores": f"""
+with recursive {T}, {E},
+c as (select e.*, t.* from e join (select title, min(path) as chosen from t0 group by title) using (title) join t on t_path = chosen where has_tags),
+nc as (select e.*, t.* from e join (select {norm(base('path'))} as name_norm, min(path) as chosen from t0 group by 1) using (name_norm) join t on t_path = chosen where not has_tags),
+pairs as (select distinct pure_norm as a, t_title_norm as b from c union select distinct artist_norm, t_artist_norm from c where artist_norm <> '' and t_artist_norm <> '' union select distinct name_norm, t_name_norm from nc),
+{RATIO},
+f as (select c.*, list_has_any(title_tokens, t_title_tokens) as o, len(artist_tokens) > 0 and len(t_artist_tokens) > 0 as n, {COMPATIBLE} as ok from c),
+w as (select *, case when not o and n then 5.0 when o and not n then 70.0 else 50.0 end::double as wt, case when not o and n then 70.0 when o and not n then 5.0 else 30.0 end::double as wa,
+             case when not o and n then 25.0 when o and not n then 25.0 else 20.0 end::double as wd from f)
+select eid, track_id, round(case when o then rt.ratio * wt else 0 end + case when artist_norm <> '' and t_artist_norm <> '' then case when ok then wa else ra.ratio * wa end else 0 end
+       + coalesce(greatest(0::double, 20.0::double - abs(duration - t_duration)) * (wd / 20.0::double), 0), 2) as score
+from w left join ratios rt on rt.a = pure_norm and rt.b = t_title_norm left join ratios ra on ra.a = artist_norm and ra.b = t_artist_norm
+union all
+select eid, track_id, round(case when list_has_any(name_tokens, {words('t_name_norm')}) then ratio * 100 else 0 end, 2) from nc join ratios on a = name_norm and b = t_name_norm""",
+}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions import similarity as S
 from ..functions import text as T
-from ..operators import alias, blocking, caches, identity, metrics, normalise, ranking, scoring, snapshot
+from ..operators import alias, blocking, caches, identity, metrics, normalise, ranking, review, scoring, snapshot
 from ..sources import playlists
 from . import adapters as A
 from ..operators.storage import stored
@@ -218,9 +218,11 @@ def playlist_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def carry_forward(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "conversations").where("role in ('user', 'assistant')")
+    """Turns as playlist lines: users say metadata, assistants media, and others comments, which stand between and clear nothing."""
+    rows = table(spark, folder, "conversations")
     meta = F.concat(F.lit("#EXTVDJ:<title>u"), "turn", F.lit("</title>"))
-    lines = rows.select(F.col("conv_id").alias("playlist"), F.col("turn").alias("line_no"), F.when(F.col("role") == "user", meta).otherwise(F.concat("turn", F.lit(".mp3"))).alias("line"))
+    line = F.when(F.col("role") == "user", meta).when(F.col("role") == "assistant", F.concat("turn", F.lit(".mp3"))).otherwise(F.concat(F.lit("# "), "turn", F.lit(".mp3")))
+    lines = rows.select(F.col("conv_id").alias("playlist"), F.col("turn").alias("line_no"), line.alias("line"))
     return playlists.entries_of_lines(lines).select("playlist", "pos", "title", F.regexp_extract("raw_path", r"^(\d+)", 1).cast("long").alias("turn"))
 
 
@@ -260,10 +262,51 @@ def alias_suggestions(spark: SparkSession, folder: str) -> DataFrame:
     return alias.suggestions(mentions(spark, folder)).select("variant_norm", "canonical_norm", "variant", "canonical", "occurrences", F.round("score", 6).alias("score"))
 
 
+def entry_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """The keys under which each entry's match is remembered, in their order."""
+    e = library(spark, folder)[0]
+    keys = K.learned_keys(F.col("raw_path"), F.col("artist_norm"), F.col("canon"), F.col("duration"))
+    return e.select("eid", F.posexplode(keys).alias("n", "key"))
+
+
+def deleted_entries(spark: SparkSession, folder: str) -> DataFrame:
+    return snapshot.deleted(*old_listing(table(spark, folder, "orders"))).select("path", "size")
+
+
+def bracket_noise_strip(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of titles and of what the pages call themselves without brackets and noise, by distinct text."""
+    titles = A.tracks(spark, folder).select(F.col("title").alias("text")).unionByName(table(spark, folder, "pages").select(F.regexp_extract("html", "(?i)<title>(.*?)</title>", 1).alias("text")))
+    return titles.distinct().select("text", T.strip_noise(F.col("text")).alias("plain"))
+
+
+def jaccard_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words each variant of an artist shares with its canonical form."""
+    groups = alias.canonical(alias.variants(mentions(spark, folder)))
+    return groups.select("variant", "canonical", F.round(S.jaccard(F.col("variant"), F.col("canonical")), 9).alias("jaccard"))
+
+
+def foreign_compound(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether entries' file names hold more than an artist and the title that the entry gives, by distinct name and title."""
+    e = library(spark, folder)[0].where("has_tags").select("name", "pure", "title_tokens").dropDuplicates(["name", "pure"])
+    doubled = e.withColumn("name", F.concat(F.lit("Mix - "), "name"))
+    return doubled.select("name", "pure", T.foreign_compound(F.col("name"), F.col("title_tokens")).alias("alien"))
+
+
+def choice_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of a choice by hand: each entry takes the first track of its title, entries without tags that of their place's part."""
+    entries, tracks, _, raw = library(spark, folder)
+    entries, tracks = stored(entries, "entries"), stored(tracks, "tracks")
+    first = raw.groupBy("title").agg(F.min("path").alias("path"))
+    named = raw.groupBy(T.norm(T.basename(F.col("path"))).alias("name_norm")).agg(F.min("path").alias("path"))
+    chosen = entries.where("has_tags").join(first, "title").unionByName(entries.where("not has_tags").join(named, "name_norm"), allowMissingColumns=True)
+    return review.score_choice(chosen, tracks).select("eid", "track_id", "score")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     best_match_tags, best_match_name, ratio_pairs, identity_best, identity_join, similar_tags, similar_upgrade, alias_upgrade, derived_equality, candidates_top12,
     soft_top5, token_postings, token_document_frequency, group_intersection, route_valid, selective_filter, normalize_text, canonical_titles, entry_forms,
     duration_buckets, learned_upsert, manual_priority_join, learned_priority_join, cascade_results, cascade_phase_histogram, snapshot_diff, run_summary, phase_summary,
+    entry_keys, deleted_entries, bracket_noise_strip, jaccard_tokens, foreign_compound, choice_scores,
     playlist_status, carry_forward, meta_lines, media_lines, output_paths, output_rows, alias_groups, alias_suggestions,
 )} | {
     "library_stats": lambda s, d: metrics.library_stats(A.tracks(s, d)),
