@@ -50,12 +50,10 @@ def labelled_runs(words: np.ndarray, size: int = RUN) -> np.ndarray:
     order = np.argsort(runs, kind="stable")
     new = np.ones(n, bool)
     new[1:] = runs[order][1:] != runs[order][:-1]
-    if not new.all():
-        first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        nth = np.empty(n, np.uint64)
-        nth[order] = (np.arange(n) - first).astype(np.uint64)
-        runs = mix(runs + nth * np.uint64(0xA0761D6478BD642F))
-    return runs
+    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    nth = np.empty(n, np.uint64)
+    nth[order] = (np.arange(n) - first).astype(np.uint64)
+    return mix(runs + nth * np.uint64(0xA0761D6478BD642F))  # also where no run is repeated: a near copy may repeat one
 
 
 def order_sketch(words: np.ndarray, seeds: np.ndarray) -> np.ndarray:

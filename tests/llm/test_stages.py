@@ -3,10 +3,12 @@
 import os
 import random
 import re
+import zlib
+from collections import Counter
 
 import pytest
 
-from cratebind.llm import common, langid, mixing, near_dedup, secret_scan
+from cratebind.llm import chat, common, langid, mixing, near_dedup, secret_scan
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -144,3 +146,59 @@ def test_a_kind_of_few_labelled_secrets_is_learned(spark):
     rows = [(i, f"see AKIA{'QWERTYUIOPASDFGH'[:16]}{i} there", None, None) for i in range(2)] + [(9, "plain words only here", None, None)]
     model = secret_scan.learn_formats(docs_of(spark, rows))
     assert len(model["formats"]) == 1
+
+
+def test_language_votes_against_exact_sets(spark):
+    """The predictions are those that exact sets of trigrams give, wherever these are not close to a tie."""
+    rng = random.Random(12)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "klmnoabc"}
+    rows = [(i, " ".join("".join(rng.choice(letters[la]) for _ in range(rng.randint(2, 7))) for _ in range(30)), la, "s") for i in range(240) for la in [("aa", "bb", "cc")[i % 3]]]
+    docs = docs_of(spark, rows)
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.op9(docs).collect()}
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    grams = lambda t: langid.grams([t])[0].tolist()
+    counts = {la: Counter(g for r in train if r[2] == la for g in grams(r[1])) for la in letters}
+    rates = {la: {g: n / sum(c.values()) for g, n in c.items()} for la, c in counts.items()}
+    top = {g: max(r.get(g, 0) for r in rates.values()) for r in rates.values() for g in r}
+    sets = {la: {g: x for g, x in r.items() if x >= 2e-5 and x >= 0.3 * top[g]} for la, r in rates.items()}
+    near = 0
+    for i, text, _, _ in rows:
+        own = grams(text)
+        votes = {la: sum(g in s for g in own) / sum(s.values()) for la, s in sets.items()}
+        best = sorted(votes.values(), reverse=True)
+        if best[0] - best[1] < 0.02 * len(own):
+            near += 1
+            continue
+        assert found[i][0] == max(votes, key=votes.get)
+        assert abs(found[i][1] - best[0] / sum(best)) < 0.02
+    assert near < 12
+
+
+def test_chats_without_a_conversation_and_with_long_texts(spark):
+    call = '{"content":"hi","tool_calls":[{"id":"a","name":"add","arguments":{"x":1},"after":["b"]},{"id":"b","name":"add","arguments":{"x":2}}]}'
+    rows = [(None, 0, "assistant", call), (None, 1, "tool", '{"tool_call_id":"a","content":"3"}'), (1, 0, "user", "x" * 600_000), (1, 1, "assistant", '{"content":"' + "y" * 600_000 + '"}'), (1, None, None, None)]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"add": {"x": "integer"}}).collect()
+    assert sorted((r["kind"], r["call_id"]) for r in out if r["kind"] != "message") == [("call", "a"), ("call", "b"), ("result", "a")]
+    assert not any(r["linked"] for r in out if r["kind"] != "message")  # no conversation: nothing to link by
+    assert sorted(len(r["json"]) > 600_000 for r in out if r["kind"] == "message") == [False, False, True, True]
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(5000)}" for _ in range(30_000)]
+    near = list(long)
+    for i in rng.sample(range(30_000), 1500):
+        near[i] = "other"
+    far = [f"v{rng.randrange(5000)}" for _ in range(30_000)]
+    rows = [(1, " ".join(long), None, None), (2, " ".join(near), None, None), (3, " ".join(far), None, None), (4, "z" * 400_000, None, None), (5, "z" * 400_000, None, None)]
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.op7(docs_of(spark, rows)).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
+def test_runs_are_labelled_alike_with_and_without_repeats():
+    import numpy as np
+
+    plain = np.arange(100, 200, dtype=np.uint64)
+    repeated = np.concatenate([plain, plain[:3]])
+    a, b = (near_dedup.labelled_runs(x) for x in (plain, repeated))
+    assert len(set(b.tolist())) == len(b) and set(a.tolist()) <= set(b.tolist())
