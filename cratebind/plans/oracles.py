@@ -490,3 +490,11 @@ from w left join ratios rt on rt.a = pure_norm and rt.b = t_title_norm left join
 union all
 select eid, track_id, round(case when list_has_any(name_tokens, {words('t_name_norm')}) then ratio * 100 else 0 end, 2) from nc join ratios on a = name_norm and b = t_name_norm""",
 }
+
+# the same without remembered matches, counted by phase; candidates are what the blocks of the phase that found an entry hold
+SQL["cascade_phase_histogram"] = f"""{CASCADE.replace('from kn0 group by key)', 'from kn0 where false group by key)')},
+tag_n as (select title_tokens, artist_tokens, count(*) as n from blocks group by all), name_n as (select name_norm, name_tokens, count(*) as n from nhit group by all)
+select phase, path is not null as found, count(*) as entries, sum(case phase when 'tags' then coalesce(tag_n.n, 0) when 'name' then name_n.n else 0 end)::bigint as candidates
+from placed join first_ using (eid) join e using (eid) left join tag_n on tag_n.title_tokens = e.title_tokens and tag_n.artist_tokens = e.artist_tokens
+  left join name_n on name_n.name_norm = e.name_norm and name_n.name_tokens = e.name_tokens
+group by phase, path is not null"""
