@@ -158,8 +158,8 @@ def candidates(slices: DataFrame, ranges: int, least: int) -> DataFrame:
             return keys[first], np.add.reduceat(sums, first)
 
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                keys, n = np.unique(pairs(np.frombuffer(data, np.int32))[0], return_counts=True)
+            for data in batch.column(0):
+                keys, n = np.unique(pairs(np.frombuffer(data.as_buffer(), np.int32))[0], return_counts=True)
                 found.append((keys, n))
                 held += len(keys)
                 if held >= KEYS_A_TASK:
@@ -228,20 +228,19 @@ class Level:
             def fill(batches: Iterator[pa.RecordBatch], shared=shared, start=start) -> Iterator[pa.RecordBatch]:
                 look = pickle.loads(shared.value)
                 for batch in batches:
-                    out = []
-                    for source, old in zip(batch.column(0), batch.column("found").to_pylist(), strict=True):
+                    for i in range(batch.num_rows):  # a row at a time: a slice is large
+                        source, old = batch.column(0)[i], batch.column("found")[i]
                         if words:
                             keys = source.values.to_numpy(zero_copy_only=False).view(np.uint64)
                             there, size = np.arange(len(keys)), len(keys)
                         else:
-                            slots = np.frombuffer(source.as_py(), np.int32)
+                            slots = np.frombuffer(source.as_buffer(), np.int32)
                             keys, there = pairs(slots)
                             size = len(slots)
-                        found = np.full(size, -1, np.int32) if old is None else np.frombuffer(old, np.int32).copy()
+                        found = np.frombuffer(old.as_buffer(), np.int32).copy() if old.is_valid else np.full(size, -1, np.int32)
                         slot = look(keys)
                         found[there[slot >= 0]] = slot[slot >= 0] + start
-                        out.append(found.tobytes())
-                    yield batch.set_column(len(own), "found", pa.array(out, pa.binary()))
+                        yield batch.slice(i, 1).set_column(len(own), "found", pa.array([found.tobytes()], pa.binary()))
 
             at = keep(at.mapInArrow(fill, kinds), "phrase-slots", "zstd")
             shared.unpersist()
@@ -250,12 +249,10 @@ class Level:
 
         def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = []
-                for codes, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    code = np.frombuffer(codes, np.int32)
-                    known = np.full(len(code), -1, np.int32) if found is None else np.frombuffer(found, np.int32)  # no block: no frequent words
-                    out.append(np.append(known, np.int32(-1))[code].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["slots"])
+                for codes, found in zip(batch.column(0), batch.column(1), strict=True):
+                    code = np.frombuffer(codes.as_buffer(), np.int32)
+                    known = np.frombuffer(found.as_buffer(), np.int32) if found.is_valid else np.full(len(code), -1, np.int32)  # no block: no frequent words
+                    yield pa.RecordBatch.from_arrays([pa.array([np.append(known, np.int32(-1))[code].tobytes()], pa.binary())], ["slots"])
 
         return keep(at.select("codes", "found").mapInArrow(spell, "slots binary"), "phrase-slots", "zstd")
 
@@ -267,8 +264,8 @@ class Level:
             def bincount(batches: Iterator[pa.RecordBatch], start=start, size=size) -> Iterator[pa.RecordBatch]:
                 total = np.zeros(size, np.int64)
                 for batch in batches:
-                    for data in batch.column(0).to_pylist():
-                        slots = np.frombuffer(data, np.int32) - start
+                    for data in batch.column(0):
+                        slots = np.frombuffer(data.as_buffer(), np.int32) - start
                         total += np.bincount(slots[(slots >= 0) & (slots < size)], minlength=size)
                 part = TaskContext.get().partitionId()
                 some = [(i // CHUNK, np.flatnonzero(own), own) for i in range(0, size, CHUNK) if (own := total[i : i + CHUNK]).any()]
