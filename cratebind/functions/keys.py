@@ -32,9 +32,9 @@ def identity_keys(artist: Column, canon: Column, remix: Column, d: Column, toler
     return F.when(canon == "", none).otherwise(F.flatten(F.transform(neighbour_buckets(d, tolerance), of)))
 
 
-def learned_keys(path: Column, artist: Column, canon: Column, d: Column) -> Column:
-    """Ordered keys under which a match is remembered for like entries."""
-    name, bucket = T.norm(T.basename(T.text(path))), duration_bucket(d)
+def learned_keys(path: Column, artist: Column, canon: Column, d: Column, name: Column | None = None) -> Column:
+    """Ordered keys under which a match is remembered for like entries; `name` is the file name's matching form, where it is known."""
+    name, bucket = T.norm(T.basename(T.text(path))) if name is None else name, duration_bucket(d)
     keys = F.array(
         F.when(name != "", F.concat(F.lit("base|"), name)),
         F.when((canon != "") & (artist != ""), F.concat_ws("|", F.lit("at"), artist, canon, bucket)),

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .storage import stored
 
@@ -44,22 +43,40 @@ def hits(sets: DataFrame, column: str, kinds: list[str], postings: DataFrame) ->
     return found.select("sid", "track_id").distinct()
 
 
-def tag_blocks(entries: DataFrame, postings: DataFrame) -> DataFrame:
-    """(sid, track_id): tracks hit by title and artist tokens; by either, where there are none or a set is empty.
+def track_kinds(postings: DataFrame) -> DataFrame:
+    """track_id, kind, title_id, artist_id, title, artist: tracks of the same title and artist tokens are of a kind."""
+    of = lambda k: F.array_sort(F.collect_set(F.when(F.col("token_type") == k, F.col("token")))).alias(k)
+    index = postings.where(F.col("token_type").isin("title", "artist")).groupBy("track_id").agg(of("title"), of("artist"))
+    ids = index.withColumns({"title_id": F.md5(F.array_join("title", " ")), "artist_id": F.md5(F.array_join("artist", " "))})
+    return ids.withColumn("kind", F.concat("title_id", "artist_id"))
+
+
+def tag_kinds(entries: DataFrame, index: DataFrame) -> DataFrame:
+    """(sid, kind): the kinds of tracks hit by title and artist tokens; by either, where there are none or a set is empty.
 
-    Both kinds of token meet the postings in one join; a pair's kinds are bits, and the pairs are shuffled once, by set.
+    Distinct sets of title tokens meet distinct titles, and artists artists; tracks do not come in.
     """
-    sets = entries.select(set_id(*SETS).alias("sid"), *SETS).dropDuplicates(["sid"])
+    own = {c: F.md5(F.array_join(F.array_sort(F.array_distinct(c)), " ")) for c in SETS}
+    sets = stored(entries.select(set_id(*SETS).alias("sid"), *SETS).dropDuplicates(["sid"]).withColumns({"title_set": own[SETS[0]], "artist_set": own[SETS[1]]}), "token-sets")
+    kinds = stored(index.select("kind", "title_id", "artist_id", "title", "artist").dropDuplicates(["kind"]), "track-kinds")
 
-    def typed(column: str, kind: str, bit: int) -> Column:
-        return F.transform(F.array_distinct(column), lambda t: F.struct(F.lit(kind).alias("token_type"), t.alias("token"), F.lit(bit).alias("bit")))
+    def reach(column: str, key: str, words: str, there: str) -> DataFrame:
+        wanted = sets.select(key, column).dropDuplicates([key]).select(key, F.explode(F.array_distinct(column)).alias("token"))
+        held = kinds.select(there, words).dropDuplicates([there]).select(F.explode(words).alias("token"), F.col(there).alias("track_id"))
+        return stored(token_join(wanted, held, ["token"]).select(key, F.col("track_id").alias(there)).distinct(), f"{words}-hits")
 
-    kinds = F.concat(typed("title_tokens", "title", 1), typed("artist_tokens", "artist", 2))
-    wanted = sets.select("sid", F.explode(kinds).alias("w")).select("sid", "w.*")
-    found = token_join(wanted, postings.select("token_type", "token", "track_id"), ["token_type", "token"]).select("sid", "track_id", "bit").distinct()
-    both = found.repartition("sid").groupBy("sid", "track_id").agg(F.bit_or("bit").alias("bits"))
-    top = F.max("bits").over(Window.partitionBy("sid"))
-    return both.withColumn("top", top).where("bits = 3 or top < 3").select("sid", "track_id")
+    titles, artists = reach("title_tokens", "title_set", "title", "title_id"), reach("artist_tokens", "artist_set", "artist", "artist_id")
+    asked, slim = sets.select("sid", "title_set", "artist_set"), kinds.select("kind", "title_id", "artist_id")
+    both = stored(asked.join(titles, "title_set").join(slim, "title_id").join(artists, ["artist_set", "artist_id"], "left_semi").select("sid", "kind"), "both-hits")
+    alone = asked.join(both.select("sid").distinct(), "sid", "left_anti")
+    either = alone.join(titles, "title_set").join(slim, "title_id").select("sid", "kind").unionByName(alone.join(artists, "artist_set").join(slim, "artist_id").select("sid", "kind"))
+    return both.unionByName(either.distinct())
+
+
+def tag_blocks(entries: DataFrame, postings: DataFrame) -> DataFrame:
+    """(sid, track_id): the tracks of the kinds that an entry's tokens hit."""
+    index = stored(track_kinds(postings), "index")
+    return tag_kinds(entries, index).join(index.select("track_id", "kind"), "kind").select("sid", "track_id")
 
 
 def tag_candidates(entries: DataFrame, tracks: DataFrame, postings: DataFrame) -> DataFrame:

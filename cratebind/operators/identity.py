@@ -23,8 +23,9 @@ def identity_best(tracks: DataFrame) -> DataFrame:
     """The highest bitrate track of each identity key, the first on ties; once among all, once among real tags."""
     keys = K.identity_keys(F.col("t_fallback"), F.col("t_pure_canon"), F.col("t_pure_remix"), F.col("t_duration"), 0)
     rows = exploded(tracks, keys, "track_id", "t_bitrate", "t_auto")
-    pick = F.struct("t_bitrate", -F.col("track_id"))
-    best = rows.groupBy(*KEY).agg(F.max_by("track_id", pick).alias("best_all"), F.max_by("track_id", F.when(~F.col("t_auto"), pick)).alias("best_real"))
+    # by bitrate first, where numbers alone are kept; a key then has as many rows as it has bitrates
+    rated = rows.groupBy(*KEY, "t_bitrate").agg(F.min("track_id").alias("any"), F.min(F.when(~F.col("t_auto"), F.col("track_id"))).alias("real"))
+    best = rated.groupBy(*KEY).agg(F.max_by("any", "t_bitrate").alias("best_all"), F.max_by("real", F.when(F.col("real").isNotNull(), F.col("t_bitrate"))).alias("best_real"))
     return best
 
 
@@ -109,3 +110,27 @@ def similar_join(entries: DataFrame, tracks: DataFrame, tolerance: int = 3) -> D
     asked = entries.where("canon <> '' and duration is not null").withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
     there = tracks.where("t_canon <> '' and t_duration is not null").withColumn("cell", F.floor(F.col("t_duration") / tolerance))
     return asked.join(there.withColumn("canon", F.col("t_canon")), ["canon", "cell"]).where(similar_tags(tolerance)).drop("cell")
+
+
+SAID, TAGS = ["canon", "artist_norm", "parts", "duration"], ["t_canon", "t_artist_norm", "t_parts", "t_duration"]
+
+
+def similar_sayings(entries: DataFrame, kinds: DataFrame, *found: Column) -> DataFrame:
+    """eid and what is found, by aggregates, among the kinds(TAGS, ...) with similar tags; what entries say meets kinds once."""
+    asked = entries.where("canon <> '' and duration is not null").withColumn("said", F.md5(F.to_json(F.struct(*SAID))))
+    once = asked.select("said", *SAID).dropDuplicates(["said"])
+    met = similar_join(once, kinds).groupBy("said").agg(*found)
+    return asked.select("eid", "said").join(met, "said").drop("said")
+
+
+def similar_counts(entries: DataFrame, tracks: DataFrame) -> DataFrame:
+    """eid, pairs, best_bitrate: how many tracks have similar tags, and their highest bitrate."""
+    kinds = tracks.groupBy(*TAGS).agg(F.count("*").alias("n"), F.max("t_bitrate").alias("t_bitrate"))
+    return similar_sayings(entries, kinds, F.sum("n").alias("pairs"), F.max("t_bitrate").alias("best_bitrate"))
+
+
+def similar_best(entries: DataFrame, tracks: DataFrame) -> DataFrame:
+    """eid, track_id, t_bitrate of the best track with similar tags: real tags, no remix, bitrate, the first."""
+    best = F.max(F.struct((~F.col("t_auto")).alias("real"), (~F.col("t_remix")).alias("plain"), F.col("t_bitrate").alias("t_bitrate"), (-F.col("track_id")).alias("first")))
+    kinds = tracks.groupBy(*TAGS).agg(best.alias("best"))
+    return similar_sayings(entries, kinds, F.max("best").alias("x")).select("eid", (-F.col("x.first")).alias("track_id"), "x.t_bitrate")

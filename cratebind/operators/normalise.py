@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions import text as T
+from .storage import stored
 
 ENTRY = ["raw_path", "title", "artist", "duration"]
 
@@ -25,28 +26,67 @@ def entry_id() -> Column:
 
 
 def normalise_entries(entries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """One row for each distinct entry, named by eid; like entries of a playlist are matched once."""
-    once = entries.select(entry_id().alias("eid"), *ENTRY).dropDuplicates(["eid"])
-    title, artist, name = F.col("title"), F.col("artist"), T.basename(T.text("raw_path"))
+    """One row for each distinct entry, named by eid; like entries of a playlist are matched once.
+
+    Forms are worked out for distinct tags and for distinct file names, of which there are far fewer than entries.
+    """
+    name = T.basename(T.text("raw_path"))
+    key = lambda *c: F.sha1(F.to_json(F.struct(*c)))
+    once = entries.select(entry_id().alias("eid"), *ENTRY).dropDuplicates(["eid"]).withColumn("name", name)
+    once = stored(once.withColumns({"__tags": key("title", "artist"), "__name": key("name")}), "distinct-entries")
+    tags = tag_forms(once.groupBy("__tags", "title", "artist").agg(F.lit(1)).select("__tags", "title", "artist"), aliases).drop("title", "artist")
+    names = name_forms(once.groupBy("__name", "name").agg(F.lit(1)).select("__name", "name")).drop("name")
+    service = T.is_service_id(T.text("raw_path")).alias("service")
+    whole = once.join(stored(tags, "tag-forms"), "__tags").join(stored(names, "name-forms"), "__name")
+    return whole.select("eid", *ENTRY, "has_tags", "pure", "artist_norm", "own_artist", "name", *[c for c in TAG_FORMS if c not in ("has_tags", "pure", "artist_norm", "own_artist")], *NAME_FORMS, service)
+
+
+TAG_FORMS = ["has_tags", "pure", "artist_norm", "own_artist", "pure_norm", "title_norm", "canon", "title_tokens", "artist_tokens", "parts", "remix", "pure_remix"]
+NAME_FORMS = ["name_norm", "name_tokens", "name_remix", "said_artist", "said_title"]
+
+
+def tag_forms(texts: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """texts(title, artist, ...) with the forms of tags."""
+    title, artist = F.col("title"), F.col("artist")
     has_tags = (T.text("title") != "") | (T.text("artist") != "")
-    forms = once.select("*", has_tags.alias("has_tags"), T.pure_title(title).alias("pure"), T.artist_with_fallback(artist, title).alias("artist_norm"), T.norm(artist).alias("own_artist"), name.alias("name"))
+    forms = texts.select("*", has_tags.alias("has_tags"), T.pure_title(title).alias("pure"), T.artist_with_fallback(artist, title).alias("artist_norm"), T.norm(artist).alias("own_artist"))
     forms = with_alias(with_alias(forms, "artist_norm", aliases), "own_artist", aliases)
-    forms = forms.withColumns({"pure_norm": T.norm(F.col("pure")), "title_norm": T.norm(title), "name_norm": T.norm(F.col("name"))})
+    forms = forms.withColumns({"pure_norm": T.norm(F.col("pure")), "title_norm": T.norm(title)})
     return forms.withColumns({
         "canon": T.canon_title(F.col("pure")),
         "title_tokens": T.words_of(F.col("pure_norm")),
         "artist_tokens": T.words_of(F.col("artist_norm")),
-        "name_tokens": T.words_of(F.col("name_norm")),
         "parts": T.artist_parts(F.col("artist_norm")),
         "remix": T.is_remix(title),
         "pure_remix": T.is_remix(F.col("pure")),
-        "service": T.is_service_id(T.text("raw_path")),
-        "name_remix": T.is_remix(F.col("name")),
-        "said_artist": T.norm(T.split_name(F.col("name"))[0]),
-        "said_title": T.norm(T.split_name(F.col("name"))[1]),
     })
 
 
+def name_forms(names: DataFrame) -> DataFrame:
+    """names(name, ...) with the forms of file names."""
+    name = F.col("name")
+    return names.withColumn("name_norm", T.norm(name)).withColumns({
+        "name_tokens": T.words_of(F.col("name_norm")),
+        "name_remix": T.is_remix(name),
+        "said_artist": T.norm(T.split_name(name)[0]),
+        "said_title": T.norm(T.split_name(name)[1]),
+    })
+
+
+def foremost(tracks: DataFrame) -> DataFrame:
+    """Of tracks that agree in all that matching sees (tags, file name, duration), the one of highest bitrate, the first on ties, and `alike`, their number.
+
+    A choice by bitrate and track_id takes no other of them, so that candidates need not be made for each copy. Only numbers are
+    kept while the tracks are grouped; paths come last.
+    """
+    kind = ["title", "artist", "__name", "duration", "auto_tags"]
+    rows = tracks.select("track_id", "title", "artist", T.basename(T.text("path")).alias("__name"), "duration", F.coalesce("auto_tags", F.lit(False)).alias("auto_tags"), F.coalesce("bitrate", F.lit(0)).cast("int").alias("bitrate"))
+    by_rate = rows.groupBy(*kind, "bitrate").agg(F.min("track_id").alias("track_id"), F.count("*").alias("alike"))
+    best = by_rate.groupBy(*kind).agg(F.max_by(F.struct("track_id", "bitrate"), F.struct("bitrate", -F.col("track_id"))).alias("x"), F.sum("alike").alias("alike"))
+    known = best.select("x.track_id", "title", "artist", "duration", "x.bitrate", "auto_tags", "alike")
+    return known.join(tracks.select("track_id", "path"), "track_id").select("track_id", "path", "title", "artist", "duration", "bitrate", "auto_tags", "alike")
+
+
 def normalise_tracks(tracks: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """tracks(track_id, path, title, artist, duration, bitrate, auto_tags) with t_ columns."""
     title, artist = F.col("title"), F.col("artist")

@@ -37,13 +37,13 @@ def in_blocks(pairs: DataFrame, once: DataFrame, postings: DataFrame) -> DataFra
     A track that title and artist tokens lead to is in the block; one that either leads to is, if no track has both, which is looked
     up for such sets alone.
     """
-    index = postings.where(F.col("token_type").isin("title", "artist")).groupBy("track_id").agg(*(F.collect_set(F.when(F.col("token_type") == k, F.col("token"))).alias(k) for k in ("title", "artist")))
+    index = stored(blocking.track_kinds(postings), "index")
     sets = once.select("sid", "title_tokens", "artist_tokens").dropDuplicates(["sid"])
-    held = pairs.join(sets, "sid").join(index, "track_id").withColumns({"both": F.arrays_overlap("title_tokens", "title") & F.arrays_overlap("artist_tokens", "artist"), "one": F.arrays_overlap("title_tokens", "title") | F.arrays_overlap("artist_tokens", "artist")})
+    held = pairs.join(sets, "sid").join(index.select("track_id", "kind", "title", "artist"), "track_id").withColumns({"both": F.arrays_overlap("title_tokens", "title") & F.arrays_overlap("artist_tokens", "artist"), "one": F.arrays_overlap("title_tokens", "title") | F.arrays_overlap("artist_tokens", "artist")})
     held = stored(held.where("one").drop("title_tokens", "artist_tokens", "title", "artist", "one"), "same-title")
     unsure = sets.join(held.where("not both").select("sid").distinct(), "sid", "left_semi")
-    placed = blocking.tag_blocks(unsure, postings)
-    return held.where("both").drop("both").unionByName(held.where("not both").drop("both").join(placed, ["sid", "track_id"], "left_semi"))
+    placed = blocking.tag_kinds(unsure, index)
+    return held.where("both").unionByName(held.where("not both").join(placed, ["sid", "kind"], "left_semi")).drop("both", "kind")
 
 
 def finest(pairs: DataFrame, name: str) -> DataFrame:
@@ -52,6 +52,15 @@ def finest(pairs: DataFrame, name: str) -> DataFrame:
     return pairs.groupBy("said").agg(F.max_by(choice(), order).alias(name))
 
 
+def alias_best(entries: DataFrame, tracks: DataFrame, postings: DataFrame, tolerance: float) -> DataFrame:
+    """eid, track_id, t_bitrate: the best of an entry's blocked candidates that have its title and an alias of its artist."""
+    said = F.md5(F.to_json(F.struct("sid", "canon", "artist_norm", "duration")))
+    asked = entries.where("has_tags").withColumn("sid", blocking.set_id(*blocking.SETS)).withColumn("said", said)
+    once = stored(asked.select("said", "sid", *blocking.SETS, "canon", "artist_norm", "parts", "duration").dropDuplicates(["said"]), "sayings")
+    best = finest(in_blocks(same_title(once, tracks).where(identity.alias_fits(tolerance)), once, postings), "x")
+    return asked.select("eid", "said").join(best, "said").select("eid", "x.track_id", F.col("x.bitrate").alias("t_bitrate"))
+
+
 def similar_best(entries: DataFrame, tracks: DataFrame, postings: DataFrame, best: DataFrame) -> DataFrame:
     """eid, path, bitrate: the track of the entry's identity, else the best of its blocked candidates with similar tags."""
     own = identity.identity_match(entries, tracks, best).select("eid", F.col("t_path").alias("path"), F.col("t_bitrate").alias("bitrate"), F.lit(1).alias("__p"))

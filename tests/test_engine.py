@@ -304,3 +304,45 @@ def test_review_options_and_readiness(spark, tmp_path):
     stats = spark.createDataFrame([(i, "tags", True, 0.5 * i, False, 9) for i in range(3)], "seq long, phase string, found boolean, elapsed double, full_scan boolean, index_size long")
     metrics.write_report(stats, str(tmp_path / "r"))
     assert spark.read.text(str(tmp_path / "r")).count() == 5
+
+
+def copies(spark, n):
+    """Tracks in n copies each under other paths, and entries of theirs."""
+    rows = [(i + 10 * k, f"C:/m/{k}/{p.rsplit('/', 1)[1]}", t, a, d, b, auto) for k in range(n) for i, p, t, a, d, b, auto in TRACKS]
+    said = [("p", i, f"D:/{i % 2}/x{i}.mp3", t, "Ana Ruiz", d) for i, (t, d) in enumerate((t, d) for t in ("Noche Azul", "Viento Norte") for d in (None, 199.0, 203.0, 230.0))]
+    tracks = spark.createDataFrame(rows, TRACK)
+    return tracks, normalise.normalise_tracks(tracks), normalise.normalise_entries(spark.createDataFrame(said, ENTRY))
+
+
+def test_copies_of_tracks_make_no_more_candidates(spark):
+    tracks, lib, entries = copies(spark, 6)
+    kinds = normalise.foremost(tracks)
+    assert sorted((r["track_id"], r["alike"]) for r in kinds.collect()) == [(i, 6) for i in (1, 2, 3, 4, 5)]
+    few, postings = normalise.normalise_tracks(kinds), normalise.token_postings(kinds)
+    plain = identity.similar_join(entries, lib)
+    row = lambda df, *c: sorted(tuple(r[x] for x in c) for r in df.collect())
+    counted = plain.groupBy("eid").agg(F.count("*").alias("pairs"), F.max("t_bitrate").alias("best_bitrate"))
+    assert row(counted, "eid", "pairs", "best_bitrate") == row(identity.similar_counts(entries, lib), "eid", "pairs", "best_bitrate") != []
+    assert row(identity.alike(plain), "eid", "track_id", "t_bitrate") == row(identity.similar_best(entries, few), "eid", "track_id", "t_bitrate")
+    from cratebind.plans.cascade import alias_best
+
+    blocked = identity.alias_best(blocking.tag_candidates(entries, lib, normalise.token_postings(tracks)))
+    assert row(blocked, "eid", "track_id", "t_bitrate") == row(alias_best(entries, few, postings, 3.0), "eid", "track_id", "t_bitrate") != []
+    assert row(identity.identity_best(lib), *identity.KEY, "best_all", "best_real") == row(identity.identity_best(few), *identity.KEY, "best_all", "best_real")
+
+
+def test_blocks_are_of_kinds_not_of_tracks(spark):
+    tracks, _, entries = copies(spark, 6)
+    postings = normalise.token_postings(tracks)
+    index = blocking.track_kinds(postings)
+    assert blocking.tag_kinds(entries, index).count() * 6 <= blocking.tag_blocks(entries, postings).count()
+    sets = {(r["sid"]): (set(r["title_tokens"]), set(r["artist_tokens"])) for r in entries.select(blocking.set_id(*blocking.SETS).alias("sid"), *blocking.SETS).collect()}
+    of = {}
+    for r in postings.collect():
+        of.setdefault(r["track_id"], {}).setdefault(r["token_type"], set()).add(r["token"])
+    want = set()
+    for sid, (title, artist) in sets.items():
+        hit = {i: (bool(title & x.get("title", set())), bool(artist & x.get("artist", set()))) for i, x in of.items()}
+        both = {i for i, h in hit.items() if all(h)}
+        want |= {(sid, i) for i in (both or {i for i, h in hit.items() if any(h)})}
+    assert {(r["sid"], r["track_id"]) for r in blocking.tag_blocks(entries, postings).collect()} == want
