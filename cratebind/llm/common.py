@@ -34,19 +34,39 @@ def shared_folder(spark: SparkSession) -> str:
 _scratches: list[list[str]] = []
 
 
-def keep(df: DataFrame, name: str, codec: str = "snappy", result: bool = False) -> DataFrame:
+def keep(df: DataFrame, name: str, codec: str = "snappy", result: bool = False, large: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts lineage and survives lost executors.
 
+    `large` rows, of up to some MB each, are cut into small row groups, whose size is else first looked at after 100 rows.
     Within a scratch it is deleted at the scratch's end; a `result` is left to the scratch around it, if any.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if len(_scratches) > result:
         _scratches[-1 - result].append(path)
-    df.write.option("compression", codec).parquet(path)
+    more = {"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 1} if large else {}
+    df.write.option("compression", codec).options(**more).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What bounds a task's memory: bytes of a batch that goes to Python, of a split that it reads, of a row group that it holds to write.
+BATCH, SPLIT, ROW_GROUP = 8 << 20, 32 << 20, 8 << 20
+
+
+@contextmanager
+def bounded(spark: SparkSession) -> Iterator[None]:
+    """What is run and kept inside moves in bounded batches, whatever the size of the input; the session's settings come back at the end."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH, "spark.sql.files.maxPartitionBytes": SPLIT}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, most in wanted.items():
+            spark.conf.set(name, str(most))
+        yield
+    finally:
+        for name, old in before.items():
+            spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is kept inside is deleted at the end, shuffle files of frames that nothing refers to any more as well."""

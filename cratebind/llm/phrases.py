@@ -8,7 +8,8 @@ phrase reads the counts of its parts by their slots.
 
 Words carry a 64-bit hash of language and word, which is checked to be without clashes over the whole vocabulary (another seed is
 taken else). What mappers get of a hash is a block of at most BLOCK keys; more candidates take more blocks, each a pass over compact
-numbers, never over texts. The arrays of a task are of a block's size.
+numbers, never over texts. The arrays of a task are of a block's size. Batches, row groups and read splits are bounded as well, as a
+task's share of a large input is else many times that of a small one.
 
 Rules for odd input: null texts are empty, a null language is `und`; words never cross a document or a mark of PUNCTUATION; a
 language without frequent phrases has no rows; ties go by count and then by phrase; repeated rows count again; an empty table gives
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep
+from .common import bounded, keep
 
 #: Marks that end a piece, beside the line ends.
 PUNCTUATION = ".,;:!?"
@@ -195,7 +196,7 @@ class Level:
             return pa.table({"block": rows.column("block")[:1], "size": [len(found)], "hash": pa.array([pickle.dumps(found)], pa.binary())})
 
         placed = spread.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(max(1, n))))
-        self.blocks = keep(placed.groupBy("block").applyInArrow(build, "block long, size long, hash binary"), "phrase-hash")
+        self.blocks = keep(placed.groupBy("block").applyInArrow(build, "block long, size long, hash binary"), "phrase-hash", large=True)
         sizes = {r["block"]: r["size"] for r in self.blocks.select("block", "size").collect()}  # two numbers for each block
         self.base, total = {}, 0
         for block in sorted(sizes):
@@ -242,7 +243,7 @@ class Level:
                         found[there[slot >= 0]] = slot[slot >= 0] + start
                         yield batch.slice(i, 1).set_column(len(own), "found", pa.array([found.tobytes()], pa.binary()))
 
-            at = keep(at.mapInArrow(fill, kinds), "phrase-slots", "zstd")
+            at = keep(at.mapInArrow(fill, kinds), "phrase-slots", "zstd", large=True)
             shared.unpersist()
         if not words:
             return at.select(F.col("found").alias("slots"))
@@ -254,7 +255,7 @@ class Level:
                     known = np.frombuffer(found.as_buffer(), np.int32) if found.is_valid else np.full(len(code), -1, np.int32)  # no block: no frequent words
                     yield pa.RecordBatch.from_arrays([pa.array([np.append(known, np.int32(-1))[code].tobytes()], pa.binary())], ["slots"])
 
-        return keep(at.select("codes", "found").mapInArrow(spell, "slots binary"), "phrase-slots", "zstd")
+        return keep(at.select("codes", "found").mapInArrow(spell, "slots binary"), "phrase-slots", "zstd", large=True)
 
     def counts(self, slices: DataFrame, fan: int = 32) -> DataFrame:
         """slot, n: how often each slot occurs, from arrays that mappers count and that are summed `fan` at a time."""
@@ -319,8 +320,14 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, percent: in
     A phrase goes if one that holds it has at least `percent` percent of its count; a phrase's longer phrases have no more than those
     one word longer, so these decide.
     """
+    with bounded(docs.sparkSession):
+        return ranked(docs, longest, least, percent, k)
+
+
+def ranked(docs: DataFrame, longest: int, least: int, percent: int, k: int) -> DataFrame:
+    """The same, in the batches that the session is set to."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    slices = keep(texts.mapInArrow(encode, "lang string, words array<string>, n array<bigint>, codes binary"), "phrase-slices", "zstd")
+    slices = keep(texts.mapInArrow(encode, "lang string, words array<string>, n array<bigint>, codes binary"), "phrase-slices", "zstd", large=True)
     words, seed = vocabulary(slices)
     sizes = keep(words.groupBy("lang").agg(F.sum("n").alias("words")), "languages")
     ranges = max(1, -(-(sizes.agg(F.sum("words")).first()[0] or 0) // KEYS_A_RANGE))

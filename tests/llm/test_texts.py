@@ -7,7 +7,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cratebind.llm import chunk_dedup, phrases, runs
 
@@ -186,3 +188,19 @@ def test_chunks_are_whole_and_find_their_place_again(spark):
     assert "".join(cut[1]) == text and "".join(cut[3]) == "z" * 20_000
     assert len(set(cut[1]) & set(cut[2])) > 0.8 * len(cut[1])
     assert max(map(len, cut[1] + cut[3])) <= chunk_dedup.LONGEST + 3
+
+
+def test_large_rows_are_kept_and_passed_in_bounded_pieces(spark):
+    import pyarrow.parquet as pq
+
+    from cratebind.llm.common import BATCH, ROW_GROUP, bounded, keep
+
+    rows = spark.range(0, 60, 1, 1).select(F.expr("array_join(transform(sequence(1, 16000), x -> sha2(concat(id, '-', x), 256)), '')").cast("binary").alias("data"))
+    with bounded(spark):
+        kept = keep(rows, "large", large=True)
+        sizes = keep(kept.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long"), "sizes")
+    assert max(r["n"] for r in sizes.collect()) < BATCH + (3 << 20)
+    for name in kept.inputFiles():
+        found = pq.ParquetFile(name.removeprefix("file://")).metadata
+        assert all(found.row_group(i).total_byte_size < ROW_GROUP + (3 << 20) for i in range(found.num_row_groups))
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") not in (str(BATCH), "33554432")
