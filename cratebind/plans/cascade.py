@@ -72,8 +72,8 @@ def similar_best(entries: DataFrame, tracks: DataFrame, postings: DataFrame, bes
     return own.unionByName(near).groupBy("eid").agg(F.max_by(F.struct("path", "bitrate"), "__p").alias("x")).select("eid", "x.path", "x.bitrate")
 
 
-def tag_phase(entries: DataFrame, tracks: DataFrame, postings: DataFrame) -> DataFrame:
-    """eid, path, bitrate, candidates of the entries that their tags resolve.
+def tag_phase(entries: DataFrame, tracks: DataFrame, postings: DataFrame, whole: DataFrame) -> DataFrame:
+    """eid, path, bitrate, candidates of the entries that their tags resolve; tracks are one of each kind, whole all of them.
 
     The choice by score may give way to a similar track of higher bitrate, a remix to another version, and a
     track below 320 kbps or of another artist to an alias of the artist. All of it is worked out for sayings, not for entries.
@@ -81,14 +81,15 @@ def tag_phase(entries: DataFrame, tracks: DataFrame, postings: DataFrame) -> Dat
     asked = entries.where((F.size("title_tokens") > 0) | (F.size("artist_tokens") > 0))
     sayings = scoring.Sayings(asked, tracks, postings)
     scored = stored(sayings.best(), "best-by-tags")
-    shown = tracks.select("track_id", "t_path", "t_bitrate", "t_remix", "t_artist_norm", "t_parts", "t_name_norm", "t_auto")
+    shown = whole.select("track_id", "t_path", "t_bitrate", "t_remix", "t_artist_norm", "t_parts", "t_name_norm", "t_auto")
     first = scored.where("fits").select("said", "track_id").join(shown, "track_id").select("said", choice().alias("now"))
     # an entry of a service whose tags lead to nothing may have one of the most similar titles
     open_ = sayings.entries.where("service").join(scored, "said", "left_anti")
-    soft = open_.select("eid", "said", "artist_norm", "artist_tokens", "parts", "remix").join(scoring.soft_top(open_, tracks).select("eid", "track_id"), "eid").dropDuplicates(["said", "track_id"]).join(shown, "track_id")
+    soft = open_.select("eid", "said", "artist_norm", "artist_tokens", "parts", "remix").join(scoring.soft_top(open_, whole).select("eid", "track_id"), "eid").dropDuplicates(["said", "track_id"]).join(shown, "track_id")
     fit = scoring.prefer(soft, "said", ~F.col("t_auto")).where(scoring.expected_artist())
     first = first.unionByName(scoring.best_bitrate(fit, "said", F.col("remix") | ~F.col("t_remix")).select("said", choice().alias("now")))
-    pairs = stored(same_title(sayings.once, tracks).join(sayings.placed.select("sid", "track_id"), ["sid", "track_id"], "left_semi"), "same-title")
+    pairs = same_title(sayings.once, tracks).join(sayings.kinds, "track_id").join(sayings.reached, ["sid", "kind"], "left_semi")
+    pairs = stored(pairs.drop("kind"), "same-title")
     for name, fits in (("near", identity.similar_tags()), ("wide", identity.alias_fits(15.0)), ("tight", identity.alias_fits(3.0))):
         first = first.join(finest(pairs.where(fits), name), "said", "left")
     now, near, wide, tight = (F.col(c) for c in ("now", "near", "wide", "tight"))
@@ -96,7 +97,8 @@ def tag_phase(entries: DataFrame, tracks: DataFrame, postings: DataFrame) -> Dat
     step = step.withColumn("now", F.when(~F.col("remix") & now["remix"] & ~wide["remix"] & (wide["bitrate"] >= now["bitrate"]), wide).otherwise(now))
     other = (F.col("artist_norm") != "") & (now["artist"] != F.col("artist_norm"))
     step = step.withColumn("now", F.when(((now["bitrate"] < 320) | other) & ((tight["bitrate"] > now["bitrate"]) | (tight.isNotNull() & other)), tight).otherwise(now))
-    counted = sayings.placed.groupBy("sid").agg(F.count("*").alias("candidates"))
+    sizes = sayings.kinds.join(tracks.select("track_id", "alike"), "track_id").groupBy("kind").agg(F.sum("alike").alias("alike"))
+    counted = sayings.reached.join(sizes, "kind").groupBy("sid").agg(F.sum("alike").alias("candidates"))
     done = step.join(counted, "sid", "left").select("said", "now.path", "now.bitrate", F.coalesce("candidates", F.lit(0)).alias("candidates"))
     return sayings.of(done)
 
@@ -111,7 +113,11 @@ def name_phase(entries: DataFrame, tracks: DataFrame, postings: DataFrame, thres
     found = stored(entries.join(best.select("eid"), "eid", "left_semi").withColumn("sid", blocking.set_id("name_tokens")), "found-by-name")
     equal = identity.derived_match(found.drop("sid"), tracks, postings).select("eid", F.col("t_path").alias("path"), F.col("t_bitrate").alias("bitrate"))
     sets = found.select("sid", "name_tokens").dropDuplicates(["sid"]).where(F.size("name_tokens") > 0)
-    counted = blocking.hits(sets, "name_tokens", ["name", "title"], postings).groupBy("sid").agg(F.count("*").alias("candidates"))
+    # tracks of the same tokens are counted together
+    held = postings.where(F.col("token_type").isin("name", "title")).groupBy("track_id").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    alike = stored(held.join(tracks.select("track_id", "alike"), "track_id").groupBy("tokens").agg(F.min("track_id").alias("track_id"), F.sum("alike").alias("alike")), "alike-names")
+    few = alike.select("track_id", F.lit("name").alias("token_type"), F.explode("tokens").alias("token"))
+    counted = blocking.hits(sets, "name_tokens", ["name"], few).join(alike.select("track_id", "alike"), "track_id").groupBy("sid").agg(F.sum("alike").alias("candidates"))
     return upgraded(first, equal).join(found.select("eid", "sid"), "eid").join(counted, "sid").drop("sid")
 
 
@@ -138,8 +144,11 @@ def match(
     exists; without it, that is the library.
     """
     lib = stored(normalise.normalise_tracks(tracks, aliases), "tracks")
+    # what chooses by bitrate and track_id takes one track of each kind; paths, remembered ones and the most similar titles are of all
+    kinds = stored(lib.join(normalise.foremost(tracks).select("track_id", "alike"), "track_id"), "kinds")
+    postings = stored(postings.join(kinds.select("track_id"), "track_id", "left_semi").select(*postings.columns), "postings")
     forms = stored(normalise.normalise_entries(entries, aliases), "entries")
-    best = stored(identity.identity_best(lib), "identities")
+    best = stored(identity.identity_best(kinds), "identities")
     there = on_disk(lib, listing)
     done = forms.where("not service").join(there, T.norm_path(F.col("raw_path")) == F.col("__path")).select("eid", F.col("raw_path").alias("path"), "bitrate")
     at = stored(entries.select("playlist", "pos", "raw_path", normalise.entry_id().alias("eid")), "positions")
@@ -165,13 +174,13 @@ def match(
         if memory is not None:
             hit = caches.manual_lookup(left, memory, lib, listing=listing) if how == "manual" else caches.learned_lookup(left, memory, lib)
             hit = stored(hit.select("eid", F.col("t_path").alias("path"), F.col("t_bitrate").alias("bitrate"), (F.col("by") if how == "learned" else F.lit("manual")).alias("by")), "memory")
-            better = similar_best(left.join(hit, "eid", "left_semi"), lib, postings, best)
+            better = similar_best(left.join(hit, "eid", "left_semi"), kinds, postings, best)
             settle(upgraded(hit, better), F.concat(F.lit("memory_"), "by"))
-    own = identity.identity_match(left, lib, best)
+    own = identity.identity_match(left, kinds, best)
     settle(own.select("eid", F.col("t_path").alias("path"), F.col("t_bitrate").alias("bitrate")), F.lit("identity"))
-    settle(tag_phase(left.where("has_tags"), lib, postings), F.lit("tags"))
+    settle(tag_phase(left.where("has_tags"), kinds, postings, lib), F.lit("tags"))
     by_name = left.where("not (service and has_tags)")
-    settle(name_phase(by_name, lib, postings, threshold), F.lit("name"))
+    settle(name_phase(by_name, kinds, postings, threshold), F.lit("name"))
     misses = left.select("eid", F.when(F.col("service") & F.col("has_tags"), "service_unmatched").otherwise("unmatched").alias("phase"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("bitrate"), F.lit(0).cast("long").alias("candidates"))
     matched = misses
     for df in out[1:]:

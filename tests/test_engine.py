@@ -346,3 +346,15 @@ def test_blocks_are_of_kinds_not_of_tracks(spark):
         both = {i for i, h in hit.items() if all(h)}
         want |= {(sid, i) for i in (both or {i for i, h in hit.items() if any(h)})}
     assert {(r["sid"], r["track_id"]) for r in blocking.tag_blocks(entries, postings).collect()} == want
+
+
+def test_tag_choice_meets_durations_not_tracks(spark):
+    rows = [(i, f"C:/{i}/Ana - Noche Azul.mp3", "Noche Azul", "Ana", None if i == 7 else 150.0 + i % 40 / 2, (128, 192, 320)[i % 3], i % 5 == 0) for i in range(120)]
+    tracks = spark.createDataFrame(rows, TRACK)
+    said = [("p", i, f"D:/x{i}.mp3", "Noche Azul", "Ana", d) for i, d in enumerate((None, 10.0, 149.9, 155.25, 160.0, 900.0))]
+    entries, lib, postings = normalise.normalise_entries(spark.createDataFrame(said, ENTRY)), normalise.normalise_tracks(tracks), normalise.token_postings(tracks)
+    sayings = scoring.Sayings(entries, lib, postings)
+    assert sayings.placed.count() == 1
+    plain = scoring.best_by_tags(scoring.tag_score(blocking.tag_candidates(entries, lib, postings)))
+    got = {(r["eid"], r["track_id"], r["score"]) for r in scoring.match_by_tags(entries, lib, postings).collect()}
+    assert got == {(r["eid"], r["track_id"], r["score"]) for r in plain.where("fits").collect()} and len(got) == 6
