@@ -358,3 +358,28 @@ def test_tag_choice_meets_durations_not_tracks(spark):
     plain = scoring.best_by_tags(scoring.tag_score(blocking.tag_candidates(entries, lib, postings)))
     got = {(r["eid"], r["track_id"], r["score"]) for r in scoring.match_by_tags(entries, lib, postings).collect()}
     assert got == {(r["eid"], r["track_id"], r["score"]) for r in plain.where("fits").collect()} and len(got) == 6
+
+
+def test_names_meet_in_cells_and_leave_only_what_can_be_nearest(spark, monkeypatch):
+    import random
+
+    from cratebind.functions.similarity import plain_ratio
+
+    made = {}
+    whole = scoring.stored
+    monkeypatch.setattr(scoring, "stored", lambda df, name: made.setdefault(name, whole(df, name)))
+    draw, words = random.Random(1), ["ana", "rio", "sol", "luz", "mar", "noche", "azul", "viento", "largo", "x1"]
+    asked, borne = (sorted({" ".join(draw.sample(words, draw.randint(1, 4))) for _ in range(n)}) for n in (40, 60))
+    posted = {name: set(draw.sample(words, 3)) for name in borne}
+    mine = spark.createDataFrame([(n, t) for n in asked for t in n.split()], "name_norm string, token string")
+    theirs = [(n, t, True, False) for n in borne for t in posted[n]] + [(n, t, False, True) for n in borne for t in n.split()]
+    found = {}
+    for r in scoring.nearest_names(mine, spark.createDataFrame(theirs, "t_name_norm string, token string, posted boolean, own boolean"), 3, 6, few=7, more=5).collect():
+        assert (r["name_norm"], r["t_name_norm"]) not in found
+        found[r["name_norm"], r["t_name_norm"]] = r["ratio"]
+    every = {(a, b): plain_ratio(a, b) for a in asked for b in borne if set(a.split()) & posted[b] and set(a.split()) & set(b.split())}
+    for a in asked:
+        best = sorted((r for (x, _), r in every.items() if x == a), reverse=True)
+        bar = best[2] if len(best) > 2 else 0.0
+        assert {p: r for p, r in every.items() if p[0] == a and r >= bar} == {p: r for p, r in found.items() if p[0] == a and r >= bar}
+    assert all(df.count() < len(every) / 2 for name, df in made.items() if name in ("first-ratios", "more-ratios"))
