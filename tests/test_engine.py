@@ -383,3 +383,15 @@ def test_names_meet_in_cells_and_leave_only_what_can_be_nearest(spark, monkeypat
         bar = best[2] if len(best) > 2 else 0.0
         assert {p: r for p, r in every.items() if p[0] == a and r >= bar} == {p: r for p, r in found.items() if p[0] == a and r >= bar}
     assert all(df.count() < len(every) / 2 for name, df in made.items() if name in ("first-ratios", "more-ratios"))
+
+
+def test_candidates_of_entries_without_duration_reach_without_it(spark, monkeypatch):
+    made = []
+    whole = ranking.stored
+    monkeypatch.setattr(ranking, "stored", lambda df, name: made.append((name, whole(df, name))) or made[-1][1])
+    tracks = spark.createDataFrame([(1, "C:/Noche Azul.mp3", "Noche Azul", "Ana Ruiz", 200.0, 128, False), (2, "C:/Ana Ruis - Viento.mp3", "Viento", "Ana Ruis", 200.0, 320, False)], TRACK)
+    entries = spark.createDataFrame([("p", 0, "D:/a.mp3", "Noche Azul", "Ana Ruiz", None)], ENTRY)
+    rows = ranking.top_candidates(normalise.normalise_entries(entries), normalise.normalise_tracks(tracks), 1).collect()
+    assert [(r["track_id"], r["score"]) for r in rows] == [(1, 80.0)]
+    # the other track's artist gives 70 * 0.875, and 25 only with a duration
+    assert [df.count() for name, df in made if name == "texts"][2:] == [0, 0]
