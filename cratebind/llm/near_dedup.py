@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, keep, scratch, spread_join
+from .common import bounded, documents, keep, scratch, spread_join
 
 RUN = 3
 SHORT_RUN = 2
@@ -416,7 +416,8 @@ def near_classes(docs: DataFrame, values: int = 48, short_values: int = 24, leas
     that are still of different components meet, so that no two similar texts that share a value stay apart.
     """
     spark = docs.sparkSession
-    with scratch(spark):
+    # batches, splits and row groups are bounded, as those of texts and of cells, not the rows, make a task's memory
+    with bounded(spark), scratch(spark):
         made = keep(sketches(docs, values, short_values), "near-sketches")
         nodes = made.where(F.col("sketch").isNotNull()).dropDuplicates(["node"])
         members = bucket_members(nodes)

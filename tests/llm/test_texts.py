@@ -204,3 +204,14 @@ def test_large_rows_are_kept_and_passed_in_bounded_pieces(spark):
         found = pq.ParquetFile(name.removeprefix("file://")).metadata
         assert all(found.row_group(i).total_byte_size < ROW_GROUP + (3 << 20) for i in range(found.num_row_groups))
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") not in (str(BATCH), "33554432")
+
+
+def test_near_classes_move_in_bounded_batches(spark, monkeypatch):
+    from cratebind.llm import common, near_dedup
+
+    seen, whole, conf = [], near_dedup.keep, "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(near_dedup, "keep", lambda df, *a, **o: seen.append(spark.conf.get(conf, None)) or whole(df, *a, **o))
+    before = spark.conf.get(conf, None)
+    near_dedup.near_classes(spark.createDataFrame([(1, "a b c d e"), (2, "x y z")], "doc_id long, text string"))
+    assert seen and set(seen) == {str(common.BATCH)}
+    assert spark.conf.get(conf, None) == before
