@@ -5,32 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cratebind.llm import decontam, langid, mixing, near_dedup, secret_scan
-from cratebind.llm.common import keep, table
+from cratebind.llm.common import bounded, keep, table
+
+
+def settled(docs: DataFrame, name: str) -> DataFrame:
+    """docs worked out now and kept in small row groups. Batches to Python hold bytes, not rows, only where a stage ends within `bounded`:
+    a stage that is left to its reader goes in batches of 10 000 whole texts, which add up in the memory of an executor's workers."""
+    return keep(docs, f"pipeline-{name}", large=True)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go: null and empty texts, texts without a letter, and those whose trigrams no language
     holds more of than chance gives. Repeated rows go or stay together; without labelled texts nothing is recognised, so all go; an
     empty table stays empty."""
-    return langid.keep_known(docs)
+    with bounded(spark):
+        return settled(langid.keep_known(docs), "language")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, that of the smallest doc_id. Null texts are one class, empty ones another; of rows
     that repeat doc_id and text one stays; an empty table stays empty."""
-    return near_dedup.drop_near(docs)
+    with bounded(spark):
+        return settled(near_dedup.drop_near(docs), "near_duplicates")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go. Null and empty texts hold none, and null and blank items are in none; repeated rows go or
     stay together; an empty table on either side changes nothing."""
-    return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    with bounded(spark):
+        return settled(decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark")), "decontaminate")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text; every row stays, null and empty texts and repeated rows as they are; an empty table stays
     empty."""
-    return secret_scan.redact_secrets(docs)
+    with bounded(spark):
+        return settled(secret_scan.redact_secrets(docs), "secrets")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +57,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
+    for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = keep(docs, f"pipeline-{name}")
     return docs

@@ -142,6 +142,25 @@ def test_stages_of_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+def test_stages_with_python_send_whole_texts_in_bounded_batches(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    docs = docs_of(spark, [(i, f"the quick brown fox number {i} jumps over dogs", "en", "a") for i in range(40)])
+    spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = {}
+
+    def kept(df, name, **options):
+        seen[name] = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), options
+        return df
+
+    monkeypatch.setattr(corpus_pipeline, "keep", kept)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        assert seen[f"pipeline-{name}"] == (str(common.BATCH), {"large": True})
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_a_kind_of_few_labelled_secrets_is_learned(spark):
     rows = [(i, f"see AKIA{'QWERTYUIOPASDFGH'[:16]}{i} there", None, None) for i in range(2)] + [(9, "plain words only here", None, None)]
     model = secret_scan.learn_formats(docs_of(spark, rows))
