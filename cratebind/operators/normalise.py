@@ -25,15 +25,26 @@ def entry_id() -> Column:
     return K.exact_key(F.col("raw_path"), F.col("artist"), F.col("title"), F.col("duration"))
 
 
+def distinct_entries(entries: DataFrame, *found: Column) -> DataFrame:
+    """eid, ENTRY and name of every distinct entry, and what is found of its rows by aggregates.
+
+    Rows are grouped by what they say, so that texts are keys and Spark hashes them; ids are worked out for what is left. Grouping takes
+    -0.0 for 0.0, which the id tells apart.
+    """
+    zero = F.when(F.col("duration") == 0, F.col("duration").cast("string")).alias("__zero")
+    once = entries.groupBy(*ENTRY, zero).agg(*found) if found else entries.select(*ENTRY, zero).distinct()
+    kind = entries.schema["duration"].dataType
+    told = once.withColumn("duration", F.coalesce(F.col("__zero").cast(kind), F.col("duration"))).drop("__zero")
+    return told.select(entry_id().alias("eid"), "*", T.basename(T.text("raw_path")).alias("name"))
+
+
 def normalise_entries(entries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """One row for each distinct entry, named by eid; like entries of a playlist are matched once.
 
     Forms are worked out for distinct tags and for distinct file names, of which there are far fewer than entries.
     """
-    name = T.basename(T.text("raw_path"))
     key = lambda *c: F.sha1(F.to_json(F.struct(*c)))
-    once = entries.select(entry_id().alias("eid"), *ENTRY).dropDuplicates(["eid"]).withColumn("name", name)
-    once = stored(once.withColumns({"__tags": key("title", "artist"), "__name": key("name")}), "distinct-entries")
+    once = stored(distinct_entries(entries).withColumns({"__tags": key("title", "artist"), "__name": key("name")}), "distinct-entries")
     tags = tag_forms(once.groupBy("__tags", "title", "artist").agg(F.lit(1)).select("__tags", "title", "artist"), aliases).drop("title", "artist")
     names = name_forms(once.groupBy("__name", "name").agg(F.lit(1)).select("__name", "name")).drop("name")
     service = T.is_service_id(T.text("raw_path")).alias("service")
