@@ -70,6 +70,26 @@ def upsert(old: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
     return both.groupBy("key").agg(F.max_by("path", last).alias("path"), F.max_by("bitrate", last).alias("bitrate"))
 
 
+def last_learned(matches: DataFrame, tags: DataFrame, names: DataFrame) -> DataFrame:
+    """learned_rows of matches(eid, path, bitrate, place, title, artist, duration, name) with, for each key, the row of the greatest place alone.
+
+    Places differ from match to match. Of each name, and of each title, artist and duration, the last place is found first, where numbers
+    alone are kept, then that of their keys; its path comes last. tags(title, artist, artist_norm, canon), names(name, name_norm).
+    """
+    last = F.max("place").alias("place")
+    none = F.lit("")
+    by_name = matches.groupBy("name").agg(last).join(names, "name")
+    by_tags = matches.groupBy(F.col("title").alias("of_title"), F.col("artist").alias("of_artist"), "duration").agg(last)
+    by_tags = by_tags.join(tags, F.col("of_title").eqNullSafe(F.col("title")) & F.col("of_artist").eqNullSafe(F.col("artist")))
+    keys = [
+        by_name.select(F.explode(K.learned_keys(none, none, none, F.lit(None).cast("double"), F.col("name_norm"))).alias("key"), "place"),
+        by_tags.select(F.explode(K.learned_keys(none, F.col("artist_norm"), F.col("canon"), F.col("duration"), none)).alias("key"), "place"),
+    ]
+    known = keys[0].unionByName(keys[1]).groupBy("key").agg(last)
+    rows = matches.select("place", "path", "bitrate")
+    return matches.select(F.col("eid").alias("key"), "path", "bitrate", "place").unionByName(known.join(rows, "place").select("key", "path", "bitrate", "place"))
+
+
 def manual_rows(choices: DataFrame) -> DataFrame:
     """choices(label, path, ...) as one row for each key of the label."""
     return choices.select("path", F.explode(K.manual_keys(F.col("label"))).alias("key"))

@@ -33,3 +33,20 @@ def test_derived_equality_works_out_no_tags_of_entries(spark, monkeypatch):
 
     monkeypatch.setattr(normalise, "tag_forms", refuse)
     assert queries.derived_equality(spark, "/root/testdata/sf0.001").take(1)
+
+
+def test_last_learned_is_what_all_rows_would_leave(spark):
+    from cratebind.operators import caches
+
+    rows = spark.createDataFrame(ROWS, ENTRY)
+    forms = normalise.normalise_entries(rows).select("eid", "artist_norm", "canon", "name_norm")
+    place = F.col("playlist").cast("decimal(20,0)") * F.lit(1 << 32) + F.col("pos")
+    matches = normalise.distinct_entries(rows, F.max(place).alias("place"), F.max_by("pos", place).alias("bitrate")).withColumn("path", F.concat("raw_path", F.lit("|"), "place"))
+    whole = matches.join(forms, "eid").select("*", F.col("place").alias("pos"))
+    none = spark.createDataFrame([], "key string, path string, bitrate int")
+    every = {tuple(r) for r in caches.upsert(none, caches.learned_rows(whole), ["pos"]).collect()}
+    tags = normalise.tag_forms(matches.select("title", "artist").distinct()).select("title", "artist", "artist_norm", "canon")
+    names = normalise.name_forms(matches.select("name").distinct()).select("name", "name_norm")
+    last = caches.last_learned(matches, tags, names)
+    assert {tuple(r) for r in caches.upsert(none, last, ["place"]).collect()} == every and len(every) > 9
+    assert last.count() == len(every)
