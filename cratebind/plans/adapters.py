@@ -40,13 +40,20 @@ def view(spark: SparkSession, folder: str, *names: str) -> None:
         spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
 
 
+def met_in_parts(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df; of more than `most` rows, joins shuffle it. Spark estimates a table by its files, which hold repeated values once, and would send
+    many times the size that it looks for to the driver and from there to all."""
+    return df.hint("merge") if df.count() > most else df
+
+
 def tracks(spark: SparkSession, folder: str) -> DataFrame:
     view(spark, folder, "part")
     return spark.sql(TRACKS)
 
 
 def entries(spark: SparkSession, folder: str) -> DataFrame:
-    view(spark, folder, "part", "lineitem")
+    view(spark, folder, "lineitem")
+    met_in_parts(spark.read.parquet(f"{folder}/part.parquet")).createOrReplaceTempView("part")
     return spark.sql(ENTRIES)
 
 

@@ -50,3 +50,11 @@ def test_last_learned_is_what_all_rows_would_leave(spark):
     last = caches.last_learned(matches, tags, names)
     assert {tuple(r) for r in caches.upsert(none, last, ["place"]).collect()} == every and len(every) > 9
     assert last.count() == len(every)
+
+
+def test_large_tables_are_not_sent_to_the_driver(spark):
+    from cratebind.plans import adapters
+
+    few, many = spark.range(50), spark.range(200)
+    assert "BroadcastHashJoin" in plan(few.join(adapters.met_in_parts(many), "id"))
+    assert "BroadcastHashJoin" not in plan(few.join(adapters.met_in_parts(many, 100).select("id"), "id"))
