@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: The paths that each open scratch has to delete, the innermost last.
 _scratches: list[list[str]] = []
+#: Where each frame that `keep` gave is.
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def keep(df: DataFrame, name: str, codec: str = "snappy", result: bool = False, large: bool = False) -> DataFrame:
@@ -46,7 +49,23 @@ def keep(df: DataFrame, name: str, codec: str = "snappy", result: bool = False,
         _scratches[-1 - result].append(path)
     more = {"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 1} if large else {}
     df.write.option("compression", codec).options(**more).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    _places[kept] = path
+    return kept
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete paths of the shared folder, and the shuffle files of frames that nothing refers to any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    spark._jvm.System.gc()  # Spark's cleaner removes the shuffles of collected frames
+
+
+def forget(*kept: DataFrame) -> None:
+    """Delete what was kept, before the end of any scratch: nothing that is still to be read may come from it."""
+    delete(kept[0].sparkSession, [_places.pop(df) for df in kept])
 
 
 #: What bounds a task's memory: bytes of a batch that goes to Python, of a split that it reads, of a row group that it holds to write.
@@ -74,11 +93,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        for path in _scratches.pop():
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        gc.collect()
-        spark._jvm.System.gc()  # Spark's cleaner removes the shuffles of collected frames
+        delete(spark, _scratches.pop())
 
 
 def remainder(key: Column, n: int) -> Column:

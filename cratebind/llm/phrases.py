@@ -7,9 +7,10 @@ and compared, so that no other pair is taken for it. Mappers count slots with bi
 phrase reads the counts of its parts by their slots.
 
 Words carry a 64-bit hash of language and word, which is checked to be without clashes over the whole vocabulary (another seed is
-taken else). What mappers get of a hash is a block of at most BLOCK keys; more candidates take more blocks, each a pass over compact
-numbers, never over texts. The arrays of a task are of a block's size. Batches, row groups and read splits are bounded as well, as a
-task's share of a large input is else many times that of a small one.
+taken else). What mappers get of a hash is a few blocks of at most BLOCK keys; more candidates take more passes over compact numbers,
+never over texts. The arrays of a task are of a pass's size. Batches, row groups and read splits are bounded as well, as a task's share
+of a large input is else many times that of a small one. What a pass or a level has kept is deleted as soon as the next has read it, so
+that the disk in use does not grow with the number of passes; the last level's phrases are counted without writing their places.
 
 Rules for odd input: null texts are empty, a null language is `und`; words never cross a document or a mark of PUNCTUATION; a
 language without frequent phrases has no rows; ties go by count and then by phrase; repeated rows count again; an empty table gives
@@ -25,16 +26,17 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, keep
+from .common import bounded, forget, keep
 
 #: Marks that end a piece, beside the line ends.
 PUNCTUATION = ".,;:!?"
 BLOCK = 1 << 20
+BLOCKS_A_PASS = 4
 CHUNK = 4096
 WORDS_A_SLICE = 400_000
 KEYS_A_RANGE = 1 << 19
@@ -197,10 +199,30 @@ class Level:
 
         placed = spread.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(max(1, n))))
         self.blocks = keep(placed.groupBy("block").applyInArrow(build, "block long, size long, hash binary"), "phrase-hash", large=True)
+        forget(spread)
         sizes = {r["block"]: r["size"] for r in self.blocks.select("block", "size").collect()}  # two numbers for each block
         self.base, total = {}, 0
         for block in sorted(sizes):
             self.base[block], total = (total, sizes[block]), total + sizes[block]
+        starts = [(block, start) for block, (start, _) in self.base.items()]
+        self.passes = [starts[i : i + BLOCKS_A_PASS] for i in range(0, len(starts), BLOCKS_A_PASS)]
+        self.sent: list[Broadcast] = []
+
+    def send(self, some: list[tuple[int, int]]) -> list[tuple[int, Broadcast]]:
+        """The blocks of a pass, broadcast, each with its first slot."""
+        shared = [(start, self.blocks.sparkSession.sparkContext.broadcast(self.blocks.where(F.col("block") == block).first()["hash"])) for block, start in some]
+        self.sent += [x for _, x in shared]
+        return shared
+
+    def take_back(self) -> None:
+        for shared in self.sent:
+            shared.destroy()
+        self.sent = []
+
+    def forget(self, *kept: DataFrame) -> None:
+        """Delete the hash and what else was kept for this level."""
+        self.take_back()
+        forget(self.blocks, *kept)
 
     def keys(self) -> DataFrame:
         """slot, key: what is stored by slot."""
@@ -215,19 +237,20 @@ class Level:
         return self.blocks.select("block", "hash").mapInArrow(stored, "slot long, key long")
 
     def place(self, rows: DataFrame, words: bool) -> DataFrame:
-        """rows with `slots`, those of this level: of the words' keys and codes, or of pairs of the slots below.
+        """slots: those of this level, for rows of the words' keys and codes, or of pairs of the slots below.
 
-        A block is broadcast, of BLOCK keys at most, and given up after its pass.
+        BLOCKS_A_PASS blocks of BLOCK keys at most are broadcast, and given up after their pass; what a pass has found so far goes with
+        the rows to the next, the last leaves the slots alone.
         """
-        spark = rows.sparkSession
         own = ["keys", "codes"] if words else ["slots"]
         at = rows.select(*own, F.lit(None).cast("binary").alias("found"))
         kinds = "keys array<bigint>, codes binary, found binary" if words else "slots binary, found binary"
-        for block, (start, _) in self.base.items():
-            shared = spark.sparkContext.broadcast(self.blocks.where(F.col("block") == block).first()["hash"])
+        passes = self.passes or [[]]  # no block: no frequent words
+        for n, some in enumerate(passes):
+            shared, last = self.send(some), n == len(passes) - 1
 
-            def fill(batches: Iterator[pa.RecordBatch], shared=shared, start=start) -> Iterator[pa.RecordBatch]:
-                look = pickle.loads(shared.value)
+            def fill(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+                looks = [(start, pickle.loads(x.value)) for start, x in shared]
                 for batch in batches:
                     for i in range(batch.num_rows):  # a row at a time: a slice is large
                         source, old = batch.column(0)[i], batch.column("found")[i]
@@ -239,35 +262,44 @@ class Level:
                             keys, there = pairs(slots)
                             size = len(slots)
                         found = np.frombuffer(old.as_buffer(), np.int32).copy() if old.is_valid else np.full(size, -1, np.int32)
-                        slot = look(keys)
-                        found[there[slot >= 0]] = slot[slot >= 0] + start
-                        yield batch.slice(i, 1).set_column(len(own), "found", pa.array([found.tobytes()], pa.binary()))
-
-            at = keep(at.mapInArrow(fill, kinds), "phrase-slots", "zstd", large=True)
-            shared.unpersist()
-        if not words:
-            return at.select(F.col("found").alias("slots"))
+                        for start, look in looks:
+                            slot = look(keys)
+                            found[there[slot >= 0]] = slot[slot >= 0] + start
+                        if last:
+                            spelled = np.append(found, np.int32(-1))[np.frombuffer(batch.column("codes")[i].as_buffer(), np.int32)] if words else found
+                            yield pa.RecordBatch.from_arrays([pa.array([spelled.tobytes()], pa.binary())], ["slots"])
+                        else:
+                            yield batch.slice(i, 1).set_column(len(own), "found", pa.array([found.tobytes()], pa.binary()))
 
-        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for codes, found in zip(batch.column(0), batch.column(1), strict=True):
-                    code = np.frombuffer(codes.as_buffer(), np.int32)
-                    known = np.frombuffer(found.as_buffer(), np.int32) if found.is_valid else np.full(len(code), -1, np.int32)  # no block: no frequent words
-                    yield pa.RecordBatch.from_arrays([pa.array([np.append(known, np.int32(-1))[code].tobytes()], pa.binary())], ["slots"])
+            before, at = at, keep(at.mapInArrow(fill, "slots binary" if last else kinds), "phrase-slots", "zstd", large=True)
+            self.take_back()
+            if n:
+                forget(before)
+        return at
 
-        return keep(at.select("codes", "found").mapInArrow(spell, "slots binary"), "phrase-slots", "zstd", large=True)
+    def counts(self, slices: DataFrame, below: bool = False, fan: int = 32) -> DataFrame:
+        """slot, n: how often each slot occurs, from arrays that mappers count and that are summed `fan` at a time.
 
-    def counts(self, slices: DataFrame, fan: int = 32) -> DataFrame:
-        """slot, n: how often each slot occurs, from arrays that mappers count and that are summed `fan` at a time."""
+        slices has the slots of this level or, with `below`, those of the level below, whose pairs are looked up as they are counted.
+        """
         out = None
-        for start, size in self.base.values():
+        for some in self.passes:
+            start, size = some[0][1], sum(self.base[block][1] for block, _ in some)
+            shared = self.send(some) if below else []
 
-            def bincount(batches: Iterator[pa.RecordBatch], start=start, size=size) -> Iterator[pa.RecordBatch]:
+            def bincount(batches: Iterator[pa.RecordBatch], start=start, size=size, shared=shared) -> Iterator[pa.RecordBatch]:
                 total = np.zeros(size, np.int64)
+                looks = [(first - start, pickle.loads(x.value)) for first, x in shared]
                 for batch in batches:
                     for data in batch.column(0):
-                        slots = np.frombuffer(data.as_buffer(), np.int32) - start
-                        total += np.bincount(slots[(slots >= 0) & (slots < size)], minlength=size)
+                        slots = np.frombuffer(data.as_buffer(), np.int32)
+                        if not below:
+                            total += np.bincount(slots[(slots >= start) & (slots < start + size)] - start, minlength=size)
+                            continue
+                        keys = pairs(slots)[0]
+                        for first, look in looks:
+                            slot = look(keys)
+                            total += np.bincount(slot[slot >= 0] + first, minlength=size)
                 part = TaskContext.get().partitionId()
                 some = [(i // CHUNK, np.flatnonzero(own), own) for i in range(0, size, CHUNK) if (own := total[i : i + CHUNK]).any()]
                 columns = [pa.array([k for k, *_ in some], pa.int64()), pa.array([part] * len(some), pa.int64()), pa.array([at.astype(np.uint16).tobytes() for _, at, _ in some], pa.binary()), pa.array([own[at].tobytes() for _, at, own in some], pa.binary())]
@@ -298,9 +330,8 @@ class Level:
         return self.keys().select("slot", F.lit(0).cast("long").alias("n")) if out is None else out  # no keys at all
 
 
-def vocabulary(slices: DataFrame) -> tuple[DataFrame, int]:
-    """lang, word, n, key of all words, and the seed under which no two keys are equal."""
-    totals = keep(slices.select("lang", F.explode(F.arrays_zip("words", "n")).alias("x")).groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.n").alias("n")), "vocabulary")
+def keyed(totals: DataFrame) -> tuple[DataFrame, int]:
+    """totals(lang, word, n) with the words' key, and the seed under which no two keys are equal."""
     for seed in count():
         words = totals.withColumn("key", F.xxhash64(F.lit(seed), "lang", "word"))
         if not words.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").take(1):
@@ -328,30 +359,38 @@ def ranked(docs: DataFrame, longest: int, least: int, percent: int, k: int) -> D
     """The same, in the batches that the session is set to."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     slices = keep(texts.mapInArrow(encode, "lang string, words array<string>, n array<bigint>, codes binary"), "phrase-slices", "zstd", large=True)
-    words, seed = vocabulary(slices)
+    totals = keep(slices.select("lang", F.explode(F.arrays_zip("words", "n")).alias("x")).groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.n").alias("n")), "vocabulary")
+    words, seed = keyed(totals)
     sizes = keep(words.groupBy("lang").agg(F.sum("n").alias("words")), "languages")
     ranges = max(1, -(-(sizes.agg(F.sum("words")).first()[0] or 0) // KEYS_A_RANGE))
     level = Level(words.where(F.col("n") >= least).select("key"))
     rows = level.place(slices.select(F.transform("words", lambda w: F.xxhash64(F.lit(seed), "lang", w)).alias("keys"), "codes"), True)
+    forget(slices)
     none = F.array().cast("array<bigint>")
     below = level.keys().join(level.counts(rows), "slot").join(words.select("key", "lang", F.col("word").alias("phrase")), "key")
     below = keep(below.select("slot", "lang", "phrase", "n", none.alias("heads"), none.alias("tails")), "phrases-1")
+    level.forget(totals)
     found, under = [], None
     for size in range(2, longest + 1):
         level = Level(candidates(rows, ranges, least))
         if not level.base:
+            level.forget()
             break
-        rows = level.place(rows, False)
-        known = level.keys().join(level.counts(rows), "slot")
+        if size < longest:
+            before, rows = rows, level.place(rows, False)
+            forget(before)
+        known = level.keys().join(level.counts(rows, size == longest), "slot")
         known = known.select("slot", "n", F.shiftright("key", 32).alias("first"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("rest"))
         first = below.select(F.col("slot").alias("first"), "lang", F.col("phrase").alias("head"), F.concat("heads", F.array("n")).alias("heads"))
         rest = below.select(F.col("slot").alias("rest"), F.col("phrase").alias("tail"), F.concat("tails", F.array("n")).alias("tails"))
         spoken = F.concat("head", F.lit(" "), F.element_at(F.split("tail", " "), -1))
         here = keep(known.join(first, "first").join(rest, "rest").select("slot", "first", "rest", "lang", spoken.alias("phrase"), "n", "heads", "tails"), f"phrases-{size}")
+        level.forget(*([below] if under is None else []))  # longer phrases are part of the result
         if under is not None:
             held = here.select(F.explode(F.array("first", "rest")).alias("slot"), F.col("n").alias("m")).groupBy("slot").agg(F.max("m").alias("most"))
             found.append(under.join(held, "slot", "left").where(F.coalesce(F.col("most") * 100 < F.col("n") * percent, F.lit(True))))
         below = under = here
+    forget(rows)
     if under is not None:
         found.append(under)
     cut = F.transform("heads", lambda x, i: F.struct(score_of(F.col("n"), x, F.element_at("tails", F.size("tails") - i)).alias("score"), i.alias("k"), x.alias("l"), F.element_at("tails", F.size("tails") - i).alias("r")))

@@ -1,6 +1,7 @@
 """Runs, phrases and exact copies against brute force, on odd rows and on empty tables."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cratebind.llm import chunk_dedup, phrases, runs
+from cratebind.llm.common import shared_folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, runs int, key string, rank int"
 
@@ -149,6 +151,27 @@ def test_phrases_against_brute_force(odd, monkeypatch, longest, least, percent,
     assert found
 
 
+def test_phrases_delete_what_passes_leave(spark, odd, monkeypatch):
+    """However many passes a level takes, its places are on disk twice at most; in the end phrases alone are there."""
+    held, keep = [], phrases.keep
+
+    def there():
+        return [x.rsplit("-", 1)[0] for x in os.listdir(shared_folder(spark).removeprefix("file://"))]
+
+    def watched(*args, **more):
+        out = keep(*args, **more)
+        held.append(sum(x.startswith("phrase-s") for x in there()) - before)
+        return out
+
+    before = sum(x.startswith("phrase-s") for x in there())
+    monkeypatch.setattr(phrases, "keep", watched)
+    monkeypatch.setattr(phrases, "BLOCK", 5)
+    all_before = Counter(there())
+    assert phrases.collocations(odd, 3, 3, 90, 7).collect()
+    assert len(held) > 12 and max(held) <= 3
+    assert set(Counter(there()) - all_before) == {"phrases-2", "phrases-3", "languages"}
+
+
 def test_phrases_of_nothing(spark, odd):
     assert phrases.op12(odd.limit(0)).collect() == []
     assert phrases.op12(docs_of(spark, [(1, None, None), (2, "one two", "aa")])).collect() == []
