@@ -66,3 +66,15 @@ def test_paths_of_a_large_library_are_met_in_parts(spark, monkeypatch):
     queries.identity_best(spark, "/root/testdata/sf0.001")
     assert len(asked) == 1
     assert "BroadcastHashJoin" not in plan(queries.kinds_of(spark, "/root/testdata/sf0.001"))
+
+
+def test_stored_frames_of_many_rows_are_met_in_parts(spark):
+    """A column of few values takes next to nothing in a file, and much in each row that is sent."""
+    from cratebind.operators.storage import stored
+
+    wide = spark.range(20_000_000)
+    many = spark.range(150_000).select((F.col("id") % 3).alias("id"), F.lit("x" * 60).alias("text"))
+    kept, few = stored(many, "many"), stored(many.limit(50), "few")
+    assert kept.count() == 150_000 and few.count() == 50 and stored(many.limit(0), "none").count() == 0
+    assert "BroadcastHashJoin" not in plan(wide.join(kept.where("id > 0"), "id"))
+    assert "BroadcastHashJoin" in plan(wide.join(few, "id"))
