@@ -19,8 +19,8 @@ def first_valid(asked: DataFrame, entries: DataFrame, manual: DataFrame, tracks:
 
     The paths of the table meet the tracks once, and what entries say each track once; only then do entries come in.
     """
-    paths = manual.select(F.col("path").alias("chosen")).distinct()
-    there = paths.join(tracks, T.norm_path(F.col("chosen")) == T.norm_path(F.col("t_path")))
+    paths = manual.select(F.col("path").alias("chosen")).distinct().withColumn("__path", T.norm_path(F.col("chosen")))
+    there = paths.join(tracks.withColumn("__path", T.norm_path(F.col("t_path"))), "__path")
     extra = ["__file"] if "__file" in tracks.columns else []
     known = stored(there.select("chosen", "track_id", "t_path", "t_bitrate", *THEIRS, *extra), "chosen-tracks")
     said = F.md5(F.to_json(F.struct(*MINE)))

@@ -16,7 +16,7 @@ def score_choice(chosen: DataFrame, tracks: DataFrame) -> DataFrame:
     Entries with tags are scored as the tag phase scores them, others by their file names; to two places.
     """
     there = tracks.withColumn("__key", T.norm_path(F.col("t_path")))
-    both = chosen.join(there, T.norm_path(F.col("path")) == F.col("__key"), "left")
+    both = chosen.withColumn("__key", T.norm_path(F.col("path"))).join(there, "__key", "left")
     tagged, named = tag_score(both.where("has_tags and track_id is not null")), name_score(both.where("not has_tags and track_id is not null"))
     gone = both.where("track_id is null").withColumn("score", F.lit(0.0))
     shown = ["eid", "path", F.round(F.coalesce("score", F.lit(0.0)), 2).alias("score"), "track_id"]

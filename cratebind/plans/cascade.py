@@ -150,12 +150,14 @@ def match(
     forms = stored(normalise.normalise_entries(entries, aliases), "entries")
     best = stored(identity.identity_best(kinds), "identities")
     there = on_disk(lib, listing)
-    done = forms.where("not service").join(there, T.norm_path(F.col("raw_path")) == F.col("__path")).select("eid", F.col("raw_path").alias("path"), "bitrate")
+    # a path is worked out once, and before rows are sorted by it: many entries have the same, and a sort asks for its key at each comparison
+    known = forms.where("not service").select("raw_path").distinct().withColumn("__path", T.norm_path(F.col("raw_path"))).join(there, "__path").select("raw_path", "bitrate")
+    done = stored(forms.where("not service").select("eid", "raw_path").join(known, "raw_path").select("eid", F.col("raw_path").alias("path"), "bitrate"), "valid-paths")
     at = stored(entries.select("playlist", "pos", "raw_path", normalise.entry_id().alias("eid")), "positions")
     pinned = None
     if overrides is not None:
         own = overrides.select("playlist", T.norm_path(F.col("path")).alias("__o"), F.col("bitrate").alias("__b")).groupBy("playlist", "__o").agg(F.max("__b").alias("__b"))
-        told = at.join(own.withColumnRenamed("playlist", "__p"), (F.col("playlist") == F.col("__p")) & (T.norm_path(F.col("raw_path")) == F.col("__o"))).drop("__p", "__o")
+        told = at.withColumn("__o", T.norm_path(F.col("raw_path"))).join(own, ["playlist", "__o"]).drop("__o")
         told = told.where("__b <> 0").join(done.select("eid", "path"), "eid").withColumn("stands", (F.col("__b") >= least_bitrate) | F.lit(not only_low_bitrate))
         pinned = stored(told.select("playlist", "pos", "raw_path", "eid", "path", F.col("__b").alias("bitrate"), "stands"), "pinned")  # these places alone have other bitrates
     if only_low_bitrate:
@@ -174,7 +176,8 @@ def match(
         if memory is not None:
             hit = caches.manual_lookup(left, memory, lib, listing=listing) if how == "manual" else caches.learned_lookup(left, memory, lib)
             hit = stored(hit.select("eid", F.col("t_path").alias("path"), F.col("t_bitrate").alias("bitrate"), (F.col("by") if how == "learned" else F.lit("manual")).alias("by")), "memory")
-            better = similar_best(left.join(hit, "eid", "left_semi"), kinds, postings, best)
+            said = left.select("eid", "has_tags", *blocking.SETS, "canon", "artist_norm", "parts", "pure_remix", "duration")
+            better = similar_best(stored(said.join(hit, "eid", "left_semi"), "remembered"), kinds, postings, best)
             settle(upgraded(hit, better), F.concat(F.lit("memory_"), "by"))
     own = identity.identity_match(left, kinds, best)
     settle(own.select("eid", F.col("t_path").alias("path"), F.col("t_bitrate").alias("bitrate")), F.lit("identity"))

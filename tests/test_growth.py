@@ -78,3 +78,25 @@ def test_stored_frames_of_many_rows_are_met_in_parts(spark):
     assert kept.count() == 150_000 and few.count() == 50 and stored(many.limit(0), "none").count() == 0
     assert "BroadcastHashJoin" not in plan(wide.join(kept.where("id > 0"), "id"))
     assert "BroadcastHashJoin" in plan(wide.join(few, "id"))
+
+
+def test_paths_are_worked_out_before_they_are_sorted(spark, monkeypatch):
+    """A sort by an expression asks for it at each comparison."""
+    import pytest
+
+    from cratebind.plans import adapters, cascade
+
+    class Seen(Exception):
+        pass
+
+    def seen(df, name):
+        if name == "valid-paths":
+            raise Seen(plan(df))
+        return df.hint("merge")
+
+    monkeypatch.setattr(cascade, "stored", seen)
+    tracks = adapters.tracks(spark, "/root/testdata/sf0.001")
+    with pytest.raises(Seen) as found:
+        cascade.match(spark.createDataFrame(ROWS, ENTRY), tracks, normalise.token_postings(tracks))
+    keys = [line for line in str(found.value).splitlines() if "SortMergeJoin" in line or " Sort [" in line]
+    assert len(keys) >= 6 and not any("regexp_replace" in line for line in keys)
