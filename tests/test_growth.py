@@ -100,3 +100,16 @@ def test_paths_are_worked_out_before_they_are_sorted(spark, monkeypatch):
         cascade.match(spark.createDataFrame(ROWS, ENTRY), tracks, normalise.token_postings(tracks))
     keys = [line for line in str(found.value).splitlines() if "SortMergeJoin" in line or " Sort [" in line]
     assert len(keys) >= 6 and not any("regexp_replace" in line for line in keys)
+
+
+def test_texts_that_others_are_sure_to_beat_meet_no_tracks(spark):
+    from cratebind.operators import ranking
+
+    top = object.__new__(ranking.TagRanking)
+    top.k = 3
+    top.cells = spark.createDataFrame([("a", "x", False), ("a", "x", False), ("b", "x", False), ("b", "x", True), ("c", "x", False), ("d", "x", False), ("e", "x", True)], "t_title_norm string, t_artist_norm string, t_remix boolean")
+    bases = {"a": 90.0, "b": 80.0, "c": 61.0, "d": 59.0, "e": 85.0}
+    pairs = spark.createDataFrame([("p", "x", t, "x", b, 20.0) for t, b in bases.items()] + [("q", "x", "a", "x", 5.0, 20.0), ("q", "x", "d", "x", 0.0, 20.0)], "pure_norm string, artist_norm string, t_title_norm string, t_artist_norm string, base double, most double")
+    got = {(r["pure_norm"], r["t_title_norm"]): r["first"] for r in top.foremost_texts(pairs).collect()}
+    # the third track that is no remix has a base of 80; with a duration d gets to 79 at most
+    assert got == {("p", "a"): True, ("p", "b"): True, ("p", "e"): True, ("p", "c"): False, ("q", "a"): True, ("q", "d"): True}
